@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, shard
+from . import bpe, embed, ngram_join, secret_scan, shard
 from .common import Scratch, small_batches, table
 
 SHARDS = 40
@@ -19,6 +19,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return ngram_join.similar_texts(docs).select("doc_id", "class_id", "n_links")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return embed.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS, Scratch(spark))
 
@@ -31,8 +42,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op7_bpe, op8_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op7_bpe, op8_secrets)}
 ORACLES: dict[str, str] = {}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, ngram_join, secret_scan, shard
-from .common import Scratch, small_batches, table
+from . import bpe, decontaminate, embed, ngram_join, quality, secret_scan, shard
+from .common import Scratch, crc_mod, small_batches, table
 
 SHARDS = 40
 
@@ -34,6 +34,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS, Scratch(spark))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -45,5 +53,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op7_bpe, op8_secrets)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = decontaminate.overlaps(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "item_id", F.col("start").alias("first_word"), F.col("end").alias("end_word"), F.round("agree", 6).alias("agree"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op6_quality, op7_bpe, op8_secrets, op9_decontaminate)}
 ORACLES: dict[str, str] = {}

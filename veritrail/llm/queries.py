@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed, ngram_join, quality, secret_scan, shard
+from . import bpe, decontaminate, embed, ngram_join, quality, secret_scan, shard, toxicity
 from .common import Scratch, crc_mod, small_batches, table
 
 SHARDS = 40
@@ -34,6 +34,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents", "doc_id", "text"), SHARDS, Scratch(spark))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(crc_mod("doc_id", 4) != 2)
+    tagged = toxicity.tag(docs, toxicity.train(docs, labels))
+    return tagged.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -59,5 +67,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("start").alias("first_word"), F.col("end").alias("end_word"), F.round("agree", 6).alias("agree"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op6_quality, op7_bpe, op8_secrets, op9_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op5_toxicity, op6_quality, op7_bpe, op8_secrets, op9_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -186,7 +186,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     row_key = lambda key: F.unhex(F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("-")), F.lit(":"), F.hex(key)).cast("binary")))
     found = similar_texts(docs, id, text)
     best = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(id, "key")).alias("row"))
-    kept = best.select(row_key(F.col("row.key")).alias("__row"))
+    kept = best.select("row.*").select(row_key(F.col("key")).alias("__row"))
     rows = docs.withColumn("__row", row_key(F.unhex(F.md5(body.cast("binary"))))).dropDuplicates(["__row"])
     bare = F.length(F.regexp_replace(body, WHITE, "")) == 0
     worded = rows.join(kept, "__row", "left_semi")

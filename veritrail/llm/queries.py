@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed, ngram_join, quality, secret_scan, shard, toxicity
+from . import bpe, decontaminate, embed, ngram_join, pii, quality, secret_scan, shard, toxicity, warc
 from .common import Scratch, crc_mod, small_batches, table
 
 SHARDS = 40
@@ -19,6 +19,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    records = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -67,5 +73,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("start").alias("first_word"), F.col("end").alias("end_word"), F.round("agree", 6).alias("agree"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_ngram_join, op3_sharding, op4_embedding_dedup, op5_toxicity, op6_quality, op7_bpe, op8_secrets, op9_decontaminate)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pii.summary(pii.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_sharding, op4_embedding_dedup, op5_toxicity, op6_quality, op7_bpe, op8_secrets, op9_decontaminate, op10_pii)}
 ORACLES: dict[str, str] = {}

@@ -1 +1,10 @@
-"""Evidence-backed matching, ranking and text-data preparation on PySpark."""
+"""Evidence-backed matching, ranking and text-data preparation on PySpark.
+
+Functions that run inside Python workers are pickled by value, so executors need no copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -24,10 +24,12 @@ from pyspark.sql import types as T
 from .quality import labelled_sample
 
 #: Most labelled documents of either kind that the field is fitted on.
-SAMPLE = 1200
+SAMPLE = 800
 STEPS, RATE, RIDGE, CHUNK, LEAST = 40, 0.5, 1e-3, 64, 3
 #: Nats of evidence that a feature keeps to toxic documents.
 SURPRISE = 12.0
+#: Tokens that a training step works on at a time.
+PART_TOKENS = 100_000
 WORD = re.compile(r"\w+")
 
 
@@ -147,52 +149,64 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
     flat_prior = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0])
     if not docs or toxic.min() == toxic.max():
         return Field({}, -5.0, trans, first, flat_prior)
-    contexts: tuple[set, set] = (set(), set())  # of a word and the word before it, so that copies count once
-    for words, y in zip(docs, toxic):
-        contexts[int(y)].update(zip(["", *words], words))
+    types = {w: i for i, w in enumerate(sorted({w for words in docs for w in words}))}
+    ids = [np.array([types[w] for w in words], np.int64) for words in docs]
+    sizes = np.array([len(i) for i in ids])
+    x, none = np.concatenate(ids), len(types)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    if not len(x):
+        return Field({}, -5.0, trans, first, flat_prior)
+    bad = np.repeat(toxic > 0, sizes)
+    left, right = np.concatenate([[none], x[:-1]]), np.concatenate([x[1:], [none]])
+    left[starts] = none
+    right[(starts - 1)[starts > 0]] = none
+    # a context is a word and the word before it, so that copies count once
+    contexts = [np.unique(left[bad == kind] * none + x[bad == kind]) % none for kind in (False, True)]
+    by_type = [np.bincount(c, minlength=none) for c in contexts]
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for got, where in zip(counts, contexts):
-        for _, w in where:
-            for f in own_features(w)[:4]:
-                got[f] = got.get(f, 0) + 1
+    for w, i in types.items():
+        for got, times in zip(counts, by_type):
+            if times[i]:
+                for f in own_features(w)[:4]:
+                    got[f] = got.get(f, 0) + int(times[i])
     seeds = _kept(counts[1], counts[0], len(contexts[1]) / max(1, len(contexts[0]) + len(contexts[1])))
-    contexts = (set(), set())
     often: dict[str, int] = {}
     for words in docs:
         for w in set(words):
             for f in (*own_features(w), f"<{w}", f">{w}"):
                 often[f] = often.get(f, 0) + 1
     index = {f: i + 1 for i, f in enumerate(sorted(f for f, k in often.items() if k >= LEAST))}
-    types = {w: i for i, w in enumerate(sorted({w for words in docs for w in words}))}
-    own = np.array([[index.get(f, 0) for f in own_features(w)] for w in types], np.int32).reshape(len(types), 5)
+    own = np.array([[index.get(f, 0) for f in own_features(w)] for w in types], np.int32).reshape(none, 5)
     to_right, to_left = (np.array([index.get(f"{mark}{w}", 0) for w in types] + [0], np.int32) for mark in "<>")
     marked = np.array([any(f in seeds for f in own_features(w)[:4]) for w in types])
-    ids = [np.array([types[w] for w in words], np.int32) for words in docs]
-    bad = np.repeat(toxic > 0, list(map(len, ids)))
-    sizes = np.array([len(i) for i in ids])
-    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    x, theta, bias = np.concatenate(ids), np.zeros(len(index) + 1), -3.0
-    n, none = len(x), len(types)
-    if not n:
-        return Field({}, -5.0, trans, first, flat_prior)
     y = (bad & marked[x]).astype(float)
-    left, right = np.concatenate([[none], x[:-1]]), np.concatenate([x[1:], [none]])
-    left[starts] = none
-    right[(starts - 1)[starts > 0]] = none
-    before = np.setdiff1d(np.arange(1, n), starts)
+    inner = np.ones(len(x), bool)
+    inner[starts] = False
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[before - 1].astype(int), y[before].astype(int)), 1)
-    logs, squares, bias_square, trans_square = np.log(trans), np.full(len(theta), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    np.add.at(seen, (y[np.flatnonzero(inner) - 1].astype(int), y[inner].astype(int)), 1)
+    cuts = [0]  # parts of whole documents, so that a step's arrays stay small
+    for s in [*starts.tolist(), len(x)]:
+        if s - cuts[-1] >= PART_TOKENS:
+            cuts.append(s)
+    cuts.append(len(x))
+    theta, bias, logs = np.zeros(len(index) + 1), -3.0, np.log(trans)
+    squares, bias_square, trans_square = np.full(len(theta), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(STEPS):  # ascent with per-weight step sizes
         trans = np.exp(logs)
-        d = theta[own].sum(1)[x] + theta[to_right][left] + theta[to_left][right] + bias
-        alpha, beta, step = _chain(d, starts, trans, first)
-        p = alpha * beta
-        p = p[:, 1] / p.sum(1)
-        a, b, s = alpha[before - 1], beta[before], step[before]
-        pair = np.stack([a[:, i] * s[:, i, j] * b[:, j] for i in (0, 1) for j in (0, 1)])
-        expected = (pair / pair.sum(0)).sum(1).reshape(2, 2)
-        off = y - p
+        by_word = theta[own].sum(1)
+        off, expected = np.empty(len(x)), np.zeros((2, 2))
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            part = slice(low, high)
+            d = by_word[x[part]] + theta[to_right][left[part]] + theta[to_left][right[part]] + bias
+            alpha, beta, step = _chain(d, np.flatnonzero(~inner[part]), trans, first)
+            p = alpha * beta
+            off[part] = y[part] - p[:, 1] / p.sum(1)
+            at = np.flatnonzero(inner[part])
+            a, b, s = alpha[at - 1], beta[at], step[at]
+            pair = np.stack([a[:, i] * s[:, i, j] * b[:, j] for i in (0, 1) for j in (0, 1)])
+            expected += (pair / pair.sum(0)).sum(1).reshape(2, 2)
         g = np.bincount(own.ravel(), np.repeat(np.bincount(x, off, none), 5), len(theta))
         g += np.bincount(to_right, np.bincount(left, off, none + 1), len(theta)) + np.bincount(to_left, np.bincount(right, off, none + 1), len(theta))
         g -= RIDGE * theta
@@ -206,7 +220,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
         logs += 0.1 * gt / np.sqrt(trans_square)
     names = {i: f for f, i in index.items()}
     field = Field({names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta) > 1e-6)}, float(bias), np.exp(logs), first, flat_prior)
-    e = np.stack([evidence(p) for p in field.tagged(texts, {})])
+    memo: dict = {}
+    e = np.stack([evidence(p) for at in range(0, len(texts), 100) for p in field.tagged(texts[at : at + 100], memo)])
     mean = float(toxic.mean())
     weight = np.where(toxic == 1, share / mean, (1 - share) / (1 - mean))
     link = np.zeros(4)

@@ -33,13 +33,13 @@ def skill_score(years: Column, wanted: Column, last_used: Column, ontology: Colu
 
 def miss_multiplier(must: Column, missing: Column, senior: Column, w: Weights = DEFAULT) -> Column:
     """1 without a missing must-have; else the penalty, or the relief of a senior candidate who has most of them."""
-    coverage = 1 - missing / must
+    coverage = 1 - F.try_divide(missing, must)
     relief = senior & (coverage >= w.implied_min_coverage)
     return F.when((must > 0) & (missing > 0), F.when(relief, w.implied_experience_relief).otherwise(w.must_have_miss_penalty)).otherwise(1.0)
 
 
 def experience(years: Column, bar: Column, w: Weights = DEFAULT) -> Column:
-    r = F.coalesce(years, F.lit(0)) / bar
+    r = F.try_divide(F.coalesce(years, F.lit(0)), bar)
     over = F.greatest(F.lit(w.overqual_floor), 1 - (r - w.overqual_ratio) * w.overqual_slope)
     return F.when(known(bar), F.when(r <= 1, r).when(r <= w.overqual_ratio, 1.0).otherwise(over)).otherwise(1.0)
 
@@ -47,7 +47,7 @@ def experience(years: Column, bar: Column, w: Weights = DEFAULT) -> Column:
 def education(best_rank: Column, min_level: Column, fields_asked: Column, field_matches: Column, w: Weights = DEFAULT) -> Column:
     """best_rank: the highest readable degree's rank, null if none is readable.  An unknown bar ranks 0 and is met."""
     need = level_rank(min_level)
-    below = w.education_partial * best_rank / need
+    below = F.try_divide(w.education_partial * best_rank, need)
     met = F.when(~fields_asked | field_matches, 1.0).otherwise(w.education_partial)
     return F.when(F.coalesce(min_level, F.lit("")) == "", 1.0).when(best_rank.isNull(), 0.0).when(best_rank < need, below).otherwise(met)
 
@@ -73,7 +73,7 @@ def completeness(requirements: Column, w: Weights = DEFAULT) -> Column:
     met = F.size(F.filter(requirements, lambda r: (r["status"] == "met") & (r["confidence"] >= w.evidence_met_confidence)))
     partial = F.size(F.filter(requirements, lambda r: r["status"] == "partial"))
     n = F.size(requirements)
-    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise((met + w.evidence_partial_weight * partial) / n)
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise(F.try_divide(met + w.evidence_partial_weight * partial, n))
 
 
 def motivation(themes: Column, w: Weights = DEFAULT) -> Column:
@@ -81,7 +81,7 @@ def motivation(themes: Column, w: Weights = DEFAULT) -> Column:
     good = F.filter(themes, lambda t: (t["confidence"] >= w.motivation_min_confidence) & (F.size(t["evidence_chunk_ids"]) > 0))
     total = F.aggregate(good, F.lit(0.0), lambda s, t: s + t["confidence"])
     n = F.size(themes)
-    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise(total / n)
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, 0.0).otherwise(F.try_divide(total, n))
 
 
 def coerced_year(text: Column) -> Column:

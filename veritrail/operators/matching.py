@@ -47,7 +47,7 @@ def skill_scores(rows: DataFrame, senior: DataFrame, today_year: int, w: Weights
         F.array_sort(F.collect_list(one)).alias("contributions"),
     )
     out = grouped.join(senior, ["job_id", "resume_id"], "left").withColumn("senior", F.coalesce("senior", F.lit(False)))
-    relieved = F.col("senior") & (1 - F.col("missing") / F.col("must") >= w.implied_min_coverage)
+    relieved = F.col("senior") & F.coalesce(1 - F.try_divide("missing", "must") >= w.implied_min_coverage, F.lit(False))
     marked = F.transform("contributions", lambda c: F.when(relieved & c["is_must_have"] & (c["reason"] == "missing"), c.withField("reason", F.lit("implied-experience"))).otherwise(c))
     score = F.col("mean") * scoring.miss_multiplier(F.col("must"), F.col("missing"), F.col("senior"), w)
     return out.select("job_id", "resume_id", score.alias("skill_score"), "must", "missing", marked.alias("contributions"))

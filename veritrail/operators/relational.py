@@ -138,7 +138,7 @@ def masked_details(details: Column, action: Column, allowed: Mapping[str, tuple[
 
 
 def outcome_tallies(df: DataFrame, key: str, outcomes: tuple[str, ...]) -> DataFrame:
-    return df.groupBy(key).pivot("outcome", list(outcomes)).agg(F.count("*")).na.fill(0, list(outcomes))
+    return df.groupBy(key).pivot("outcome", list(outcomes)).agg(F.count(F.lit(1))).na.fill(0, list(outcomes))
 
 
 def rank_aligned(left: DataFrame, right: DataFrame, base: str, order_left: list[str], order_right: list[str]) -> DataFrame:

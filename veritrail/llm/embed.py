@@ -104,13 +104,14 @@ def _coded(reps: DataFrame, tables: int, bits: int) -> DataFrame:
     return reps.select("key", "unit").mapInArrow(run, "bucket long, key binary, code binary, factor double, query binary, scale double")
 
 
-def possible(code: np.ndarray, factor: np.ndarray, query: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+def possible(code: np.ndarray, factor: np.ndarray, query: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
     """Pairs whose inner product may reach the threshold, by the estimates' upper confidence bounds.
 
-    code: n x D signs; query: n x dim components whose rounding error is at most that of 8 bits.
+    code: n x D signs; query: n x dim components whose rounding error is at most that of 8 bits; turn: the D x dim
+    rotation of the codes.
     """
-    n, wide = code.shape
-    turned = query.astype(np.float32) @ rotations(query.shape[1], 1).astype(np.float32).T
+    wide = code.shape[1]
+    turned = query.astype(np.float32) @ turn.T
     signs = (code * 2 - 1).astype(np.float32) / np.float32(math.sqrt(wide))
     estimate = (signs @ turned.T) / factor[:, None].astype(np.float32)
     bound = EPSILON * np.sqrt((1 - np.minimum(factor, 1) ** 2) / factor**2) / math.sqrt(wide - 1)
@@ -120,6 +121,8 @@ def possible(code: np.ndarray, factor: np.ndarray, query: np.ndarray, threshold:
 
 
 def _grouped(threshold: float):
+    turns: dict[int, np.ndarray] = {}
+
     def run(pdf):
         """Members of a bucket, or of two parts of one, that estimates cannot part; groups are named by the meeting."""
         import pandas as pd
@@ -129,11 +132,13 @@ def _grouped(threshold: float):
             return pd.DataFrame({"key": [], "bucket": []})
         query = np.stack([np.frombuffer(x, np.int8) for x in pdf["query"]]) * pdf["scale"].to_numpy()[:, None]
         code = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in pdf["code"]]), axis=1).astype(np.int8)
-        near = possible(code, pdf["factor"].to_numpy(), query, threshold)
+        if (dim := query.shape[1]) not in turns:
+            turns[dim] = rotations(dim, 1).astype(np.float32)
+        near = possible(code, pdf["factor"].to_numpy(), query, turns[dim], threshold)
         np.fill_diagonal(near, False)
         some = near.any(1)
         root = roots(near[np.ix_(some, some)])
-        name = mix(np.uint64(pdf["meeting"].iloc[0] & (2**64 - 1)) + root.astype(np.uint64)) if some.any() else np.zeros(0, np.uint64)
+        name = mix(pdf["meeting"].to_numpy(np.int64)[:1].view(np.uint64) + root.astype(np.uint64))
         return pd.DataFrame({"key": pdf["key"][some].to_numpy(), "bucket": name.view(np.int64)})
 
     return run

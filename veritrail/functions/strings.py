@@ -30,6 +30,11 @@ LEVELS = {"high_school": 1, "associate": 2, "bachelors": 3, "masters": 4, "phd":
 FORMULA_STARTS = ("=", "+", "-", "@", "\t", "\r")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, INVISIBLE, "")
 
@@ -53,8 +58,8 @@ def strip_version(c: Column) -> Column:
 
 def section_heading(line: Column) -> Column:
     """The section that a line announces, or null: at most 40 characters, and a heading word at its beginning."""
-    line = F.trim(line)
-    head = F.trim(F.regexp_replace(line, ":+$", ""))
+    line = strip(line)
+    head = strip(F.regexp_replace(line, ":+$", ""))
     out = F.lit(None).cast("string")
     for name, words in reversed(SECTIONS):
         out = F.when(head.rlike(rf"^(?i:{words})\b"), name).otherwise(out)
@@ -114,7 +119,7 @@ def json_body(c: Column) -> Column:
     """The JSON in a reply: what a code fence holds, else from the first opening to the last closing bracket."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     between = F.regexp_extract(c, r"(?s)([\{\[].*[\}\]])", 1)
-    return F.when(fenced != "", F.trim(fenced)).when(between != "", between).otherwise(F.trim(c))
+    return F.when(fenced != "", strip(fenced)).when(between != "", between).otherwise(strip(c))
 
 
 def mask_emails(c: Column, mark: str = "[contact redacted]") -> Column:

@@ -115,7 +115,7 @@ def embedding_safe(text: Column, name: Column, email: Column, phone: Column, loc
     given = F.filter(F.array(name, email, phone, location, distinctive), lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
     pattern = F.concat(F.lit(r"(?iU)(?<!\w)(?:"), F.array_join(F.transform(given, loose), "|"), F.lit(r")(?!\w)"))
     removed = F.trim(F.regexp_replace(F.regexp_replace(text, pattern, " "), r"(?U)\s+", " "))
-    return F.when(F.size(given) == 0, mask_phones(mask_emails(text))).when(text.rlike(pattern), removed).otherwise(text)
+    return F.when(F.size(given) == 0, mask_phones(mask_emails(text))).when(F.rlike(text, pattern), removed).otherwise(text)
 
 
 def scrubbed_names(skills: Column, name: Column) -> Column:

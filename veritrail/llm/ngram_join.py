@@ -80,7 +80,7 @@ def signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """Sizes of the intersections of every set on the left with every set on the right, or on the left."""
+    """Sizes of the intersections of every set on the left with every set on the right, or with the others on the left."""
     both = left + (right or [])
     split = len(left) if right else 0
     flat = np.concatenate(both)

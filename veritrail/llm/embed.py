@@ -27,7 +27,7 @@ from .common import U64, Scratch, mix
 THRESHOLD, RECALL, EPSILON = 0.95, 0.9999, 6.0
 CODE_BITS = 256
 #: Expected unrelated vectors of a bucket; members of a part of a large bucket; members of a part that is recomputed.
-BUCKET, PART, EXACT_PART = 32, 256, 192
+BUCKET, PART, EXACT_PART = 32, 256, 64
 
 
 def choose_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -121,25 +121,60 @@ def possible(code: np.ndarray, factor: np.ndarray, query: np.ndarray, turn: np.n
 
 
 def _grouped(threshold: float):
-    turns: dict[int, np.ndarray] = {}
+    """Members of a bucket, or of two parts of one, that estimates cannot part; groups are named by the meeting.
 
-    def run(pdf):
-        """Members of a bucket, or of two parts of one, that estimates cannot part; groups are named by the meeting."""
-        import pandas as pd
+    Rows come sorted by meeting.  What a batch holds is unpacked and rotated at once; a meeting that the batch cuts is
+    carried into the next.
+    """
 
-        pdf = pdf.drop_duplicates("key")
-        if len(pdf) < 2:
-            return pd.DataFrame({"key": [], "bucket": []})
-        query = np.stack([np.frombuffer(x, np.int8) for x in pdf["query"]]) * pdf["scale"].to_numpy()[:, None]
-        code = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in pdf["code"]]), axis=1).astype(np.int8)
-        if (dim := query.shape[1]) not in turns:
-            turns[dim] = rotations(dim, 1).astype(np.float32)
-        near = possible(code, pdf["factor"].to_numpy(), query, turns[dim], threshold)
-        np.fill_diagonal(near, False)
-        some = near.any(1)
-        root = roots(near[np.ix_(some, some)])
-        name = mix(pdf["meeting"].to_numpy(np.int64)[:1].view(np.uint64) + root.astype(np.uint64))
-        return pd.DataFrame({"key": pdf["key"][some].to_numpy(), "bucket": name.view(np.int64)})
+    def run(batches):
+        import pyarrow as pa
+
+        turns: dict[int, np.ndarray] = {}
+
+        def groups(rows: pa.Table) -> pa.RecordBatch:
+            meeting, factor = rows["meeting"].to_numpy(), rows["factor"].to_numpy()
+            keys = np.array(rows["key"].to_pylist(), object)
+            code = np.unpackbits(np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(keys), -1), axis=1).astype(np.int8)
+            raw = rows["query"].to_pylist()
+            dims = np.fromiter(map(len, raw), int, len(raw))
+            scale = rows["scale"].to_numpy()
+            cuts = np.flatnonzero(np.diff(meeting)) + 1
+            out_keys, out_names = [], []
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(meeting)]):
+                if high - low < 2:
+                    continue
+                # a bucket's vectors are of one length, and a row that repeats (both sides of a part with itself) counts once
+                _, at = np.unique(keys[low:high], return_index=True)
+                at = np.sort(at) + low
+                dim = int(dims[low])
+                if len(at) < 2 or (dims[at] != dim).any():
+                    continue
+                if dim not in turns:
+                    turns[dim] = rotations(dim, 1).astype(np.float32)
+                query = np.frombuffer(b"".join(raw[i] for i in at), np.int8).reshape(len(at), dim) * scale[at, None]
+                near = possible(code[at], factor[at], query, turns[dim], threshold)
+                np.fill_diagonal(near, False)
+                some = near.any(1)
+                if some.any():
+                    root = roots(near[np.ix_(some, some)])
+                    out_keys += keys[at[some]].tolist()
+                    out_names.append(mix(meeting[low : low + 1].view(np.uint64) + root.astype(np.uint64)).view(np.int64))
+            names = np.concatenate(out_names) if out_names else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(names)], ["key", "bucket"])
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            meeting = rows["meeting"].to_numpy()
+            last = int(np.searchsorted(meeting, meeting[-1]))  # the last meeting may go on in the next batch
+            if last:
+                yield groups(rows.slice(0, last).combine_chunks())
+            held = rows.slice(last).combine_chunks()
+        if held is not None:
+            yield groups(held)
 
     return run
 
@@ -194,7 +229,8 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     dealt = coded.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", other).withColumn("meeting", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-    groups = dealt.select("meeting", "key", "code", "factor", "query", "scale").groupBy("meeting").applyInPandas(_grouped(threshold), "key binary, bucket long")
+    dealt = dealt.select("meeting", "key", "code", "factor", "query", "scale").repartition("meeting").sortWithinPartitions("meeting")
+    groups = dealt.mapInArrow(_grouped(threshold), "key binary, bucket long")
     groups = scratch.keep(groups.distinct(), "groups")
     scratch.drop("coded", "bucket_sizes")
     plan = meeting_plan(groups, reps.select("key", F.lit(1).cast("long").alias("weight")), scratch, EXACT_PART, EXACT_PART)

@@ -54,17 +54,22 @@ def cut_table(tokens: list[bytes]) -> np.ndarray:
     return ok.ravel() & ~seen
 
 
+#: Pieces of at most so many bytes are merged in a list, longer ones with a heap.
+SHORT = 48
+
+
 class Encoder:
     """Encodes and decodes with a vocabulary file; holds at most `most` fragments in its memo."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.made = [vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         raw = {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t not in self.special}
         self.bytes = [raw.get(i, b"") for i in range(max([*vocab.values(), *self.special.values()]) + 1)]
@@ -82,27 +87,43 @@ class Encoder:
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges a piece's bytes, the lowest rank first and the leftmost of equal ranks first."""
-        ids = [self.first[b] for b in piece]
-        n = len(ids)
-        if n < 2:
-            return ids
+        ids = list(map(self.first.__getitem__, piece))
+        return self._short(ids) if len(ids) <= SHORT else self._long(ids)
+
+    def _short(self, ids: list[int]) -> list[int]:
+        """By searching a list of the neighbours' ranks again after each merge."""
+        get, made, never = self.ranks.get, self.made, len(self.made)
+        ranks = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < never:
+            i = ranks.index(low)
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | new, never)
+            if i < len(ranks):
+                ranks[i] = get(new << 20 | ids[i + 1], never)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """With a heap over a linked list, in n log n steps."""
+        n, get, made = len(ids), self.ranks.get, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get = self.merge.get
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
+            new = made[r]
             ids[i], ids[j] = new, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                if (r := get(new << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 20 | new)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
     def fragments(self, data: bytes) -> list[bytes]:

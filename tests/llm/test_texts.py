@@ -241,7 +241,7 @@ def held(i, mod):
 
 def test_toxicity_held_out(spark):
     rows = toxic_corpus()
-    docs = spark.createDataFrame([(i, t, 5.0) for i, t, _ in rows] + [(None, "Zzidiot", 1.0), (1000, None, 1.0), (1001, "", 1.0), (1002, "zzidiot " * 30_000, 1.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(i, t, 5.0) for i, t, _ in rows] + [(None, "Zzidiot, zzscum zztrash!", 1.0), (1000, None, 1.0), (1001, "", 1.0), (1002, "zzidiot " * 30_000, 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows if held(i, 4) != 2] + [(1000, 1), (None, 1), (5, None), (1, 0)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r for r in toxicity.tag(docs, model).collect()}

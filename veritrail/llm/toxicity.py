@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens are runs of letters, digits and underscores, lower-cased.  The field has two states, clean and toxic.  A token's
-emission sums the weights of its word, its prefixes of 3 to 5 letters, its suffix of 3 letters, and the words before and
+emission sums the weights of its word, its prefixes of 3 to 7 letters, its suffix of 3 letters, and the words before and
 after it.  Labels mark documents, so training tokens are labelled first: in a toxic document those tokens are toxic whose
-word or prefix keeps to toxic documents beyond chance, copied passages counted once; all others are clean.  The field is then fitted by gradient ascent
+word or prefix leans to toxic documents beyond chance, copied passages counted once; all others are clean.  The field is then fitted by gradient ascent
 on the likelihood.  Forward-backward marginals, over whole texts, aggregate to a document's score through a logistic
 link fitted on the same sample, and tokens whose marginal reaches one half make up the offending offsets.
 
@@ -24,17 +24,21 @@ from pyspark.sql import types as T
 from .quality import labelled_sample
 
 #: Most labelled documents of either kind that the field is fitted on.
-SAMPLE = 800
+SAMPLE = 1200
 STEPS, RATE, RIDGE, CHUNK, LEAST = 40, 0.5, 1e-3, 64, 3
-#: Nats of evidence that a feature keeps to toxic documents.
-SURPRISE = 12.0
+#: Share of a feature's contexts that must lie in toxic documents, and nats of evidence that it is no chance.
+SHARE = 0.6
+SURPRISE = 11.0
 #: Tokens that a training step works on at a time.
 PART_TOKENS = 100_000
+#: Lengths of the prefixes that are features; words that differ in their endings share them.
+PREFIXES = (3, 4, 5, 6, 7)
+OWN = len(PREFIXES) + 2
 WORD = re.compile(r"\w+")
 
 
 def own_features(word: str) -> list[str]:
-    return [f"w{word}", f"3{word[:3]}", f"4{word[:4]}", f"5{word[:5]}", f"s{word[-3:]}"]
+    return [f"w{word}", *(f"{n}{word[:n]}" for n in PREFIXES), f"s{word[-3:]}"]
 
 
 def _chain(d: np.ndarray, starts: np.ndarray, trans: np.ndarray, first: np.ndarray):
@@ -121,64 +125,73 @@ class Field:
         return np.split(p, ends[:-1]) if each else []
 
     def score(self, p: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-(evidence(p) @ self.link))))
+        return float(1 / (1 + np.exp(-np.clip(evidence(p) @ self.link, -500, 500))))
 
 
 def evidence(p: np.ndarray) -> np.ndarray:
-    """What the link sees of a document's marginals."""
-    top = np.clip(p.max(initial=0.0), 1e-4, 1 - 1e-4)
-    return np.array([1.0, np.log(top / (1 - top)), np.log1p(p.sum()), min(3.0, float((p >= 0.5).sum()))])
-
-
-def _kept(own: dict[str, int], other: dict[str, int], share: float) -> set[str]:
-    """Features that keep to toxic documents beyond chance; own, other: contexts in documents of either kind."""
-    out = set()
-    for f, k in own.items():
-        n = k + other.get(f, 0)
-        q = k / n
-        surprise = n * (q * np.log(q / share) + (1 - q) * np.log(max(1 - q, 1e-12) / (1 - share)))
-        if q >= 0.95 and surprise >= SURPRISE:
-            out.add(f)
-    return out
+    """What the link sees of a document's marginals: the three highest, their sum, and the sum by length."""
+    top = np.zeros(3)
+    if len(p):
+        best = np.sort(p)[::-1][:3]
+        top[: len(best)] = best
+    top = np.clip(top, 1e-4, 1 - 1e-4)
+    total = float(p.sum())
+    return np.array([1.0, *np.log(top / (1 - top)), np.log1p(total), np.log1p(1000 * total / (len(p) + 50))])
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
-    """share: toxic documents among all labelled ones, to which the link's intercept is adjusted."""
+def _leaning(own: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    """Which features lean to toxic documents beyond chance, by their counts in documents of either kind."""
+    n = own + other
+    q = own / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = n * (np.where(q > 0, q * np.log(q / share), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - share)), 0))
+    return (q >= SHARE) & (surprise >= SURPRISE)
+
+
+def fit_field(texts: list[str], toxic: np.ndarray) -> Field:
+    """A field whose link is still to be fitted.  Features are handled as numbers; strings only name the kept ones."""
+    import xxhash
+
     docs = [WORD.findall((t or "").lower()) for t in texts]
     trans, first = np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([0.9, 0.1])
-    flat_prior = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0])
-    if not docs or toxic.min() == toxic.max():
-        return Field({}, -5.0, trans, first, flat_prior)
+    sizes = np.array([len(w) for w in docs], int)
+    if not sizes.sum() or toxic.min() == toxic.max():
+        return Field({}, -5.0, trans, first, np.zeros(0))
     types = {w: i for i, w in enumerate(sorted({w for words in docs for w in words}))}
-    ids = [np.array([types[w] for w in words], np.int64) for words in docs]
-    sizes = np.array([len(i) for i in ids])
-    x, none = np.concatenate(ids), len(types)
+    x = np.concatenate([np.fromiter(map(types.__getitem__, words), np.int32, len(words)) for words in docs])
+    docs.clear()
+    none, count = len(types), len(texts)
+    doc = np.repeat(np.arange(count), sizes)
     starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    if not len(x):
-        return Field({}, -5.0, trans, first, flat_prior)
-    bad = np.repeat(toxic > 0, sizes)
+    bad = toxic[doc] > 0
     left, right = np.concatenate([[none], x[:-1]]), np.concatenate([x[1:], [none]])
     left[starts] = none
     right[(starts - 1)[starts > 0]] = none
-    # a context is a word and the word before it, so that copies count once
-    contexts = [np.unique(left[bad == kind] * none + x[bad == kind]) % none for kind in (False, True)]
-    by_type = [np.bincount(c, minlength=none) for c in contexts]
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for w, i in types.items():
-        for got, times in zip(counts, by_type):
-            if times[i]:
-                for f in own_features(w)[:4]:
-                    got[f] = got.get(f, 0) + int(times[i])
-    seeds = _kept(counts[1], counts[0], len(contexts[1]) / max(1, len(contexts[0]) + len(contexts[1])))
-    often: dict[str, int] = {}
-    for words in docs:
-        for w in set(words):
-            for f in (*own_features(w), f"<{w}", f">{w}"):
-                often[f] = often.get(f, 0) + 1
-    index = {f: i + 1 for i, f in enumerate(sorted(f for f, k in often.items() if k >= LEAST))}
-    own = np.array([[index.get(f, 0) for f in own_features(w)] for w in types], np.int32).reshape(none, 5)
-    to_right, to_left = (np.array([index.get(f"{mark}{w}", 0) for w in types] + [0], np.int32) for mark in "<>")
-    marked = np.array([any(f in seeds for f in own_features(w)[:4]) for w in types])
+    hashed = np.array([[xxhash.xxh64_intdigest(f) for f in own_features(w)] for w in types], np.uint64)
+    known, own = np.unique(hashed, return_inverse=True)
+    own = own.reshape(none, OWN).astype(np.int32)
+    # what a feature is seen in counts once for each document, and once for each word before it, whichever is less:
+    # copied passages share the words before, and a document's own repetitions the document
+    kinds = [np.zeros(len(known), int), np.zeros(len(known), int)]
+    often = np.zeros(len(known), int)
+    for j in range(OWN):
+        seen_in = np.unique(own[x, j].astype(np.int64) * count + doc)
+        often += np.bincount(seen_in // count, minlength=len(known))
+        for kind in (0, 1):
+            in_docs = np.bincount(seen_in[toxic[seen_in % count] == kind] // count, minlength=len(known))
+            at = bad == bool(kind)
+            contexts = np.unique(own[x[at], j].astype(np.int64) * (none + 1) + left[at]) // (none + 1)
+            kinds[kind] += np.minimum(in_docs, np.bincount(contexts, minlength=len(known)))
+    leaning = _leaning(kinds[1], kinds[0], float(toxic.mean()))
+    marked = leaning[own[:, :-1]].any(1)
+    of_word = often[own[:, 0]] >= LEAST  # the words that are features of their neighbours
+    index = np.zeros(len(known), np.int32)
+    index[often >= LEAST] = np.arange(1, (often >= LEAST).sum() + 1)
+    own, kept = index[own], int(index.max()) + 1
+    beside = np.zeros(none + 1, np.int32)
+    beside[:-1][of_word] = np.arange(of_word.sum())
+    to_right = np.where(np.append(of_word, False), kept + beside, 0)
+    to_left = np.where(np.append(of_word, False), kept + of_word.sum() + beside, 0)
     y = (bad & marked[x]).astype(float)
     inner = np.ones(len(x), bool)
     inner[starts] = False
@@ -189,7 +202,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
         if s - cuts[-1] >= PART_TOKENS:
             cuts.append(s)
     cuts.append(len(x))
-    theta, bias, logs = np.zeros(len(index) + 1), -3.0, np.log(trans)
+    theta, bias, logs = np.zeros(kept + 2 * int(of_word.sum())), -3.0, np.log(trans)
     squares, bias_square, trans_square = np.full(len(theta), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(STEPS):  # ascent with per-weight step sizes
         trans = np.exp(logs)
@@ -199,7 +212,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
             if low == high:
                 continue
             part = slice(low, high)
-            d = by_word[x[part]] + theta[to_right][left[part]] + theta[to_left][right[part]] + bias
+            d = by_word[x[part]] + theta[to_right[left[part]]] + theta[to_left[right[part]]] + bias
             alpha, beta, step = _chain(d, np.flatnonzero(~inner[part]), trans, first)
             p = alpha * beta
             off[part] = y[part] - p[:, 1] / p.sum(1)
@@ -207,7 +220,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
             a, b, s = alpha[at - 1], beta[at], step[at]
             pair = np.stack([a[:, i] * s[:, i, j] * b[:, j] for i in (0, 1) for j in (0, 1)])
             expected += (pair / pair.sum(0)).sum(1).reshape(2, 2)
-        g = np.bincount(own.ravel(), np.repeat(np.bincount(x, off, none), 5), len(theta))
+        g = np.bincount(own.ravel(), np.repeat(np.bincount(x, off, none), OWN), len(theta))
         g += np.bincount(to_right, np.bincount(left, off, none + 1), len(theta)) + np.bincount(to_left, np.bincount(right, off, none + 1), len(theta))
         g -= RIDGE * theta
         g[0] = 0
@@ -218,17 +231,68 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
         gt = seen - expected
         trans_square += gt**2
         logs += 0.1 * gt / np.sqrt(trans_square)
-    names = {i: f for f, i in index.items()}
-    field = Field({names[i]: float(theta[i]) for i in np.flatnonzero(np.abs(theta) > 1e-6)}, float(bias), np.exp(logs), first, flat_prior)
+    weights: dict[str, float] = {}
+    for i, w in enumerate(types):
+        for f, k in zip((*own_features(w), f"<{w}", f">{w}"), (*own[i], to_right[i], to_left[i])):
+            if k and abs(theta[k]) > 1e-6:
+                weights[f] = float(theta[k])
+    return Field(weights, float(bias), np.exp(logs), first, np.zeros(0))
+
+
+def _seen(field: Field, texts: list[str]) -> np.ndarray:
     memo: dict = {}
-    e = np.stack([evidence(p) for at in range(0, len(texts), 100) for p in field.tagged(texts[at : at + 100], memo)])
+    return np.stack([evidence(p) for at in range(0, len(texts), 100) for p in field.tagged(texts[at : at + 100], memo)])
+
+
+def _logistic(e: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weighted logistic regression; Newton steps are halved until the penalised likelihood rises."""
+    penalty = np.full(e.shape[1], ridge)
+    penalty[0] = 1e-3
+
+    def value(b: np.ndarray) -> float:
+        z = e @ b
+        return float((weight * (y * z - np.logaddexp(0, z))).sum() - 0.5 * (penalty * b * b).sum())
+
+    b = np.zeros(e.shape[1])
+    now = value(b)
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-np.clip(e @ b, -30, 30)))
+        step = np.linalg.solve((e * (weight * q * (1 - q))[:, None]).T @ e + np.diag(penalty), e.T @ (weight * (y - q)) - penalty * b)
+        size = 1.0
+        while size > 1e-6 and value(b + size * step) < now:
+            size /= 2
+        b = b + size * step
+        if (new := value(b)) - now < 1e-9 * (1 + abs(now)):
+            break
+        now = new
+    return b
+
+
+def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
+    """share: toxic documents among all labelled ones, to which the link is adjusted.
+
+    The link is fitted on what fields that were fitted on the other half of the sample see of each document.
+    """
+    prior = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), *[0.0] * (len(evidence(np.zeros(0))) - 1)])
+    field = fit_field(texts, toxic)
+    if not field.weights:
+        field.link = prior
+        return field
+    half = np.arange(len(texts)) % 2
+    e = np.zeros((len(texts), len(prior)))
+    for k in (0, 1):
+        learnt, seen = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        e[seen] = _seen(fit_field([texts[i] for i in learnt], toxic[learnt]), [texts[i] for i in seen])
     mean = float(toxic.mean())
     weight = np.where(toxic == 1, share / mean, (1 - share) / (1 - mean))
-    link = np.zeros(4)
-    for _ in range(30):  # Newton steps of the logistic link
-        q = 1 / (1 + np.exp(-np.clip(e @ link, -30, 30)))
-        h = (e * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ e + 0.05 * np.eye(4)
-        link = link + np.linalg.solve(h, e.T @ (weight * (toxic - q)) - 0.05 * link)
+    active = list(range(len(prior)))
+    while True:  # evidence never counts against a document: what would, goes
+        link = prior * 0
+        link[active] = _logistic(e[:, active], toxic, weight)
+        worst = min(active[1:], key=lambda i: link[i], default=0)
+        if not worst or link[worst] >= 0:
+            break
+        active.remove(worst)
     field.link = link
     return field
 

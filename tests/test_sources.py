@@ -151,3 +151,13 @@ def test_sessions(spark, tmp_path):
     q = sessions.sessionised(stream, "u", "at", "10 minutes", "1 hour").writeStream.format("memory").queryName("got").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.u, r.n) for r in spark.table("got").collect()} == {("u", 2), ("u", 1)}
+
+
+def test_vocabulary_files(spark, tmp_path):
+    from veritrail.sources import vocabulary as v
+
+    (tmp_path / "a.json").write_text('[{"canonical": "Go", "aliases": ["golang"]}]')
+    (tmp_path / "f.json").write_text('{"web": ["Flask ", "go"], "sys": ["go"]}')
+    assert sorted(map(tuple, v.read_aliases(spark, str(tmp_path / "a.json")).collect())) == [("go", "go"), ("golang", "go")]
+    assert sorted((r.skill, r.families) for r in v.read_families(spark, str(tmp_path / "f.json")).collect()) == [("flask", ["web"]), ("go", ["sys", "web"])]
+    assert v.read_aliases(spark, str(tmp_path / "none.json")).count() == 0

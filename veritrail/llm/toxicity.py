@@ -25,7 +25,7 @@ from .quality import labelled_sample
 
 #: Most labelled documents of either kind that the field is fitted on.
 SAMPLE = 1200
-STEPS, RATE, RIDGE, CHUNK, LEAST = 40, 0.5, 1e-3, 64, 3
+STEPS, RATE, RIDGE, CHUNK, LEAST = 25, 0.5, 1e-3, 64, 3
 #: Share of a feature's contexts that must lie in toxic documents, and nats of evidence that it is no chance.
 SHARE = 0.6
 SURPRISE = 11.0

@@ -207,7 +207,7 @@ def smeared_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unsmeared(skills).select("resume_id", "skill", "years")
 
 
-@query(f"""WITH {FINAL_SQL} SELECT job_id, resume_id, part, weight, round(score, 6) AS score, round(weight * score, 6) AS contribution FROM ranked,
+@query(f"""WITH {FINAL_SQL} SELECT job_id, resume_id, part, CAST(weight AS DOUBLE) AS weight, round(score, 6) AS score, round(weight * score, 6) AS contribution FROM ranked,
   LATERAL (VALUES ('skill', 0.4, skill_score), ('experience', 0.25, experience), ('education', 0.1, NULL), ('seniority', 0.15, NULL), ('vector', 0.1, vec)) AS v(part, weight, score)""")
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions by part; what was not recorded stays null."""

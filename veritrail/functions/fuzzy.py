@@ -32,8 +32,12 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best similarity of the shorter string to a window of the longer, of its length or clipped at either end."""
+def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """The best similarity of the shorter string to a window of the longer, of its length or clipped at either end.
+
+    A score below the cutoff comes out as 0.  A window is measured only if the characters it shares with the shorter
+    string, counted as the window slides, could lift the best score.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -41,15 +45,20 @@ def partial_ratio(a: str, b: str) -> float:
     if a in b:
         return 1.0
     masks, n, best = _masks(a), len(a), 0.0
-    letters = set(a)
+    left = {c: m.bit_count() for c, m in masks.items()}  # characters of a that the window still lacks; below 0: too many
+    common = 0
     for end in range(1, len(b) + n):
+        if end <= len(b) and (c := b[end - 1]) in left:
+            common += left[c] > 0
+            left[c] -= 1
+        if end > n and (c := b[end - n - 1]) in left:
+            left[c] += 1
+            common -= left[c] > 0
         low, high = max(0, end - n), min(len(b), end)
-        # the edge characters of an inner window that count for nothing are no better than those of a smaller one
-        if b[high - 1] not in letters and high < len(b):
-            continue
-        if 2 * min(n, high - low) / (n + high - low) > best:
+        bound = 2 * common / (n + high - low)
+        if bound > best and bound >= cutoff:
             best = max(best, 2 * lcs(a, b[low:high], masks) / (n + high - low))
-    return best
+    return best if best >= cutoff else 0.0
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -82,5 +91,15 @@ def partial_ratio_column(a: Column, b: Column) -> Column:
     return _partial(a, b)
 
 
+def partial_ratio_reaches(a: Column, b: Column, bar: float) -> Column:
+    """Whether the score is at least the bar, which spares most of the windows."""
+
+    @F.pandas_udf(T.BooleanType())
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else partial_ratio(p, q, bar) >= bar for p, q in zip(x, y)], dtype="object")
+
+    return reaches(a, b)
+
+
 def token_set_ratio_column(a: Column, b: Column) -> Column:
     return _token_set(a, b)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import partial_ratio_column
+from ..functions.fuzzy import partial_ratio_reaches
 from ..functions.strings import collapse, strip_controls
 from ..weights import DEFAULT, Weights
 
@@ -21,7 +21,7 @@ def verification_rate(quotes: DataFrame, chunks: DataFrame, w: Weights = DEFAULT
     plain = lambda c: collapse(strip_controls(F.lower(c)))
     both = known.select("row_id", plain(F.col("evidence")).alias("needle"), plain(F.col("text")).alias("hay"))
     told = both.withColumn("exact", F.contains("hay", "needle"))
-    asked = told.where("not exact").select("needle", "hay").distinct().withColumn("close", partial_ratio_column(F.col("needle"), F.col("hay")) >= w.evidence_verify_fuzz)
+    asked = told.where("not exact").select("needle", "hay").distinct().withColumn("close", partial_ratio_reaches(F.col("needle"), F.col("hay"), w.evidence_verify_fuzz))
     good = told.join(asked, ["needle", "hay"], "left").where("exact or close").select("row_id").distinct().withColumn("good", F.lit(True))
     out = shown.select("row_id").join(good, "row_id", "left").agg(F.count("*").alias("surfaced"), F.count("good").alias("verified"))
     return out.withColumn("rate", F.coalesce(F.try_divide("verified", "surfaced"), F.lit(1.0)))

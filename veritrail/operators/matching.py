@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.fuzzy import partial_ratio_column
+from ..functions.fuzzy import partial_ratio_reaches
 from ..functions.strings import collapse, strip_controls
 from ..weights import DEFAULT, Weights
 
@@ -19,15 +19,19 @@ def requirement_rows(candidates: DataFrame, requires: DataFrame, has_skill: Data
     has another skill of a family of the requirement that is not excluded, else 0.  The overlap of families is an
     equi-join on single families, so no pair of arrays is ever compared.
     """
-    wanted = candidates.join(requires, "job_id")
-    direct = wanted.join(has_skill.select("resume_id", "skill", "years", "last_used_year", F.lit(True).alias("held")), ["resume_id", "skill"], "left")
     usable = families.where(~F.col("family").isin(*excluded)) if excluded else families
-    reached = has_skill.select("resume_id", "skill").join(usable, "skill").select("resume_id", "family").distinct()
-    credited = wanted.select("job_id", "resume_id", "skill").join(usable, "skill").join(reached, ["resume_id", "family"], "left_semi")
-    credited = credited.select("job_id", "resume_id", "skill", F.lit(True).alias("credited")).distinct()
-    rows = direct.join(credited, ["job_id", "resume_id", "skill"], "left")
-    weight = F.when(F.col("held"), 1.0).when(F.col("credited"), family_credit).otherwise(0.0)
-    return rows.select("job_id", "resume_id", "skill", "min_years", F.coalesce("is_must_have", F.lit(True)).alias("is_must_have"), "years", "last_used_year", weight.alias("ontology_weight"))
+    none = F.lit(None).cast("string")
+    keys = F.explode(F.array(F.struct(F.col("skill").alias("own"), none.alias("shared")), F.struct(none.alias("own"), F.col("family").alias("shared"))))
+    key = F.coalesce(F.concat(F.lit("skill:"), F.col("k.own")), F.concat(F.lit("family:"), F.col("k.shared"))).alias("key")
+    # either side offers a row for the skill itself and one for each family, so one join finds both kinds of match
+    offered = has_skill.select("resume_id", "skill", "years", "last_used_year").join(usable, "skill", "left").withColumn("k", keys).where("k.own is not null or k.shared is not null")
+    offered = offered.select("resume_id", key, F.when(F.col("k.own").isNotNull(), F.struct("years", "last_used_year")).alias("held"))
+    wanted = candidates.join(requires, "job_id").join(usable, "skill", "left").withColumn("k", keys).where("k.own is not null or k.shared is not null")
+    wanted = wanted.select("job_id", "resume_id", "skill", "min_years", "is_must_have", key)
+    met = wanted.join(offered.withColumn("met", F.lit(True)), ["resume_id", "key"], "left")
+    rows = met.groupBy("job_id", "resume_id", "skill", "min_years", "is_must_have").agg(F.max("held").alias("held"), F.max("met").alias("met"))
+    weight = F.when(F.col("held").isNotNull(), 1.0).when(F.col("met"), family_credit).otherwise(0.0)
+    return rows.select("job_id", "resume_id", "skill", "min_years", F.coalesce("is_must_have", F.lit(True)).alias("is_must_have"), "held.years", "held.last_used_year", weight.alias("ontology_weight"))
 
 
 def skill_scores(rows: DataFrame, senior: DataFrame, today_year: int, w: Weights = DEFAULT) -> DataFrame:
@@ -83,7 +87,7 @@ def verified(requirements: DataFrame, chunks: DataFrame, quote: str = "evidence"
     exact = F.contains("hay", "needle")
     known = known.withColumn("state", F.when(~fits, "no").when(exact, "yes").otherwise("ask"))
     asked = known.where("state = 'ask'").select("needle", "hay").distinct()
-    asked = asked.withColumn("close", partial_ratio_column(F.col("needle"), F.col("hay")) >= w.evidence_verify_fuzz)
+    asked = asked.withColumn("close", partial_ratio_reaches(F.col("needle"), F.col("hay"), w.evidence_verify_fuzz))
     told = known.join(asked, ["needle", "hay"], "left")
     good = F.max((F.col("state") == "yes") | ((F.col("state") == "ask") & F.col("close")))
     told = told.groupBy("row_id").agg(F.coalesce(good, F.lit(False)).alias("good"), F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("good_ids"))

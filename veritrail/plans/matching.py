@@ -7,14 +7,16 @@ size 7 whose key falls to it.  A brand's family is its most frequent part type;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import matching, ranking
+from ..operators.recall import normalised
 from .registry import query, table
 
-TODAY = 2001
+#: The year that counts as now, the candidates recalled for a job, and those whose evidence is sought.
+TODAY, COARSE_K, EVIDENCE_K = 2001, 50, 15
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,16 +72,16 @@ skill AS (SELECT job_id, resume_id, must, missing, mean * CASE WHEN must > 0 AND
     CASE WHEN senior AND 1 - missing / must >= 0.5 THEN 0.75 ELSE 0.5 END ELSE 1.0 END AS skill_score FROM sk)"""
 
 
-def requirement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.requirement_rows(candidates(spark, sf_dir), requires(spark, sf_dir), has_skill(spark, sf_dir), families(spark, sf_dir), ("PROMO",))
+def requirement_rows(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return matching.requirement_rows(candidates(spark, sf_dir) if of is None else of, requires(spark, sf_dir), has_skill(spark, sf_dir), families(spark, sf_dir), ("PROMO",))
 
 
 def seniors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(spark, sf_dir).select("job_id", "resume_id", scoring.is_senior(F.col("years"), F.col("bar")).alias("senior"))
 
 
-def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.skill_scores(requirement_rows(spark, sf_dir), seniors(spark, sf_dir), TODAY)
+def skill_scores(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return matching.skill_scores(requirement_rows(spark, sf_dir, of), seniors(spark, sf_dir), TODAY)
 
 
 @query(f"WITH {BASE_SQL} SELECT job_id, resume_id, skill, min_years, is_must_have, years, last_used_year, CAST(weight AS DOUBLE) AS ontology_weight FROM rows_")
@@ -124,40 +126,43 @@ def education(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", best.alias("best_rank"), F.round(score, 6).alias("education"))
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements of all candidates as evidence: what is held is met, what is credited partial."""
-    rows = requirement_rows(spark, sf_dir)
-    status = F.when(F.col("ontology_weight") == 1, "met").when(F.col("ontology_weight") > 0, "partial").otherwise("missing")
-    confidence = F.when(F.col("ontology_weight") == 1, F.when(F.coalesce("years", F.lit(0)) >= 1, 0.9).otherwise(0.6)).otherwise(0.4)
-    one = F.struct(F.col("skill").alias("requirement"), status.alias("status"), confidence.alias("confidence"))
-    return rows.groupBy("job_id", "resume_id").agg(F.array_sort(F.collect_list(one)).alias("requirements"))
+def _evidence(contributions: Column) -> Column:
+    """A candidate's requirements as evidence: what is held is met, what is credited partial."""
+    def one(c: Column) -> Column:
+        held, credited = F.coalesce(c["ontology_weight"] == 1, F.lit(False)), c["ontology_weight"].isNotNull()
+        status = F.when(held, "met").when(credited, "partial").otherwise("missing")
+        confidence = F.when(held, F.when(F.coalesce(c["years"], F.lit(0)) >= 1, 0.9).otherwise(0.6)).otherwise(0.4)
+        return F.struct(c["skill"].alias("requirement"), status.alias("status"), confidence.alias("confidence"))
+
+    return F.transform(contributions, one)
 
 
 def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in one plan: structured scores, evidence of the first 15, combination, total order, cap."""
+    """All stages in one plan: recall of each job's 50 best, structured scores, evidence of the first 15, combination,
+    total order.  All windows after the recall see 50 rows of a job at most."""
     t = totals(spark, sf_dir)
-    # the stand-in for similarity: the account balance scaled to its pool
-    pool = Window.partitionBy("job_id")
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("job_id"), F.col("c_custkey").alias("resume_id"), F.col("c_acctbal").alias("bal"))
-    low, high = F.min("bal").over(pool), F.max("bal").over(pool)
-    vec = accounts.select("job_id", "resume_id", F.when(high - low < 1e-9, 1.0).otherwise((F.col("bal") - low) / (high - low)).alias("vec"))
-    scored = vec.join(skill_scores(spark, sf_dir).select("job_id", "resume_id", "skill_score"), ["job_id", "resume_id"], "left").join(t, ["job_id", "resume_id"])
+    # the stand-in for similarity: the account balance, scaled to the recalled pool
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("job_id"), F.col("c_custkey").alias("resume_id"), F.col("c_acctbal").alias("vec_score"))
+    recalled = ranking.ranked(accounts, "job_id", [F.desc("vec_score"), F.col("resume_id")], "recall_rank").where(F.col("recall_rank") <= COARSE_K)
+    vec = normalised(recalled).select("job_id", "resume_id", F.col("vec_norm").alias("vec"))
+    who = vec.select("job_id", "resume_id")
+    scored = vec.join(skill_scores(spark, sf_dir, who), ["job_id", "resume_id"], "left").join(t, ["job_id", "resume_id"])
     scored = scored.withColumn("experience", scoring.experience(F.col("years"), F.col("bar"))).withColumn("skill_score", F.coalesce("skill_score", F.lit(0.0)))
     scored = scored.withColumn("structured", scoring.structured(F.col("skill_score"), F.col("experience"), F.lit(1.0), F.lit(0.0), F.col("vec")))
     key = [F.desc(F.round("structured", 9)), F.desc("vec"), F.col("resume_id")]
-    scored = ranking.evaluated(scored, "job_id", 15, key)
-    told = scored.join(_evidence(spark, sf_dir), ["job_id", "resume_id"], "left")
-    evidence = F.when(F.col("evidence_evaluated"), scoring.completeness(F.col("requirements"))).otherwise(0.0)
-    told = told.withColumn("evidence", evidence).withColumn("final", scoring.final(F.col("structured"), F.col("evidence"), F.lit(0.0)))
+    scored = ranking.evaluated(scored, "job_id", EVIDENCE_K, key)
+    evidence = F.when(F.col("evidence_evaluated"), scoring.completeness(_evidence(F.col("contributions")))).otherwise(0.0)
+    told = scored.withColumn("evidence", evidence).withColumn("final", scoring.final(F.col("structured"), F.col("evidence"), F.lit(0.0)))
     return ranking.ranked(told, "job_id", [F.desc(F.round("final", 9)), *key])
 
 
 FINAL_SQL = f"""{SKILL_SQL},
+rec AS (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= {COARSE_K}),
 acc AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-9 THEN 1.0
-    ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS vec FROM customer WINDOW w AS (PARTITION BY c_nationkey)),
+    ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS vec FROM rec WINDOW w AS (PARTITION BY c_nationkey)),
 st AS (SELECT a.job_id, a.resume_id, a.vec, coalesce(s.skill_score, 0.0) AS skill_score, {EXPERIENCE} AS experience FROM acc a LEFT JOIN skill s USING (job_id, resume_id) JOIN tot t USING (job_id, resume_id)),
 st2 AS (SELECT *, 0.4 * skill_score + 0.25 * experience + 0.1 * 1.0 + 0.15 * 0.0 + 0.1 * vec AS structured FROM st),
-st3 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(structured, 9) DESC, vec DESC, resume_id) <= 15 AS evidence_evaluated FROM st2),
+st3 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(structured, 9) DESC, vec DESC, resume_id) <= {EVIDENCE_K} AS evidence_evaluated FROM st2),
 ev AS (SELECT job_id, resume_id, (count(*) FILTER (weight = 1 AND coalesce(years, 0) >= 1) + 0.5 * count(*) FILTER (weight > 0 AND weight < 1)) / count(*) AS completeness FROM rows_ GROUP BY 1, 2),
 fin AS (SELECT st3.*, CASE WHEN evidence_evaluated THEN coalesce(completeness, 0.0) ELSE 0.0 END AS evidence FROM st3 LEFT JOIN ev USING (job_id, resume_id)),
 fin2 AS (SELECT *, 0.6 * structured + 0.3 * evidence + 0.1 * 0.0 AS final FROM fin),

@@ -157,3 +157,21 @@ def test_pipeline(spark):
 def _grams(t):
     w = (t or "").lower().split()
     return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["op1_warc", "op2_ngram_join", "op3_sharding", "op4_embedding_dedup", "op8_secrets"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from veritrail.llm.queries import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    names = sorted(df.columns)
+    sql = c.sql(ORACLES[name])
+    assert sorted(sql.columns) == names
+    at = [sql.columns.index(n) for n in names]
+    assert sorted((tuple(str(r[n]) for n in names) for r in df.collect())) == sorted(tuple(str(r[i]) for i in at) for r in sql.fetchall())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,8 +80,61 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_sharding, op4_embedding_dedup, op5_toxicity, op6_quality, op7_bpe, op8_secrets, op9_decontaminate, op10_pii)}
+def _secret_sql() -> str:
+    """Spans by the rules' expressions: what a text holds between matches tells where they stand."""
+    rules = []
+    for i, r in enumerate(secret_scan.RULES):
+        prefix = re.sub(r"\((?!\?)", "(?:", r.prefix)
+        pattern = f"{f'(?i:{prefix})' if r.either_case else prefix}({r.tail}+)".replace("'", "''")
+        rules.append(f"('{r.kind}', {i}, '{pattern}', {r.least})")
+    one = "kind || ':' || a || ':' || (a + n)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k(kind, ord, pattern, least) AS (VALUES {", ".join(rules)}),
+m AS (SELECT doc_id, kind, ord, least, regexp_extract_all(t, pattern) AS ms, regexp_extract_all(t, pattern, 1) AS tails, string_split_regex(t, pattern) AS ps FROM d, k),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS nth FROM m),
+s AS (SELECT doc_id, kind, ord, length(ms[nth]) AS n, CAST(list_sum(list_transform(ps[1:nth], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:nth - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM i WHERE length(tails[nth]) >= least),
+g AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+  string_agg({one}, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg({one}, ',' ORDER BY a, ord) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+#: A CRC by bytes, the row numbers, and the rounds of the network one by one, again from the start while a value is too large.
+SHARD_SQL = f"""WITH RECURSIVE c8 AS (SELECT i, 0 AS k, i::UBIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM c8 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM c8 WHERE k = 8),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, list_transform(list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','), lambda x: x <> ''), lambda x: CAST('0x' || x AS UBIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, size, CAST(xor(list_reduce(bytes, lambda a, x: xor(a >> 8, tab[CAST(1 + (xor(a, x) & 255) AS INT)]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS BIGINT) AS text_crc32 FROM b, tab),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM d),
+p AS (SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2) AS w FROM d),
+key AS (SELECT j, MIX(((j::UHUGEINT * 11400714819323198485 + 17) % 18446744073709551616)::UBIGINT) AS key FROM range(1, {shard.ROUNDS + 1}) t(j)),
+f AS (SELECT row_number AS id, 0 AS j, (row_number >> w)::UBIGINT AS l, (row_number & ((1 << w) - 1))::UBIGINT AS r FROM o, p
+  UNION ALL SELECT id, CASE WHEN f.j = {shard.ROUNDS} THEN 0 ELSE f.j + 1 END, CASE WHEN f.j = {shard.ROUNDS} THEN l ELSE r END,
+    CASE WHEN f.j = {shard.ROUNDS} THEN r ELSE xor(l, MIX(((r::UHUGEINT + key.key) % 18446744073709551616)::UBIGINT) & ((1 << w) - 1)::UBIGINT) END
+  FROM f CROSS JOIN p LEFT JOIN key ON key.j = f.j + 1 WHERE f.j < {shard.ROUNDS} OR (l << w) + r >= n),
+q AS (SELECT id, ((l << w) + r)::BIGINT AS position FROM f, p WHERE j = {shard.ROUNDS} AND (l << w) + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(position % {SHARDS} AS INT) AS shard, position // {SHARDS} AS slot, NULL::INT AS grown_shard, row_number FROM o JOIN q ON q.id = o.row_number"""
+
+
+def _shard_sql() -> str:
+    """The SQL with the 64-bit finaliser written out for MIX(x); products are taken in 128 bits."""
+    times = lambda x, c: f"((({x})::UHUGEINT * {c}) % 18446744073709551616)::UBIGINT"
+    out = SHARD_SQL
+    while (at := out.find("MIX(")) >= 0:
+        depth, end = 1, at + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(out[end], 0)
+            end += 1
+        step = out[at + 4 : end - 1]
+        for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+            step = times(f"xor({step}, {step} >> {shift})", factor)
+        out = out[:at] + f"xor({step}, {step} >> 31)" + out[end:]
+    return out
+
+
 #: For what SQL can say; the others are held against brute force in tests.
 ORACLES: dict[str, str] = {
+    "op3_sharding": _shard_sql(),
+    "op8_secrets": _secret_sql(),
     "op1_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
 SELECT page_id, strlen(html) AS payload_bytes,

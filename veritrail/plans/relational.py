@@ -123,14 +123,14 @@ def latest_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, sha256(text) AS sha, length(text) >= 50 AS ok, doc_id % 10 = 0 AS stored FROM documents),
+    """WITH d AS (SELECT doc_id, sha256(text) AS sha, length(text) >= 50 AS ok, source = 'src0' AS stored FROM documents),
 s AS (SELECT DISTINCT sha FROM d WHERE stored),
 n AS (SELECT d.*, row_number() OVER (PARTITION BY sha, ok ORDER BY doc_id) AS place, sha IN (SELECT sha FROM s) AS known FROM d WHERE NOT stored)
 SELECT doc_id, sha, CASE WHEN NOT ok THEN 'rejected' WHEN known OR place > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM n"""
 )
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome of an upload: too short, already stored, earlier in the batch, or accepted.  Every tenth row is stored."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), (F.length("text") >= 50).alias("ok"), (F.col("doc_id") % 10 == 0).alias("stored"))
+    """Outcome of an upload: too short, already stored, earlier in the batch, or accepted.  The first source is stored."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), (F.length("text") >= 50).alias("ok"), (F.col("source") == "src0").alias("stored"))
     batch, stored = d.where("not stored").drop("stored"), d.where("stored")
     return relational.dedup_outcome(batch, stored, "sha", ["doc_id"], F.col("ok")).select("doc_id", "sha", "outcome")
 
@@ -288,13 +288,14 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE doc_id % 3 <> 0),
-c AS (SELECT doc_id AS cover_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE doc_id % 3 = 0)
+    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE lang = 'en'),
+c AS (SELECT doc_id AS cover_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE lang <> 'en')
 SELECT doc_id, source, place, cover_id FROM r LEFT JOIN c USING (source, place)"""
 )
 def pairing_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    left, right = d.where("doc_id % 3 <> 0"), d.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "cover_id")
+    """English documents play résumés, all others cover letters of the same source."""
+    d = table(spark, sf_dir, "documents")
+    left, right = d.where("lang = 'en'").select("doc_id", "source"), d.where("lang <> 'en'").select(F.col("doc_id").alias("cover_id"), "source")
     return relational.rank_aligned(left, right, "source", ["doc_id"], ["cover_id"]).select("doc_id", "source", "place", "cover_id")
 
 
@@ -332,13 +333,14 @@ def ordering_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT o_orderkey, o_totalprice AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders),
-b AS (SELECT o_orderkey, o_totalprice + o_orderkey % 3 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice + o_orderkey % 3 DESC, o_orderkey) AS r FROM orders WHERE o_orderkey % 11 <> 0)
+b AS (SELECT o_orderkey, o_totalprice + o_orderkey % 3 AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice + o_orderkey % 3 DESC, o_orderkey) AS r FROM orders WHERE o_orderpriority <> '5-LOW')
 SELECT max(abs(a.r - b.r)) AS rank_drift, max(abs(a.s - b.s)) AS score_drift, count(*) FILTER (a.r IS NULL OR b.r IS NULL) AS missing FROM a FULL JOIN b USING (o_orderkey)"""
 )
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("score"))
+    """Two runs over the same rows, the second without those of low priority and with other scores."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("score"), "o_orderpriority")
     order = [F.desc("score"), F.col("o_orderkey")]
-    other = o.where("o_orderkey % 11 <> 0").withColumn("score", F.col("score") + F.col("o_orderkey") % 3)
+    other = o.where("o_orderpriority <> '5-LOW'").withColumn("score", F.col("score") + F.col("o_orderkey") % 3)
     return ranking.drift(ranking.ranked(o, "o_custkey", order), ranking.ranked(other, "o_custkey", order), "o_orderkey")
 
 

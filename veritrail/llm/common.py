@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def share(spark: SparkSession, value) -> Callable[[], object]:
+    """A function that gives the value on executors, from a broadcast; the value's size must have a bound.
+
+    It is pickled with its class, as executors may not have the package; each task unpickles it once.
+    """
+    from pyspark import cloudpickle
+
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        import pickle
+
+        return pickle.loads(sent.value)
+
+    return get
+
+
 class Scratch:
     """Tables in the folder that the driver and all executors share.
 

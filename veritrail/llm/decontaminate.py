@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Scratch, WordHashes, mix
+from .common import U64, Scratch, WordHashes, mix, share
 
 #: Fixed masks: 1 is hashed, 0 ignored.
 MASKS = ("11101011", "1101100111", "110100110101", "111001010011")
@@ -121,13 +121,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("do
 
 
 def _matched(df: DataFrame, index: Index, kept: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    shared = share(df.sparkSession, index)
     schema = T.StructType([*df.schema.fields[:kept], *HIT.fields])
 
     def run(batches):
         import pyarrow as pa
 
-        hashes, index = WordHashes(), shared.value
+        hashes, index = WordHashes(), shared()
         for b in batches:
             rows, found = [], []
             for i, t in enumerate(b.column(kept).to_pylist()):
@@ -151,12 +151,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 
 def _without(df: DataFrame, index: Index, at: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    shared = share(df.sparkSession, index)
 
     def run(batches):
         import pyarrow as pa
 
-        hashes, index = WordHashes(), shared.value
+        hashes, index = WordHashes(), shared()
         for b in batches:
             yield b.filter(pa.array([not index.match(hashes(words_of(t))) for t in b.column(at).to_pylist()], pa.bool_()))
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import share
+
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, LEAF, RIDGE = 64, 80, 4, 0.15, 10, 1.0
@@ -162,15 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def score(df: DataFrame, model: Forest, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns, score (0 to 1, higher: label 1 likelier) and predicted (1 if the score reaches the threshold)."""
     spark: SparkSession = df.sparkSession
-    shared, at = spark.sparkContext.broadcast(model), df.columns.index(text)
+    shared, at = share(spark, model), df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         import pyarrow as pa
 
+        forest = shared()
         for b in batches:
             if b.num_rows:
-                s = shared.value.score(np.array([statistics(t) for t in b.column(at).to_pylist()], float))
+                s = forest.score(np.array([statistics(t) for t in b.column(at).to_pylist()], float))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], schema.names)
 
     return df.mapInArrow(run, schema)
@@ -178,14 +181,15 @@ def score(df: DataFrame, model: Forest, text: str = "text", threshold: float = 0
 
 def keep_good(df: DataFrame, model: Forest, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns of the rows whose score reaches the threshold."""
-    shared, at, schema = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text), df.schema
+    shared, at, schema = share(df.sparkSession, model), df.columns.index(text), df.schema
 
     def run(batches):
         import pyarrow as pa
 
+        forest = shared()
         for b in batches:
             if b.num_rows:
-                s = shared.value.score(np.array([statistics(t) for t in b.column(at).to_pylist()], float))
+                s = forest.score(np.array([statistics(t) for t in b.column(at).to_pylist()], float))
                 yield b.filter(pa.array(s >= threshold))
 
     return df.mapInArrow(run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import share
 from .quality import labelled_sample
 
 #: Most labelled documents of either kind that the field is fitted on.
@@ -330,20 +331,20 @@ def tag(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...] =
     """The columns to keep, score, predicted (1 if the score reaches the threshold) and spans (offsets in the text; in
     its lower-case form for the rare texts whose length that changes)."""
     df = df.select(*keep, text)
-    n, shared = len(keep), df.sparkSession.sparkContext.broadcast(model)
+    n, shared = len(keep), share(df.sparkSession, model)
     schema = T.StructType([*df.schema.fields[:n], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
 
     def run(batches):
         import pyarrow as pa
 
-        memo: dict = {}
+        field, memo = shared(), {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
                 texts = part.column(n).to_pylist()
-                each = shared.value.tagged(texts, memo)
-                scores = np.array([shared.value.score(p) for p in each])
+                each = field.tagged(texts, memo)
+                scores = np.array([field.score(p) for p in each])
                 spans = [spans_of(t, p) if p.max(initial=0) >= 0.5 else [] for t, p in zip(texts, each)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(spans, kind)], schema.names)
 

@@ -3,7 +3,7 @@
 Words are what white space separates in the lower-case text; a text's n-grams are those of n words, or the whole text
 if it has fewer.  Texts without words are linked with nothing.  Rows and bands of the signature are chosen so that two
 texts at the threshold share a band with the target recall at least.  Signatures are banded, bands are shuffled by
-their hash, and every pair that shares a band is verified on the full n-gram sets, block by block (see blocks.py).
+their hash, and pairs are verified on the full n-gram sets, block by block (see blocks.py).
 
 Equal texts are compared once: they form a class, and count as links of one another.
 """
@@ -111,22 +111,16 @@ def _verified(threshold: float):
         n, side = len(pdf), pdf["side"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         size = np.array(list(map(len, sets)), float)
-        bands = np.stack([np.frombuffer(x, np.int64) for x in pdf["bands"]])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(b)
         b = a if alone else b
-        near = np.zeros((len(a), len(b)), bool)
-        for j in range(bands.shape[1]):
-            near |= bands[a, j][:, None] == bands[b, j][None, :]
-        if alone:
-            np.fill_diagonal(near, False)
         linked = np.zeros((n, n), bool)
-        if near.any():
-            rows, cols = near.any(1), near.any(0)  # alike if alone
-            ra, cb = a[rows], b[cols]
-            common = _overlaps([sets[i] for i in ra], None if alone else [sets[i] for i in cb]).astype(float)
-            union = size[ra][:, None] + size[cb][None, :] - common
-            linked[np.ix_(ra, cb)] = near[np.ix_(rows, cols)] & (common >= threshold * union - 1e-9)
+        if len(a) and len(b):
+            # all pairs that meet are verified, whether they share a band or only a bucket with a third
+            common = _overlaps([sets[i] for i in a], None if alone else [sets[i] for i in b]).astype(float)
+            union = size[a][:, None] + size[b][None, :] - common
+            linked[np.ix_(a, b)] = common >= threshold * union - 1e-9
+            np.fill_diagonal(linked, False)
             linked |= linked.T
         some = linked.any(1)
         root = roots(linked[np.ix_(some, some)])
@@ -153,23 +147,23 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     buckets = reps.select("key", F.posexplode("bands").alias("band", "hash")).select("key", F.xxhash64("band", "hash").alias("bucket"))
     plan = meeting_plan(buckets, reps.select("key", "weight"), scratch, PART_ROWS, PART_GRAMS)
     texts = docs.select("id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("key"))
-    wanted = plan.join(reps, "key").select("key", "id", "copies", "bands", "meetings")
-    met = texts.join(wanted, (texts["key"] == wanted["key"]) & texts["id"].eqNullSafe(wanted["id"])).select(wanted["key"], "copies", "bands", "meetings", "text")
-    schema = "pair long, side int, key binary, copies long, bands binary, `set` binary"
+    wanted = plan.join(reps, "key").select("key", "id", "copies", "meetings")
+    met = texts.join(wanted, (texts["key"] == wanted["key"]) & texts["id"].eqNullSafe(wanted["id"])).select(wanted["key"], "copies", "meetings", "text")
+    schema = "pair long, side int, key binary, copies long, `set` binary"
 
     def meet(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
         for b in batches:
-            for key, copies, bs, meetings, body in zip(*(c.to_pylist() for c in b.columns)):
-                bs, body = np.array(bs, np.int64).tobytes(), grams(body, hashes, n).tobytes()
+            for key, copies, meetings, body in zip(*(c.to_pylist() for c in b.columns)):
+                body = grams(body, hashes, n).tobytes()
                 for at in range(0, len(meetings), 50):
                     some = meetings[at : at + 50]
                     k = len(some)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([m["pair"] for m in some], pa.int64()), pa.array([m["side"] for m in some], pa.int32()), pa.array([key] * k, pa.binary()), pa.array([copies] * k, pa.int64()), pa.array([bs] * k, pa.binary()), pa.array([body] * k, pa.binary())],
-                        ["pair", "side", "key", "copies", "bands", "set"],
+                        [pa.array([m["pair"] for m in some], pa.int64()), pa.array([m["side"] for m in some], pa.int32()), pa.array([key] * k, pa.binary()), pa.array([copies] * k, pa.int64()), pa.array([body] * k, pa.binary())],
+                        ["pair", "side", "key", "copies", "set"],
                     )
 
     found = met.mapInArrow(meet, schema).groupBy("pair").applyInPandas(_verified(threshold), "key binary, root binary, links long")

@@ -17,6 +17,8 @@ from .registry import query, table
 
 #: The year that counts as now, the candidates recalled for a job, and those whose evidence is sought.
 TODAY, COARSE_K, EVIDENCE_K = 2001, 50, 15
+#: The jobs of a résumé whose evidence is sought; COARSE_K jobs are recalled for it.
+REVERSE_EVIDENCE_K = 10
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,22 +139,28 @@ def _evidence(contributions: Column) -> Column:
     return F.transform(contributions, one)
 
 
-def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in one plan: recall of each job's 50 best, structured scores, evidence of the first 15, combination,
-    total order.  All windows after the recall see 50 rows of a job at most."""
+def _scored(spark: SparkSession, sf_dir: str, pool: str, other: str, k: int) -> tuple[DataFrame, list[Column]]:
+    """Each pool's recalled rows (COARSE_K at most) with structured scores and the evidence of its first k; and their order."""
     t = totals(spark, sf_dir)
     # the stand-in for similarity: the account balance, scaled to the recalled pool
     accounts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("job_id"), F.col("c_custkey").alias("resume_id"), F.col("c_acctbal").alias("vec_score"))
-    recalled = ranking.ranked(accounts, "job_id", [F.desc("vec_score"), F.col("resume_id")], "recall_rank").where(F.col("recall_rank") <= COARSE_K)
-    vec = normalised(recalled).select("job_id", "resume_id", F.col("vec_norm").alias("vec"))
+    recalled = ranking.ranked(accounts, pool, [F.desc("vec_score"), F.col(other)], "recall_rank").where(F.col("recall_rank") <= COARSE_K)
+    vec = normalised(recalled, pool).select("job_id", "resume_id", F.col("vec_norm").alias("vec"))
     who = vec.select("job_id", "resume_id")
     scored = vec.join(skill_scores(spark, sf_dir, who), ["job_id", "resume_id"], "left").join(t, ["job_id", "resume_id"])
     scored = scored.withColumn("experience", scoring.experience(F.col("years"), F.col("bar"))).withColumn("skill_score", F.coalesce("skill_score", F.lit(0.0)))
     scored = scored.withColumn("structured", scoring.structured(F.col("skill_score"), F.col("experience"), F.lit(1.0), F.lit(0.0), F.col("vec")))
-    key = [F.desc(F.round("structured", 9)), F.desc("vec"), F.col("resume_id")]
-    scored = ranking.evaluated(scored, "job_id", EVIDENCE_K, key)
+    key = [F.desc(F.round("structured", 9)), F.desc("vec"), F.col(other)]
+    scored = ranking.evaluated(scored, pool, k, key)
     evidence = F.when(F.col("evidence_evaluated"), scoring.completeness(_evidence(F.col("contributions")))).otherwise(0.0)
-    told = scored.withColumn("evidence", evidence).withColumn("final", scoring.final(F.col("structured"), F.col("evidence"), F.lit(0.0)))
+    return scored.withColumn("evidence", evidence), key
+
+
+def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in one plan: recall of each job's 50 best, structured scores, evidence of the first 15, combination,
+    total order.  All windows after the recall see 50 rows of a job at most."""
+    scored, key = _scored(spark, sf_dir, "job_id", "resume_id", EVIDENCE_K)
+    told = scored.withColumn("final", scoring.final(F.col("structured"), F.col("evidence"), F.lit(0.0)))
     return ranking.ranked(told, "job_id", [F.desc(F.round("final", 9)), *key])
 
 
@@ -183,12 +191,33 @@ def shortlist_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {FINAL_SQL} SELECT resume_id, job_id, round(0.6 * structured + 0.3 * evidence, 6) AS score_final,
     row_number() OVER (PARTITION BY resume_id ORDER BY round(0.6 * structured + 0.3 * evidence, 9) DESC, job_id) AS rank FROM fin2""")
 def reverse_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by résumé: structured score and evidence only."""
+    """The shortlists seen by résumé: structured score and evidence only.  reverse_match ranks jobs for every résumé."""
     out = final_ranking(spark, sf_dir).withColumn("reverse", scoring.final(F.col("structured"), F.col("evidence")))
     out = ranking.ranked(out.drop("rank"), "resume_id", [F.desc(F.round("reverse", 9)), F.col("job_id")])
     return out.select("resume_id", "job_id", F.round("reverse", 6).alias("score_final"), "rank")
 
 
+REVERSE_SQL = f"""{SKILL_SQL},
+rec AS (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_acctbal DESC, c_nationkey) <= {COARSE_K}),
+acc AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-9 THEN 1.0
+    ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS vec FROM rec WINDOW w AS (PARTITION BY c_custkey)),
+st AS (SELECT a.job_id, a.resume_id, a.vec, coalesce(s.skill_score, 0.0) AS skill_score, {EXPERIENCE} AS experience FROM acc a LEFT JOIN skill s USING (job_id, resume_id) JOIN tot t USING (job_id, resume_id)),
+st2 AS (SELECT *, 0.4 * skill_score + 0.25 * experience + 0.1 * 1.0 + 0.15 * 0.0 + 0.1 * vec AS structured FROM st),
+st3 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY round(structured, 9) DESC, vec DESC, job_id) <= {REVERSE_EVIDENCE_K} AS evidence_evaluated FROM st2),
+ev AS (SELECT job_id, resume_id, (count(*) FILTER (weight = 1 AND coalesce(years, 0) >= 1) + 0.5 * count(*) FILTER (weight > 0 AND weight < 1)) / count(*) AS completeness FROM rows_ GROUP BY 1, 2),
+rev AS (SELECT st3.*, 0.6 * structured + 0.3 * CASE WHEN evidence_evaluated THEN coalesce(completeness, 0.0) ELSE 0.0 END AS reverse FROM st3 LEFT JOIN ev USING (job_id, resume_id))"""
+
+
+@query(f"""WITH {REVERSE_SQL} SELECT resume_id, job_id, round(reverse, 6) AS score_final, evidence_evaluated,
+    row_number() OVER (PARTITION BY resume_id ORDER BY round(reverse, 9) DESC, job_id) AS rank FROM rev""")
+def reverse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by résumé, for every résumé: recall of its 50 best jobs, evidence of the first 10, no motivation."""
+    scored, _ = _scored(spark, sf_dir, "resume_id", "job_id", REVERSE_EVIDENCE_K)
+    out = scored.withColumn("reverse", scoring.final(F.col("structured"), F.col("evidence")))
+    out = ranking.ranked(out, "resume_id", [F.desc(F.round("reverse", 9)), F.col("job_id")])
+    return out.select("resume_id", "job_id", F.round("reverse", 6).alias("score_final"), "evidence_evaluated", "rank")
+
+
 @query(f"""WITH {SKILL_SQL}, u AS (SELECT s.*, sk.senior AND 1 - sk.missing / sk.must >= 0.5 AS relieved FROM sc s JOIN sk USING (job_id, resume_id))
 SELECT job_id, resume_id, count(*) FILTER (NOT (weight = 0 AND NOT (is_must_have AND coalesce(relieved, false)))) AS matched_count,
   count(*) FILTER (weight = 0 AND NOT (is_must_have AND coalesce(relieved, false))) AS missing_count,

@@ -144,6 +144,17 @@ def test_decontamination(spark):
     assert decontaminate.clean(df, bench.limit(0)).count() == len(docs)
 
 
+def test_excerpts_at_the_edges_of_a_document():
+    item = [f"w{i}" for i in range(40)]
+    index, hashes = decontaminate.Index([(1, " ".join(item))]), decontaminate.WordHashes()
+    noise = [f"n{i}" for i in range(30)]
+    for n in range(15, 20):
+        for words, start in ((noise + item[:n], 30), (item[-n:] + noise, 0), (item[12 : 12 + n], 0)):
+            assert index.match(hashes(words)) == [(0, start, start + n, n / 20)]
+        assert [hit[3] for hit in index.match(hashes(noise + item[12 : 12 + n] + noise))] == [n / 20]
+    assert index.match(hashes(noise + item[:14])) == [] and index.match(hashes(item[-14:])) == []
+
+
 def test_a_large_benchmark_is_matched_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(6)]

@@ -3,8 +3,9 @@
 Words are runs of letters, digits and underscores of the lower-case text.  A seed is a mask over a window of words:
 only the positions set in it are hashed, so a window with substituted words at the ignored positions still hits.  The
 hashes of the benchmark's windows are looked up for every window of every document; around each hit the item is laid
-along the document, and the overlap is verified word by word: some stretch of STRETCH words (or the whole item, if
-shorter) must agree in at least AGREE of them.
+along the document and verified word by word: some stretch of STRETCH words (or the whole item, if shorter) must agree
+in at least AGREE of them.  Words of the item beyond the document's edges agree with nothing, so that an excerpt counts
+alike wherever it stands.
 
 Items shorter than a mask are sought by windows of their own length, all positions set.  Items and documents without
 words match nothing.  The benchmark is read in parts of at most PART_WORDS words, each broadcast once and matched with
@@ -81,15 +82,14 @@ class Index:
         for k, shift in tried:
             w = self.words[k]
             low, high = max(0, -shift), min(len(w), len(h) - shift)
-            same = (w[low:high] == h[shift + low : shift + high]).astype(int)
+            same = np.zeros(len(w), int)
+            same[low:high] = w[low:high] == h[shift + low : shift + high]
             need = min(STRETCH, len(w))
-            if len(same) < need:
-                continue
             sums = np.convolve(same, np.ones(need, int), "valid")
             top = int(sums.argmax())
             if sums[top] >= AGREE * need:
                 good = np.flatnonzero(sums >= AGREE * need)
-                got = (k, shift + low + int(good[0]), shift + low + int(good[-1]) + need, float(sums[top]) / need)
+                got = (k, max(0, shift + int(good[0])), min(len(h), shift + int(good[-1]) + need), float(sums[top]) / need)
                 best[k] = max(best.get(k, got), got, key=lambda x: (x[3], x[2] - x[1], -x[1]))
         return sorted(best.values())
 

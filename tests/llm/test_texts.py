@@ -1,6 +1,7 @@
 """BPE, secrets, decontamination, pseudonyms, toxicity and quality."""
 
 import datetime
+import itertools
 import random
 import re
 import zlib
@@ -155,6 +156,37 @@ def test_excerpts_at_the_edges_of_a_document():
     assert index.match(hashes(noise + item[:14])) == [] and index.match(hashes(item[-14:])) == []
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_masks_leave_a_hit_whichever_words_differ(n):
+    placed = [sum(1 << (at + i) for i, on in enumerate(m) if on == "1") for m in decontaminate.masks_for(n) for at in range(n - len(m) + 1)]
+    for differ in itertools.combinations(range(n), n // 4):
+        bits = sum(1 << i for i in differ)
+        assert any(not p & bits for p in placed)
+
+
+def test_decontamination_equals_a_scan_of_all_diagonals():
+    r, hashes = random.Random(11), decontaminate.WordHashes()
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([*range(1, 26), 40])]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    found = 0
+    for _ in range(1500):
+        k = r.randrange(len(items))
+        copy = [f"s{r.random()}" if r.random() < 0.2 else w for w in items[k]]
+        a, b = (r.randrange(4), r.randrange(4)) if r.random() < 0.5 else (0, 0)
+        doc = [f"d{j}" for j in range(r.randrange(4))] + copy[a : len(copy) - b] + [f"e{j}" for j in range(r.randrange(4))]
+        want = {}
+        for i, item in enumerate(items):
+            need = min(20, len(item))
+            for shift in range(-len(item) + 1, len(doc)):
+                same = [0 <= shift + j < len(doc) and doc[shift + j] == w for j, w in enumerate(item)]
+                top = max(sum(same[j : j + need]) for j in range(len(item) - need + 1))
+                if top >= 0.75 * need:
+                    want[i] = max(want.get(i, 0), top / need)
+        assert {i: agree for i, _, _, agree in index.match(hashes(doc))} == want
+        found += len(want)
+    assert found > 500
+
+
 def test_a_large_benchmark_is_matched_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(6)]

@@ -7,7 +7,8 @@ along the document and verified word by word: some stretch of STRETCH words (or
 in at least AGREE of them.  Words of the item beyond the document's edges agree with nothing, so that an excerpt counts
 alike wherever it stands.
 
-Items shorter than a mask are sought by windows of their own length, all positions set.  Items and documents without
+The masks are chosen by the item's length such that, whichever words of a stretch differ, as many as AGREE allows, some
+mask at some place avoids them all: every overlap that the verification accepts is tried.  Items and documents without
 words match nothing.  The benchmark is read in parts of at most PART_WORDS words, each broadcast once and matched with
 all documents, so that what is broadcast has a bound whatever the benchmark's size.
 """
@@ -23,8 +24,12 @@ from pyspark.sql import types as T
 
 from .common import U64, Scratch, WordHashes, mix, share
 
-#: Fixed masks: 1 is hashed, 0 ignored.
-MASKS = ("11101011", "1101100111", "110100110101", "111001010011")
+#: Fixed masks by the least words of an item: 1 is hashed, 0 ignored.  Items of fewer words have all positions set.
+MASKS = {
+    4: ("111", "1101", "1011"),
+    8: ("11011", "1111", "11000011"),
+    12: ("110111", "11010011", "1010001011", "1011011"),
+}
 STRETCH, AGREE, PART_WORDS = 20, 0.75, 2_000_000
 WORD = re.compile(r"\w+")
 HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("agree", T.DoubleType())])
@@ -34,6 +39,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words."""
+    return next((MASKS[least] for least in sorted(MASKS, reverse=True) if n >= least), ("1" * n,))
+
+
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     """The hash of every window under a mask."""
     n = len(h) - len(mask) + 1
@@ -54,20 +64,20 @@ class Index:
         found = [(i, hashes(w)) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _ in found]
         self.words = [h for _, h in found]
-        least = min(map(len, MASKS))
-        short = {"1" * len(h) for h in self.words if len(h) < least}
+        by_mask: dict[str, list[tuple[int, np.ndarray]]] = {}
+        for k, h in enumerate(self.words):
+            for mask in masks_for(len(h)):
+                by_mask.setdefault(mask, []).append((k, h))
         self.seeds = []
-        for mask in (*MASKS, *sorted(short)):
-            of = [(k, h) for k, h in enumerate(self.words) if len(h) >= len(mask) and (mask in MASKS or len(h) == len(mask))]
-            if of:
-                each = [seed_hashes(h, mask) for _, h in of]
-                values = np.concatenate(each)
-                item = np.repeat([k for k, _ in of], list(map(len, each)))
-                at = np.concatenate([np.arange(len(e)) for e in each])
-                order = np.argsort(values, kind="stable")
-                flags = np.zeros(1 << 16, bool)
-                flags[(values >> U64(48)).astype(np.int64)] = True
-                self.seeds.append((mask, values[order], item[order], at[order], flags))
+        for mask, of in sorted(by_mask.items()):
+            each = [seed_hashes(h, mask) for _, h in of]
+            values = np.concatenate(each)
+            item = np.repeat([k for k, _ in of], list(map(len, each)))
+            at = np.concatenate([np.arange(len(e)) for e in each])
+            order = np.argsort(values, kind="stable")
+            flags = np.zeros(1 << 16, bool)
+            flags[(values >> U64(48)).astype(np.int64)] = True
+            self.seeds.append((mask, values[order], item[order], at[order], flags))
 
     def match(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item's index, first word, end word, agreement) of the verified overlaps, the best for each item."""

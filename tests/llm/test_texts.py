@@ -263,6 +263,20 @@ def test_marginals_equal_brute_force():
     assert len(toxicity.marginals(np.zeros(0), np.zeros(0, int), trans, first)) == 0
 
 
+@pytest.mark.parametrize(
+    "before, value, after, kind",
+    [
+        ("", "4485275742308327", " 123", "card"), ("", "4485 2757 4230 8327", " 12/27", "card"), ("", "4485-2757-4230-8327", " 12", "card"), ("10 30 ", "4485 2757 4230 8327", "", "card"), ("7 ", "4485275742308327", " 123", "card"),
+        ("", "BE68 5390 0754 7034", " PAID", "iban"), ("", "BE68539007547034", " AMOUNT DUE", "iban"), ("AB12 CDEF ", "BE68 5390 0754 7034", " IN", "iban"),
+    ],
+)
+def test_a_valid_number_among_other_groups(before, value, after, kind):
+    f = pii.Finder()
+    (a, b, k, new), = f.find(f"{before}{value}{after}")
+    assert (a, b, k) == (len(before), len(before) + len(value), kind) and new != value
+    assert getattr(f.permuter, kind)(new, inverse=True) == value
+
+
 def toxic_corpus(n=400):
     r = random.Random(1)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]

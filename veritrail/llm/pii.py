@@ -3,7 +3,8 @@
 Found values are validated (Luhn and mod-97 check digits, number plans, calendar), mapped to an integer below the number
 of values of their format, permuted by a keyed Feistel network with cycle walking, and written back in the same format
 with valid check digits.  The permutation depends on the key and the format alone, so equal values stay linked across
-documents, and whoever has the key can invert it.  What is not valid is left as it stands.
+documents, and whoever has the key can invert it.  What is not valid is left as it stands.  A run of groups that is no
+valid card or IBAN as a whole is searched for one that ends, or starts, where a group does.
 
 A null text stays null; an empty text has nothing to find.  Overlapping finds: the leftmost, then the longest, counts.
 """
@@ -32,6 +33,8 @@ PATTERNS = {
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
+#: Kinds written in groups, and what stands between these.
+GROUPED = {"card": re.compile("[ -]"), "iban": re.compile(" ")}
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
@@ -180,15 +183,25 @@ class Finder:
             self.memo[kind, value] = getattr(self.permuter, kind)(value)
         return self.memo[kind, value]
 
+    def part(self, kind: str, value: str) -> str | None:
+        """The pseudonym of a match or of its beginning."""
+        return None if kind == "card" and sum(map(str.isdigit, value)) < 13 else self.pseudonym(kind, value)
+
     def find(self, text: str | None) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of the valid values, in order, none overlapping."""
         if not text or not self.rough.search(text):
             return []
         found = []
         for kind, regex in self.regexes.items():
-            for m in regex.finditer(text):
-                if (p := self.pseudonym(kind, m[0])) is not None:
-                    found.append((m.start(), -m.end(), kind, p))
+            at = 0
+            while m := regex.search(text, at):
+                gaps = list(GROUPED[kind].finditer(text, *m.span())) if kind in GROUPED else []
+                at = gaps[0].end() if gaps else m.end()
+                for end in (m.end(), *(g.start() for g in reversed(gaps))):
+                    if (p := self.part(kind, text[m.start() : end])) is not None:
+                        found.append((m.start(), -end, kind, p))
+                        at = end
+                        break
         out, done = [], 0
         for a, b, kind, p in sorted(found):
             if a >= done:

@@ -277,6 +277,15 @@ def test_a_valid_number_among_other_groups(before, value, after, kind):
     assert getattr(f.permuter, kind)(new, inverse=True) == value
 
 
+@pytest.mark.parametrize("value, kind, kept", [("+44 20 7946 0958", "phone", "+44 "), ("+33 1 42 68 53 00", "phone", "+33 "), ("+49 (0)30 901820", "phone", "+49 ("), ("+353.1.679.3100", "phone", "+353."), ("25/12/2024", "date", "")])
+def test_numbers_and_dates_of_other_countries(value, kind, kept):
+    f = pii.Finder()
+    (a, b, k, new), = f.find(f"on {value}, or")
+    assert (a, b, k) == (3, 3 + len(value), kind) and new != value and new.startswith(kept)
+    assert getattr(f.permuter, kind)(new, inverse=True) == value and [x[2] for x in f.find(new)] == [kind]
+    assert f.find("+45.123456789 or 32/12/2024") == []
+
+
 def toxic_corpus(n=400):
     r = random.Random(1)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]

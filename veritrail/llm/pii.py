@@ -11,6 +11,7 @@ A null text stays null; an empty text has nothing to find.  Overlapping finds: t
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -23,13 +24,17 @@ KEY, ROUNDS = "veritrail-demo-key", 8
 #: Dates are permuted within these years.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DATE_ORDERS = {"-": "ymd", ".": "dmy", "/": "mdy"}
+#: Slash dates whose first number is no month are day first; they are permuted among the days after the 12th.
+LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODE = re.compile(r"\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "date": r"\b(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})\b",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.(+-])[2-9]\d{2}([.-])[2-9]\d{2}\1\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w(+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.(+-])[2-9]\d{2}([.-])[2-9]\d{2}\1\d{4}(?![\w-])|(?<![\w+])\+(?!\d+\.\d+(?![\d.]))[2-9]\d(?:[ .()/-]{0,2}\d){6,13}(?!\w)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
@@ -111,7 +116,8 @@ class Permuter:
 
     def date(self, v: str, inverse: bool = False) -> str | None:
         sep = next(c for c in v if not c.isdigit())
-        order = DATE_ORDERS[sep]
+        late = sep == "/" and int(v[:2]) > 12
+        order = "dmy" if late else DATE_ORDERS[sep]
         part = dict(zip(order, map(int, v.split(sep))))
         try:
             day = datetime.date(part["y"], part["m"], part["d"]).toordinal()
@@ -119,7 +125,10 @@ class Permuter:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", inverse))
+        if late:
+            new = datetime.date.fromordinal(LATE_DAYS[self.permute(bisect.bisect_left(LATE_DAYS, day), len(LATE_DAYS), "late date", inverse)])
+        else:
+            new = datetime.date.fromordinal(FIRST_DAY + self.permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", inverse))
         value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         return sep.join(value[k] for k in order)
 
@@ -133,6 +142,9 @@ class Permuter:
         return f"{areas[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
 
     def phone(self, v: str, inverse: bool = False) -> str | None:
+        if v[0] == "+" and v[1] != "1":  # outside North America: the country code stays
+            code = COUNTRY_CODE.match("+" + "".join(filter(str.isdigit, v)))[0]
+            return self.digits(v, [i for i, c in enumerate(v) if c.isdigit()][len(code) - 1 :], f"phone{code}", inverse)
         at = [i for i, c in enumerate(v) if c.isdigit()][-10:]
         d = [int(v[i]) for i in at]
         if d[0] < 2 or d[3] < 2 or d[1:3] == [1, 1] or d[4:6] == [1, 1]:  # written as a number, but outside the plan

@@ -61,6 +61,30 @@ def test_records_are_validated():
     assert got["record_type"] == "response" and got["page_id"] is None and got["payload_bytes"] == 0
 
 
+def other_record(kind, content, block, *more):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2024-01-01T00:00:00Z", *more, *([f"Content-Type: {content}"] if content else []), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark):
+    http = "application/http; msgtype=response"
+    records = [
+        (other_record("warcinfo", "application/warc-fields", b"software: x\r\n"), "warcinfo", b"software: x\r\n", 13),
+        (other_record("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), "request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", 27),
+        (other_record("metadata", None, b""), "metadata", b"", 0),
+        (other_record("response", "text/dns", b"a. 1 IN A 1.2.3.4"), "response", b"a. 1 IN A 1.2.3.4", 17),
+        (other_record("response", http, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nhi\r\n0\r\n\r\n", f"WARC-Payload-Digest: sha1:{warc.base32_sha1(b'hi')}"), "response", b"2\r\nhi\r\n0\r\n\r\n", 12),
+        (other_record("response", http, b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\nhi"), "response", b"hi", 2),
+        (other_record("revisit", http, b"HTTP/1.1 304 Not Modified\r\nServer: x\r\n\r\n", "WARC-Refers-To: <urn:uuid:0>"), "revisit", None, None),
+    ]
+    df = spark.createDataFrame([("a", warc.pack([r for r, *_ in records]))], "archive string, content binary")
+    got = warc.read(df).orderBy("offset").collect()
+    assert [(r.record_type, None if r.payload is None else bytes(r.payload), r.payload_bytes, r.error) for r in got] == [(k, p, n, None) for _, k, p, n in records]
+    for bad in (other_record("response", http, b"hi"), other_record("response", http, b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nhi"), records[4][0].replace(b"\r\nhi", b"\r\nho")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
 def test_corrupt_archives_are_told(spark):
     content = warc.pack([record(i) for i in range(5)])
     broken = bytearray(content)

@@ -88,8 +88,21 @@ def format_record(kind: str, page_id: int | None, url: str | None, digest: str,
     return "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def unchunked(payload: bytes) -> bytes:
+    """What the chunks of a payload hold."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(payload, at):
+        at = m.end() + int(m[1], 16)
+        out.append(payload[m.end() : at])
+        at += 2
+    return b"".join(out)
+
+
 def parse_record(data: bytes) -> dict:
-    """The record's fields; raises ValueError if a header or a length is wrong."""
+    """The record's fields; raises ValueError if a header or a length is wrong.
+
+    HTTP responses and revisits must have an HTTP head, with a length or without; the payload of other records is their block.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or not re.fullmatch(r"WARC/1\.[01]", lines[0]):
@@ -110,13 +123,22 @@ def parse_record(data: bytes) -> dict:
     block = rest[:-4]
     if (d := fields.get("warc-block-digest")) and d != f"sha1:{base32_sha1(block)}":
         raise ValueError("block digest differs")
-    http, gap, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
-    if not gap or not http.startswith(b"HTTP/") or not length:
-        raise ValueError("no HTTP head with a length")
-    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (int(length[1]) != len(payload) or digest != base32_sha1(payload)):
-        raise ValueError("payload's length or digest differs")
+    kind, given = fields["warc-type"], fields.get("warc-payload-digest")
+    digest = given.removeprefix("sha1:") if given else None
+    payload, size = block, len(block)
+    if kind in ("response", "revisit") and fields.get("content-type", "").lower().startswith("application/http") and (block or kind == "response"):
+        http, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap or not http.startswith(b"HTTP/"):
+            raise ValueError("no HTTP head")
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+        chunked = re.search(rb"(?im)^transfer-encoding:.*chunked", http)
+        size = int(length[1]) if length and not chunked else len(payload) if kind == "response" else None
+        # writers differ in whether a chunked payload's digest is that of its chunks or of what these hold
+        told = digest in (None, base32_sha1(payload)) or chunked and digest == base32_sha1(unchunked(payload))
+        if kind == "response" and (size != len(payload) or not told):
+            raise ValueError("payload's length or digest differs")
+    elif kind == "revisit":
+        size = None
     if kind == "revisit" and (payload or "warc-refers-to" not in fields):
         raise ValueError("a revisit has a payload or refers to nothing")
 
@@ -125,8 +147,8 @@ def parse_record(data: bytes) -> dict:
         return int(m[1]) if m and m[1] else None
 
     return {
-        "record_type": kind, "page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": int(length[1]),
-        "refers_to": page("warc-refers-to") if kind == "revisit" else None, "payload": payload if kind == "response" else None,
+        "record_type": kind, "page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": size,
+        "refers_to": page("warc-refers-to") if kind == "revisit" else None, "payload": None if kind == "revisit" else payload,
     }
 
 

@@ -305,6 +305,10 @@ def held(i, mod):
     return zlib.crc32(str(i).encode()) % mod
 
 
+def test_toxicity_training_is_not_shortened():
+    assert toxicity.STEPS >= 40
+
+
 def test_toxicity_held_out(spark):
     rows = toxic_corpus()
     docs = spark.createDataFrame([(i, t, 5.0) for i, t, _ in rows] + [(None, "Zzidiot, zzscum zztrash!", 1.0), (1000, None, 1.0), (1001, "", 1.0), (1002, "zzidiot " * 30_000, 1.0)], "doc_id long, text string, score double")

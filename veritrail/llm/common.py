@@ -17,9 +17,40 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that a Python worker holds little text at a time."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and about so many bytes, so that a Python worker holds little text at a time.
+
+    Sets two settings of the session and leaves them.  Only the registered queries call it; operators do not.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def slices(batch, column: int, rows: int = 100, size: int = 1 << 20):
+    """An Arrow batch in parts of at most so many rows and so many bytes of a text column; a longer text stands alone."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(at + rows, max(at + 1, fits))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one like it that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The columns but those of the names that an operator is about to add: its results replace them."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
 def share(spark: SparkSession, value) -> Callable[[], object]:
@@ -39,27 +70,53 @@ def share(spark: SparkSession, value) -> Callable[[], object]:
     return get
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session, else the warehouse.
+
+    A warehouse on the driver's own disk serves local mode only; elsewhere it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        local = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+        if not local and (base.startswith(("file:", "/")) or ":" not in base):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
+
+
 class Scratch:
     """Tables in the folder that the driver and all executors share.
 
     keep() writes a DataFrame and reads it back, which cuts its lineage and survives lost executors.  drop() removes
-    tables that nothing reads any more.
+    tables that nothing reads any more, close() all of them; what is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.base = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.base = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = False
+
+    def _path(self, *name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *name]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.made:
+            path, files = self._path()
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+            self.made = True
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._path(name)
+            files.delete(path, True)
+
+    def close(self) -> None:
+        path, files = self._path()
+        files.delete(path, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,23 +127,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of words, with a bounded memo.  Equal words hash alike in every process."""
+    """64-bit hashes of words, with a memo bounded in words and, as long words are not kept, in bytes.  Equal words hash
+    alike in every process."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 200_000, longest: int = 64):
         self.memo: dict[str, int] = {}
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __call__(self, words: list[str]) -> np.ndarray:
         import xxhash
 
-        memo = self.memo
+        memo, long = self.memo, []
         if new := set(words).difference(memo):
             if len(memo) > self.most:
                 memo.clear()
                 new = set(words)
             for w in new:
                 memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            long = [w for w in new if len(w) > self.longest]
+        out = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        for w in long:
+            del memo[w]
+        return out
 
 
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:

@@ -5,7 +5,14 @@ if it has fewer.  Texts without words are linked with nothing.  Rows and bands o
 texts at the threshold share a band with the target recall at least.  Signatures are banded, bands are shuffled by
 their hash, and pairs are verified on the full n-gram sets, block by block (see blocks.py).
 
-Equal texts are compared once: they form a class, and count as links of one another.
+Equal texts are compared once: they form a class, and count as links of one another.  Links between different texts are
+counted exactly, so a group of m texts that differ is compared pair by pair; its sets are shuffled once for each part of
+PART_ROWS members (or PART_GRAMS n-grams) that they meet.
+
+Cases: null and empty texts, and any without words, are linked with nothing; long texts are read whole; a similarity
+equal to the threshold links; repeated rows, and rows of one id with different texts, are rows of their own; a class of
+rows without ids has a null class id; an empty table gives an empty one; other columns are never read, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -13,18 +20,20 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import classes, meeting_plan, roots
-from .common import U64, Scratch, WordHashes, mix, shingle_set
+from .common import U64, Scratch, WordHashes, fresh, mix, shingle_set, slices
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: What str.split() takes for white space, as a class of a JVM expression.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Members of a part of a block, and its n-grams: two parts meet in one task.
-PART_ROWS, PART_GRAMS = 96, 400_000
+PART_ROWS, PART_GRAMS = 768, 600_000
+#: N-grams that so many members share at most are counted pair by pair, others by a product of matrices.
+FEW = 8
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: tuple[int, ...] = (3, 4, 5, 6), most: int = 160) -> tuple[int, int]:
@@ -69,8 +78,7 @@ def signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 
         hashes, signer = WordHashes(), Signer(bands, rows)
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
+            for part in slices(b, 2):
                 sets = [grams(t, hashes, n) for t in part.column(2).to_pylist()]
                 sizes = np.array(list(map(len, sets)), np.int64)
                 got = iter(signer.bands([s for s in sets if len(s)]).tolist() if sizes.any() else ())
@@ -82,21 +90,24 @@ def signed(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
     """Sizes of the intersections of every set on the left with every set on the right, or with the others on the left."""
     both = left + (right or [])
-    split = len(left) if right else 0
-    flat = np.concatenate(both)
-    owner = np.repeat(np.arange(len(both)), list(map(len, both)))
-    grams_, where, times = np.unique(flat, return_inverse=True, return_counts=True)
-    often = times > 1
-    column = np.cumsum(often) - 1
-    keep = often[where]
-    owner, col = owner[keep], column[where[keep]]
-    out = np.zeros((len(left), len(both) - split), np.float32)
-    order = np.argsort(col, kind="stable")
-    owner, col = owner[order], col[order]
-    step = max(256, 4_000_000 // len(both))  # columns at a time: a dense matrix of bounded size
-    for low in range(0, int(often.sum()), step):
+    n, split = len(both), len(left) if right else 0
+    owner = np.repeat(np.arange(n), list(map(len, both)))
+    _, where, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    order = np.argsort(where, kind="stable")  # by n-gram, then by member
+    owner, times = owner[order], times[where[order]]
+    out = np.zeros((len(left), n - split), np.float32)
+    for c in range(2, FEW + 1):
+        own = owner[times == c].reshape(-1, c)
+        if len(own):
+            met = np.bincount(np.concatenate([own[:, i] * n + own[:, j] for i in range(c) for j in range(i + 1, c)]), minlength=n * n).reshape(n, n)
+            out += (met + met.T)[: len(left), split:]
+    often = times > FEW
+    owner = owner[often]
+    col = np.unique(where[order][often], return_inverse=True)[1]
+    step = max(256, 4_000_000 // n)  # columns at a time: a dense matrix of bounded size
+    for low in range(0, int(col[-1]) + 1 if len(col) else 0, step):
         i, j = np.searchsorted(col, [low, low + step])
-        dense = np.zeros((len(both), step), np.float32)
+        dense = np.zeros((n, step), np.float32)
         dense[owner[i:j], col[i:j] - low] = 1
         out += dense[: len(left)] @ dense[split:].T
     return out
@@ -137,8 +148,9 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     threshold.  key tells texts apart, class_key classes; both are null for texts without words.  Rows with null ids
     take part; a class id is null only in classes without any id.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    import pyarrow as pa
+
+    scratch = scratch or Scratch(docs.sparkSession)
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     every = scratch.keep(signed(docs, bands, rows, n), "signed")
@@ -150,38 +162,47 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", n: in
     wanted = plan.join(reps, "key").select("key", "id", "copies", "meetings")
     met = texts.join(wanted, (texts["key"] == wanted["key"]) & texts["id"].eqNullSafe(wanted["id"])).select(wanted["key"], "copies", "meetings", "text")
     schema = "pair long, side int, key binary, copies long, `set` binary"
+    names, kinds = ["pair", "side", "key", "copies", "set"], (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
     def meet(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
-        for b in batches:
-            for key, copies, meetings, body in zip(*(c.to_pylist() for c in b.columns)):
-                body = grams(body, hashes, n).tobytes()
-                for at in range(0, len(meetings), 50):
-                    some = meetings[at : at + 50]
-                    k = len(some)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([m["pair"] for m in some], pa.int64()), pa.array([m["side"] for m in some], pa.int32()), pa.array([key] * k, pa.binary()), pa.array([copies] * k, pa.int64()), pa.array([body] * k, pa.binary())],
-                        ["pair", "side", "key", "copies", "set"],
-                    )
+        for batch in batches:
+            for b in slices(batch, 3):
+                rows, size = [], 0
+                for key, copies, meetings, body in zip(*(c.to_pylist() for c in b.columns)):
+                    body = grams(body, hashes, n).tobytes()
+                    for m in meetings:
+                        rows.append((m["pair"], m["side"], key, copies, body))
+                        size += len(body)
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                            rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     found = met.mapInArrow(meet, schema).groupBy("pair").applyInPandas(_verified(threshold), "key binary, root binary, links long")
     every = every.select("id", F.when(F.col("grams") > 0, F.col("key")).alias("key"))
     return classes(every, reps, found, scratch).withColumnRenamed("id", id)
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of one row of each class, that with the smallest id; of a row's repetitions one stays.
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """All columns of one row of each class, that with the smallest id; null ids count as larger than any other.
 
-    Texts without words are linked with nothing: each id's stays.
+    Of rows that share that id, the text that is smallest by its digest stays, and of rows that share the text as well,
+    that whose other columns come first as JSON.  Texts without words are linked with nothing: all their rows stay.
     """
-    body = F.coalesce(text, F.lit(""))
-    row_key = lambda key: F.unhex(F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("-")), F.lit(":"), F.hex(key)).cast("binary")))
-    found = similar_texts(docs, id, text)
-    best = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(id, "key")).alias("row"))
-    kept = best.select("row.*").select(row_key(F.col("key")).alias("__row"))
-    rows = docs.withColumn("__row", row_key(F.unhex(F.md5(body.cast("binary"))))).dropDuplicates(["__row"])
-    bare = F.length(F.regexp_replace(body, WHITE, "")) == 0
-    worded = rows.join(kept, "__row", "left_semi")
-    return worded.unionByName(rows.where(bare)).drop("__row")
+    plain = {c: F.col(f"`{c}`") for c in docs.columns}
+    row = fresh(docs.columns, "row_key")
+    body = F.coalesce(plain[text], F.lit(""))
+    named = lambda i, key: F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), F.lit(":"), F.hex(key)).cast("binary")))
+    found = similar_texts(docs, id, text, scratch=scratch).where("class_key is not null")
+    best = found.groupBy("class_key").agg(F.min(F.struct(F.col(id).isNull().alias("bare"), F.col(id).alias("id"), "key")).alias("row"))
+    kept = best.select(named(F.col("row.id"), F.col("row.key")).alias(row))
+    rest = [c for n, c in plain.items() if n not in (id, text)]
+    tie = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    keyed = docs.withColumn(row, named(plain[id], F.unhex(F.md5(body.cast("binary")))))
+    one = keyed.groupBy(row).agg(F.min_by(F.struct(*plain.values()), tie).alias("one"))  # combined before the shuffle
+    worded = one.join(kept, row, "left_semi").select(*[F.col("one").getField(c).alias(c) for c in docs.columns])
+    return worded.unionByName(docs.where(F.length(F.regexp_replace(body, WHITE, "")) == 0))

@@ -6,11 +6,17 @@ estimate of the inner product, and its error is below EPSILON * sqrt((1 - f^2) /
 probability.  Only pairs whose estimate plus bound reaches the threshold are recomputed in double precision.
 
 Sign bits also band the vectors: tables and bits are chosen so that a pair at the threshold shares a bucket with the
-target recall at least, and so that a bucket holds a bounded expected number of unrelated vectors.  Large buckets are
-dealt into parts, and every two parts meet in one task, which returns rows of groups, never of pairs.
+target recall at least, and so that a bucket holds a bounded expected number of unrelated vectors.  A pair is told in the
+first table in which the two share a bucket, and in no other, so its link is counted once.  Buckets of more than PART
+members are dealt into parts, and every two parts meet in one task, which returns rows of members, never of pairs.
 
-Vectors that are null, zero or hold null or non-finite components are linked with nothing.  Vectors of different
-lengths are not comparable.  Equal vectors are compared once.
+What is shuffled for a table is a vector's code and its components in 8 bits; vectors in double precision go only to the
+meetings in which an estimate could not part them from another.
+
+Cases: vectors that are null, empty, zero or hold null or non-finite components are linked with nothing; vectors of
+different lengths are not comparable, and never meet; long vectors are recomputed a few rows at a time; a cosine equal to
+the threshold links; equal vectors are compared once and count as links of one another, as repeated rows do; an empty
+table gives an empty one; other columns are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,13 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import classes, meeting_plan, roots
+from .blocks import classes, roots
 from .common import U64, Scratch, mix
 
 THRESHOLD, RECALL, EPSILON = 0.95, 0.9999, 6.0
 CODE_BITS = 256
-#: Expected unrelated vectors of a bucket; members of a part of a large bucket; members of a part that is recomputed.
-BUCKET, PART, EXACT_PART = 32, 256, 64
+#: Expected unrelated vectors of a bucket; members of a part of a large bucket; rows compared at a time.
+BUCKET, PART, ROWS = 64, 2048, 512
 
 
 def choose_tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -51,32 +57,40 @@ def unit(v) -> np.ndarray | None:
 
 def rotations(dim: int, count: int, seed: int = 11) -> np.ndarray:
     """Stacked random rotations: count x D rows of dim components; the columns of each D x dim block are orthonormal."""
-    wide = max(CODE_BITS, -(-dim // 64) * 64)
+    wide = width(dim)
     rng = np.random.default_rng([seed, dim])
     return np.concatenate([np.linalg.qr(rng.standard_normal((wide, wide)))[0][:, :dim] for _ in range(count)])
 
 
+def width(dim: int) -> int:
+    """Dimensions of the rotated vector."""
+    return max(CODE_BITS, -(-dim // 64) * 64)
+
+
 class Coder:
     def __init__(self, tables: int, bits: int):
         self.tables, self.bits, self.by_dim = tables, bits, {}
 
     def __call__(self, units: np.ndarray):
-        """Codes (signs as booleans), factors and buckets of unit vectors of one length."""
+        """Signs (booleans; the first are the code), factors and buckets of unit vectors of one length."""
         dim = units.shape[1]
-        wide = max(CODE_BITS, -(-dim // 64) * 64)
+        wide = width(dim)
         if dim not in self.by_dim:
             self.by_dim[dim] = rotations(dim, -(-self.tables * self.bits // wide))
         turned = units @ self.by_dim[dim].T
         signs = turned > 0
         factor = np.abs(turned[:, :wide]).sum(1) / math.sqrt(wide)
-        weights = U64(1) << np.arange(self.bits, dtype=np.uint64)
-        keys = signs[:, : self.tables * self.bits].reshape(len(units), self.tables, self.bits) @ weights
         at = np.arange(self.tables, dtype=np.uint64)[None, :] * U64(1 << 32) + U64(dim)
-        return signs[:, :wide], factor, mix(mix(at) + keys).view(np.int64)
+        return signs, factor, mix(mix(at) + self.keys(signs)).view(np.int64)
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """The bits of every table as a number: two vectors of one length share a table's bucket if these are equal."""
+        weights = U64(1) << np.arange(self.bits, dtype=np.uint64)
+        return signs[:, : self.tables * self.bits].reshape(len(signs), self.tables, self.bits) @ weights
 
 
 def _coded(reps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """bucket, key, code (packed signs), factor, query (8-bit components) and its scale: a row for each table."""
+    """key, dim, signs (packed), factor, query (8-bit components), its scale, and the buckets of all tables."""
 
     def run(batches):
         import pyarrow as pa
@@ -85,84 +99,59 @@ def _coded(reps: DataFrame, tables: int, bits: int) -> DataFrame:
         for b in batches:
             keys, vectors = b.column(0).to_pylist(), [np.frombuffer(x) for x in b.column(1).to_pylist()]
             for dim in sorted({len(v) for v in vectors}):
-                for at in range(0, len(vectors), 200):
-                    own = [i for i in range(at, min(at + 200, len(vectors))) if len(vectors[i]) == dim]
-                    if not own:
-                        continue
+                of = [i for i, v in enumerate(vectors) if len(v) == dim]
+                for at in range(0, len(of), 200):
+                    own = of[at : at + 200]
                     units = np.stack([vectors[i] for i in own])
                     signs, factor, buckets = coder(units)
                     scale = np.abs(units).max(1) / 127
                     query = np.rint(units / scale[:, None]).astype(np.int8)
-                    code = [x.tobytes() for x in np.packbits(signs, axis=1)]
-                    where = np.repeat(np.arange(len(own)), tables)
-                    take = lambda x: [x[i] for i in where]
+                    packed = [x.tobytes() for x in np.packbits(signs, axis=1)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(buckets.ravel()), pa.array(take([keys[i] for i in own]), pa.binary()), pa.array(take(code), pa.binary()), pa.array(factor[where]), pa.array(take([x.tobytes() for x in query]), pa.binary()), pa.array(scale[where])],
-                        ["bucket", "key", "code", "factor", "query", "scale"],
+                        [pa.array([keys[i] for i in own], pa.binary()), pa.array(np.full(len(own), dim, np.int32)), pa.array(packed, pa.binary()), pa.array(factor), pa.array([x.tobytes() for x in query], pa.binary()), pa.array(scale), pa.array(buckets.tolist(), pa.list_(pa.int64()))],
+                        ["key", "dim", "signs", "factor", "query", "scale", "buckets"],
                     )
 
-    return reps.select("key", "unit").mapInArrow(run, "bucket long, key binary, code binary, factor double, query binary, scale double")
+    return reps.select("key", "unit").mapInArrow(run, "key binary, dim int, signs binary, factor double, query binary, scale double, buckets array<long>")
+
+
+def _upper(code: np.ndarray, factor: np.ndarray, query: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Upper confidence bounds of the inner products of coded vectors (rows) with queries, given rotated as well."""
+    wide = code.shape[1]
+    estimate = ((code * 2 - 1).astype(np.float32) / np.float32(math.sqrt(wide))) @ turned.T
+    bound = EPSILON * np.sqrt((1 - np.minimum(factor, 1) ** 2) / factor**2) / math.sqrt(wide - 1)
+    rounding = np.abs(query).max(1) / 254 * math.sqrt(query.shape[1])
+    return (estimate + rounding[None, :].astype(np.float32)) / factor[:, None].astype(np.float32) + (bound[:, None] + 1e-4).astype(np.float32)
 
 
 def possible(code: np.ndarray, factor: np.ndarray, query: np.ndarray, turn: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """Pairs whose inner product may reach the threshold, by the estimates' upper confidence bounds.
+    """Pairs whose inner product may reach the threshold, by the estimates' upper confidence bounds either way.
 
     code: n x D signs; query: n x dim components whose rounding error is at most that of 8 bits; turn: the D x dim
     rotation of the codes.
     """
-    wide = code.shape[1]
     turned = query.astype(np.float32) @ turn.T
-    signs = (code * 2 - 1).astype(np.float32) / np.float32(math.sqrt(wide))
-    estimate = (signs @ turned.T) / factor[:, None].astype(np.float32)
-    bound = EPSILON * np.sqrt((1 - np.minimum(factor, 1) ** 2) / factor**2) / math.sqrt(wide - 1)
-    rounding = np.abs(query).max(1) / 254 * math.sqrt(query.shape[1])
-    upper = estimate + bound[:, None] + (rounding[None, :] / factor[:, None]) + 1e-4
-    return (upper >= threshold) & (upper.T >= threshold)
+    out = np.zeros((len(code), len(code)), bool)
+    for low in range(0, len(code), ROWS):
+        own = slice(low, low + ROWS)
+        out[own] = (_upper(code[own], factor[own], query, turned) >= threshold) & (_upper(code, factor, query[own], turned[own]).T >= threshold)
+    return out
 
 
-def _grouped(threshold: float):
-    """Members of a bucket, or of two parts of one, that estimates cannot part; groups are named by the meeting.
+def _first_shared(near: np.ndarray, keys: np.ndarray, table: int) -> np.ndarray:
+    """The pairs but those that share a bucket of an earlier table."""
+    for t in range(table):
+        near &= keys[:, t][:, None] != keys[:, t][None, :]
+    return near
 
-    Rows come sorted by meeting.  What a batch holds is unpacked and rotated at once; a meeting that the batch cuts is
-    carried into the next.
-    """
+
+def _in_meetings(work):
+    """Hands complete meetings to `work`, which gets a table's arrays and yields batches.  Rows come sorted by meeting; a
+    meeting that a batch cuts is carried into the next."""
 
     def run(batches):
         import pyarrow as pa
 
-        turns: dict[int, np.ndarray] = {}
-
-        def groups(rows: pa.Table) -> pa.RecordBatch:
-            meeting, factor = rows["meeting"].to_numpy(), rows["factor"].to_numpy()
-            keys = np.array(rows["key"].to_pylist(), object)
-            code = np.unpackbits(np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(keys), -1), axis=1).astype(np.int8)
-            raw = rows["query"].to_pylist()
-            dims = np.fromiter(map(len, raw), int, len(raw))
-            scale = rows["scale"].to_numpy()
-            cuts = np.flatnonzero(np.diff(meeting)) + 1
-            out_keys, out_names = [], []
-            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(meeting)]):
-                if high - low < 2:
-                    continue
-                # a bucket's vectors are of one length, and a row that repeats (both sides of a part with itself) counts once
-                _, at = np.unique(keys[low:high], return_index=True)
-                at = np.sort(at) + low
-                dim = int(dims[low])
-                if len(at) < 2 or (dims[at] != dim).any():
-                    continue
-                if dim not in turns:
-                    turns[dim] = rotations(dim, 1).astype(np.float32)
-                query = np.frombuffer(b"".join(raw[i] for i in at), np.int8).reshape(len(at), dim) * scale[at, None]
-                near = possible(code[at], factor[at], query, turns[dim], threshold)
-                np.fill_diagonal(near, False)
-                some = near.any(1)
-                if some.any():
-                    root = roots(near[np.ix_(some, some)])
-                    out_keys += keys[at[some]].tolist()
-                    out_names.append(mix(meeting[low : low + 1].view(np.uint64) + root.astype(np.uint64)).view(np.int64))
-            names = np.concatenate(out_names) if out_names else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out_keys, pa.binary()), pa.array(names)], ["key", "bucket"])
-
         held = None
         for b in batches:
             if not b.num_rows:
@@ -171,37 +160,85 @@ def _grouped(threshold: float):
             meeting = rows["meeting"].to_numpy()
             last = int(np.searchsorted(meeting, meeting[-1]))  # the last meeting may go on in the next batch
             if last:
-                yield groups(rows.slice(0, last).combine_chunks())
+                yield work(rows.slice(0, last).combine_chunks())
             held = rows.slice(last).combine_chunks()
         if held is not None:
-            yield groups(held)
+            yield work(held)
 
     return run
 
 
-def _exact(threshold: float):
-    def run(pdf):
-        """One meeting: exact cosines of all its pairs in double precision."""
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
-        units, side = [np.frombuffer(x) for x in pdf["unit"]], pdf["side"].to_numpy()
-        dims = np.array(list(map(len, units)))
-        linked = np.zeros((len(pdf), len(pdf)), bool)
-        for dim in np.unique(dims):
-            own = np.flatnonzero(dims == dim)
-            u = np.stack([units[i] for i in own])
-            linked[np.ix_(own, own)] = u @ u.T >= threshold
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        if side.any():
-            linked &= side[:, None] != side[None, :]
-        some = linked.any(1)
-        root = roots(linked[np.ix_(some, some)])
-        keys = pdf["key"][some].to_numpy()
-        return pd.DataFrame({"key": keys, "root": keys[root], "links": (linked[some] @ pdf["copies"].to_numpy()).astype(np.int64)})
+def _members(rows, names: tuple[str, ...]):
+    """Index arrays of the rows that may be compared: of one meeting, one table and one length."""
+    order = [rows[n].to_numpy() for n in names]
+    sort = np.lexsort(order[::-1])
+    cuts = np.flatnonzero(np.any([np.diff(x[sort]) != 0 for x in order], axis=0)) + 1 if len(sort) else []
+    return [x for x in np.split(sort, cuts) if len(x) > 1]
 
-    return run
+
+def _near(tables: int, bits: int, threshold: float):
+    """meeting, table, side and key of the members that estimates cannot part from another member."""
+
+    def work(rows):
+        import pyarrow as pa
+
+        coder, turns = Coder(tables, bits), {}
+        signs, queries, keys = (rows[n].to_pylist() for n in ("signs", "query", "key"))
+        factor, scale, side, table = (rows[n].to_numpy() for n in ("factor", "scale", "side", "table"))
+        picked = []
+        for at in _members(rows, ("meeting", "table", "dim")):
+            dim = len(queries[at[0]])
+            if dim not in turns:
+                turns[dim] = rotations(dim, 1).astype(np.float32)
+            told = np.unpackbits(np.frombuffer(b"".join(signs[i] for i in at), np.uint8).reshape(len(at), -1), axis=1)
+            query = np.frombuffer(b"".join(queries[i] for i in at), np.int8).reshape(len(at), dim) * scale[at, None]
+            near = possible(told[:, : width(dim)].astype(np.int8), factor[at], query, turns[dim], threshold)
+            np.fill_diagonal(near, False)
+            if (side[at] != side[at[0]]).any():
+                near &= side[at][:, None] != side[at][None, :]
+            if near.any():
+                some = near.any(1)  # what an earlier table tells is left to it
+                near = _first_shared(near[np.ix_(some, some)], coder.keys(told[some].astype(bool)), int(table[at[0]]))
+                picked += at[some][near.any(1)].tolist()
+        take = pa.array(picked, pa.int64())
+        return pa.RecordBatch.from_arrays([rows["meeting"].take(take).combine_chunks(), rows["table"].take(take).combine_chunks(), rows["side"].take(take).combine_chunks(), pa.array([keys[i] for i in picked], pa.binary())], ["meeting", "table", "side", "key"])
+
+    return _in_meetings(work)
+
+
+def _exact(tables: int, bits: int, threshold: float):
+    """key, root and links of every member linked in a meeting: exact cosines in double precision."""
+
+    def work(rows):
+        import pyarrow as pa
+
+        coder = Coder(tables, bits)
+        units, signs, keys = (rows[n].to_pylist() for n in ("unit", "signs", "key"))
+        copies, side, table = (rows[n].to_numpy() for n in ("copies", "side", "table"))
+        out = ([], [], [])
+        for at in _members(rows, ("meeting", "table", "dim")):
+            u = np.stack([np.frombuffer(units[i]) for i in at])
+            linked = np.zeros((len(at), len(at)), bool)
+            for low in range(0, len(at), ROWS):
+                linked[low : low + ROWS] = u[low : low + ROWS] @ u.T >= threshold
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
+            if (side[at] != side[at[0]]).any():
+                linked &= side[at][:, None] != side[at][None, :]
+            told = np.unpackbits(np.frombuffer(b"".join(signs[i] for i in at), np.uint8).reshape(len(at), -1), axis=1).astype(bool)
+            linked = _first_shared(linked, coder.keys(told), int(table[at[0]]))
+            some = linked.any(1)
+            own = at[some]
+            out[0].extend(keys[i] for i in own)
+            out[1].extend(keys[i] for i in own[roots(linked[np.ix_(some, some)])])
+            out[2].extend((linked[some] @ copies[at]).tolist())
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], ["key", "root", "links"])
+
+    return _in_meetings(work)
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    return rows.repartition("meeting").sortWithinPartitions("meeting")
 
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
@@ -223,19 +260,19 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     every = scratch.keep(rows.mapInArrow(read, f"id {rows.schema['id'].dataType.simpleString()}, key binary, unit binary"), "vectors")
     reps = every.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     reps = scratch.keep(reps, "reps")
-    coded = scratch.keep(_coded(reps, *choose_tables(reps.count(), threshold, recall)), "coded")
-    sizes = coded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = scratch.keep(sizes.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "bucket_sizes")
-    dealt = coded.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = dealt.withColumn("other", other).withColumn("meeting", F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-    dealt = dealt.select("meeting", "key", "code", "factor", "query", "scale").repartition("meeting").sortWithinPartitions("meeting")
-    groups = dealt.mapInArrow(_grouped(threshold), "key binary, bucket long")
-    groups = scratch.keep(groups.distinct(), "groups")
-    scratch.drop("coded", "bucket_sizes")
-    plan = meeting_plan(groups, reps.select("key", F.lit(1).cast("long").alias("weight")), scratch, EXACT_PART, EXACT_PART)
-    met = plan.join(reps, "key").select(F.explode("meetings").alias("m"), "key", "copies", "unit").select("m.pair", "m.side", "key", "copies", "unit")
-    found = met.groupBy("pair").applyInPandas(_exact(threshold), "key binary, root binary, links long")
+    tables, bits = choose_tables(reps.count(), threshold, recall)
+    coded = scratch.keep(_coded(reps, tables, bits), "coded")
+    large = coded.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    large = scratch.keep(large.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "large")
+    dealt = coded.select("key", "dim", "signs", "factor", "query", "scale", F.posexplode("buckets").alias("table", "bucket")).join(large, "bucket", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    side = F.pmod(F.xxhash64("key", F.lit(3)), parts).cast("int")
+    dealt = dealt.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    meeting = F.when(parts > 1, F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("bucket"))
+    asked = _met(dealt.select(meeting.alias("meeting"), "table", "side", "dim", "key", "signs", "factor", "query", "scale"))
+    near = scratch.keep(asked.mapInArrow(_near(tables, bits, threshold), "meeting long, table int, side int, key binary"), "near")
+    met = near.join(coded.select("key", "dim", "signs"), "key").join(reps.select("key", "copies", "unit"), "key")
+    found = _met(met.select("meeting", "table", "side", "dim", "key", "signs", "copies", "unit")).mapInArrow(_exact(tables, bits, threshold), "key binary, root binary, links long")
     out = classes(every.select("id", "key"), reps, found, scratch)
     kept = F.col("id").eqNullSafe(F.col("class_id"))
     return out.select(F.col("id").alias(id), "n_links", F.col("class_id").alias("component_id"), kept.alias("kept"))

@@ -96,38 +96,39 @@ def _parse(pattern: str, either_case: bool):
     return alternatives()
 
 
-def _build(nfa: _Nfa, node) -> tuple[int, int]:
+def _build(nfa: _Nfa, node, back: bool = False) -> tuple[int, int]:
+    """The first and last state of a tree; with back, of its mirror image."""
     kind = node[0]
     if kind == "chars":
         return nfa.chars(node[1])
     a = b = nfa.state()
     if kind == "seq":
-        for x in node[1]:
-            s, e = _build(nfa, x)
+        for x in node[1][::-1] if back else node[1]:
+            s, e = _build(nfa, x, back)
             nfa.empty[b].append(s)
             b = e
         return a, b
     b = nfa.state()
     if kind == "alt":
         for x in node[1]:
-            s, e = _build(nfa, x)
+            s, e = _build(nfa, x, back)
             nfa.empty[a].append(s)
             nfa.empty[e].append(b)
         return a, b
     _, inner, least, most = node
     last = a
     for _ in range(least):
-        s, e = _build(nfa, inner)
+        s, e = _build(nfa, inner, back)
         nfa.empty[last].append(s)
         last = e
     if most is None:
-        s, e = _build(nfa, inner)
+        s, e = _build(nfa, inner, back)
         nfa.empty[last] += [s, b]
         nfa.empty[e] += [s, b]
     else:
         nfa.empty[last].append(b)
         for _ in range(most - least):
-            s, e = _build(nfa, inner)
+            s, e = _build(nfa, inner, back)
             nfa.empty[last].append(s)
             nfa.empty[e].append(b)
             last = e
@@ -138,14 +139,15 @@ class Automaton:
     """next: states x 256 transition array; accepts: states, bit r set where pattern r has matched.  State 0 starts.
 
     With `anywhere`, a match may begin at any byte, so one pass tells where some pattern has matched.  Without it, the
-    automaton is anchored, and state -1 is the dead end.
+    automaton is anchored, and state -1 is the dead end.  With `back`, it reads bytes from the last to the first, and so
+    tells where matches begin.
     """
 
-    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool):
+    def __init__(self, patterns: list[tuple[str, bool]], anywhere: bool, back: bool = False):
         nfa = _Nfa()
         start, ends = nfa.state(), {}
         for r, (pattern, either_case) in enumerate(patterns):
-            a, b = _build(nfa, _parse(pattern, either_case))
+            a, b = _build(nfa, _parse(pattern, either_case), back)
             nfa.empty[start].append(a)
             ends[b] = ends.get(b, 0) | 1 << r
         closed = []

@@ -1,11 +1,16 @@
 """Secret scans with one combined deterministic automaton.
 
 Every rule is a prefix expression and a run of tail characters of some least length.  All rules are compiled into one
-minimal automaton; one pass over a text's bytes finds where any rule has matched, and the spans follow from the rules'
-own anchored automata between the nearest bytes on both sides that set the combined automaton back to its start.
+minimal automaton; one pass over a text's bytes finds where any rule has matched.  The stretch around a match, between
+the nearest bytes on both sides that set the combined automaton back to its start, is read once more from its end, by the
+combined automaton of the mirrored rules: it tells every place where a match of each rule begins.  A rule's own anchored
+automaton reads on from such places only, so no text is gone over again and again from starts that come to nothing.
 Spans are leftmost, longest and non-overlapping per kind; a match whose tail is too short is passed over and dropped.
 
-A null text counts as empty and has no spans.  Spans count code points, the end is exclusive.
+Cases: a null text counts as empty, and an empty one has no spans; long texts are scanned whole, in time linear in their
+length; spans that begin together stand in the rules' order; repeated rows have equal spans and all stay; an empty table
+gives an empty one; a column to keep must not be called spans, other columns never matter, and redact() keeps them all.
+Spans count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import Automaton
+from .common import share
 
 
 @dataclass(frozen=True)
@@ -49,35 +55,45 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         # behind a prefix the first tail character counts as a hit: counting all tails at once would multiply the states
-        whole = Automaton([(f"{r.prefix}{r.tail}{{{1 if r.prefix else r.least},}}", r.either_case) for r in rules], anywhere=True)
-        self.start = whole.rows()[0]
-        resets = np.flatnonzero((whole.next == 0).all(0))
-        self.reset = np.isin(np.arange(256), resets)
+        hits = [(f"{r.prefix}{r.tail}{{{1 if r.prefix else r.least},}}", r.either_case) for r in rules]
+        begins = [(f"{r.prefix}{r.tail}{{{1 if r.prefix else r.least}}}", r.either_case) for r in rules]
+        self.whole, self.back = Automaton(hits, anywhere=True), Automaton(begins, anywhere=True, back=True)
+        self.reset = (self.whole.next == 0).all(0)
         self.own = []
         for r in rules:
             prefix = Automaton([(r.prefix, r.either_case)], anywhere=False)
             tail = Automaton([(r.tail, False)], anywhere=False)
-            self.own.append((prefix.next.tolist(), prefix.accepts.tolist(), (tail.next[0] >= 0).tolist(), np.flatnonzero(prefix.next[0] >= 0).tolist()))
+            self.own.append((prefix.next.tolist(), prefix.accepts.tolist(), (tail.next[0] >= 0).tolist()))
+        self.link()
 
-    def _spans(self, data: bytes, low: int, high: int, k: int):
-        """Leftmost-longest spans of one rule in data[low:high], whose borders no match crosses."""
-        moves, accepts, tail, _ = self.own[k]
-        at = low
-        while at < high:
+    def link(self) -> None:
+        self.start, self.end = self.whole.rows()[0], self.back.rows()[0]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("start", "end")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.link()
+
+    def _spans(self, data: bytes, high: int, k: int, begins: list[int]):
+        """Leftmost-longest spans of one rule that begin at the places given, before `high`, which no match crosses."""
+        moves, accepts, tail = self.own[k]
+        done = -1
+        for at in begins:
+            if at < done:
+                continue
             state, i, body = 0, at, at if accepts[0] else -1
             while i < high and (state := moves[state][data[i]]) >= 0:
                 i += 1
                 if accepts[state]:
                     body = i
-            if body >= 0 and body < high and tail[data[body]]:
-                end = body
-                while end < high and tail[data[end]]:
-                    end += 1
-                if end - body >= self.rules[k].least:
-                    yield at, end
-                at = end
-            else:
-                at += 1
+            if 0 <= body < high and tail[data[body]]:
+                done = body
+                while done < high and tail[data[done]]:
+                    done += 1
+                if done - body >= self.rules[k].least:
+                    yield at, done
 
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, in this order."""
@@ -92,7 +108,11 @@ class Scanner:
                 continue
             k = bisect_left(stops, i)
             low, done = (stops[k - 1] + 1 if k else 0), (stops[k] if k < len(stops) else len(data))
-            out += [(a, r, b) for r in range(len(self.rules)) for a, b in self._spans(data, low, done, r)]
+            row = self.end
+            begins = [(at, row[256]) for at, b in zip(range(done - 1, low - 1, -1), data[low:done][::-1]) if (row := row[b])[256]]
+            for r in range(len(self.rules)):
+                if places := [at for at, told in reversed(begins) if told >> r & 1]:
+                    out += [(a, r, b) for a, b in self._spans(data, done, r, places)]
         return sorted(out)
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -109,12 +129,12 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     """The columns to keep, and `spans`: each whole text's secrets as array<struct<kind, start, end>>."""
     df = df.select(*keep, text)
     n = len(keep)
-    schema = T.StructType([*df.schema.fields[:n], T.StructField("spans", T.ArrayType(SPAN))])
+    schema, shared = T.StructType([*df.schema.fields[:n], T.StructField("spans", T.ArrayType(SPAN))]), share(df.sparkSession, Scanner(rules))
 
     def run(batches):
         import pyarrow as pa
 
-        scanner = Scanner(rules)
+        scanner = shared()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             rows = [[{"kind": k, "start": a, "end": e} for k, a, e in scanner.spans(t)] for t in b.column(n).to_pylist()]
@@ -125,12 +145,12 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns and rows as they are, but with every secret in the text replaced by a mark; a null text stays null."""
-    schema, at = df.schema, df.columns.index(text)
+    schema, at, shared = df.schema, df.columns.index(text), share(df.sparkSession, Scanner(rules))
 
     def run(batches):
         import pyarrow as pa
 
-        scanner = Scanner(rules)
+        scanner = shared()
         for b in batches:
             rows = []
             for t in b.column(at).to_pylist():

@@ -3,10 +3,14 @@
 Found values are validated (Luhn and mod-97 check digits, number plans, calendar), mapped to an integer below the number
 of values of their format, permuted by a keyed Feistel network with cycle walking, and written back in the same format
 with valid check digits.  The permutation depends on the key and the format alone, so equal values stay linked across
-documents, and whoever has the key can invert it.  What is not valid is left as it stands.  A run of groups that is no
-valid card or IBAN as a whole is searched for one that ends, or starts, where a group does.
-
-A null text stays null; an empty text has nothing to find.  Overlapping finds: the leftmost, then the longest, counts.
+documents.  Every format's values are closed under its permutation, so no two values share a pseudonym and whoever has
+the key can invert it.  What is not valid is left as it stands.  A run of groups that is no valid card or IBAN as a whole
+is searched for one that ends, or starts, where a group does.
+
+Cases: a null text stays null; an empty text, and any without a valid value, stays as it is, with no spans; a long text is
+searched as a whole, in time linear in its length; of overlapping finds the leftmost, then the longest, counts, and of
+finds of one extent the first kind by name; repeated rows are treated alike and all stay; an empty table gives an empty
+one; a column that has the name of the spans is replaced by them, other columns pass, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,12 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEY, ROUNDS = "veritrail-demo-key", 8
+from .common import without
+
+ROUNDS = 8
 #: Dates are permuted within these years.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DATE_ORDERS = {"-": "ymd", ".": "dmy", "/": "mdy"}
 #: Slash dates whose first number is no month are day first; they are permuted among the days after the 12th.
 LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+#: Valid area codes and exchanges of the North American plan, the exchanges that it does not have, and the areas of social
+#: security numbers.
+CODES = [c for c in range(200, 1000) if c % 100 != 11]
+NO_CODES = [c for c in range(1000) if c < 200 or c % 100 == 11]
+AREAS = [a for a in range(1, 900) if a != 666]
 #: Country codes of one and two digits; all others have three.
 COUNTRY_CODE = re.compile(r"\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
@@ -59,7 +70,9 @@ def iban_rest(plain: str) -> int:
 class Permuter:
     """A keyed permutation of 0..n-1 for every n and format."""
 
-    def __init__(self, key: str = KEY):
+    def __init__(self, key: str):
+        if not key:
+            raise ValueError("an empty key would make pseudonyms guessable")
         self.key = hashlib.sha256(key.encode()).digest()
 
     def _round(self, tweak: bytes, i: int, value: int, bits: int) -> int:
@@ -100,14 +113,17 @@ class Permuter:
         plain = "".join(v[i] for i in at)
         if luhn(plain) or len(set(plain)) == 1:
             return None
-        v = self.digits(v, at[1:-1], f"card{plain[0]}", inverse)
-        rest = luhn("".join(v[i] for i in at[:-1]) + "0")
-        return v[: at[-1]] + str(-rest % 10) + v[at[-1] + 1 :]
+        while True:
+            v = self.digits(v, at[1:-1], f"card{plain[0]}", inverse)
+            rest = luhn("".join(v[i] for i in at[:-1]) + "0")
+            v = v[: at[-1]] + str(-rest % 10) + v[at[-1] + 1 :]
+            if len({v[i] for i in at}) > 1:  # one digit throughout is no card: walk on
+                return v
 
     def iban(self, v: str, inverse: bool = False) -> str | None:
         at = [i for i, c in enumerate(v) if c != " "]
         plain = "".join(v[i] for i in at)
-        if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
+        if not 15 <= len(plain) <= 34 or not 2 <= int(plain[2:4]) <= 98 or iban_rest(plain) != 1:
             return None
         v = self.digits(v, [i for i in at[4:] if v[i].isdigit()], f"iban{plain[:2]}", inverse)
         plain = "".join(v[i] for i in at)
@@ -136,24 +152,25 @@ class Permuter:
         area, group, serial = map(int, v.split("-"))
         if area in (0, 666) or area >= 900 or not group or not serial:
             return None
-        areas = [a for a in range(1, 900) if a != 666]
-        x = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
-        x = self.permute(x, len(areas) * 99 * 9999, "ssn", inverse)
-        return f"{areas[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+        x = (bisect.bisect_left(AREAS, area) * 99 + group - 1) * 9999 + serial - 1
+        x = self.permute(x, len(AREAS) * 99 * 9999, "ssn", inverse)
+        return f"{AREAS[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
 
     def phone(self, v: str, inverse: bool = False) -> str | None:
         if v[0] == "+" and v[1] != "1":  # outside North America: the country code stays
             code = COUNTRY_CODE.match("+" + "".join(filter(str.isdigit, v)))[0]
             return self.digits(v, [i for i, c in enumerate(v) if c.isdigit()][len(code) - 1 :], f"phone{code}", inverse)
         at = [i for i, c in enumerate(v) if c.isdigit()][-10:]
-        d = [int(v[i]) for i in at]
-        if d[0] < 2 or d[3] < 2 or d[1:3] == [1, 1] or d[4:6] == [1, 1]:  # written as a number, but outside the plan
-            return self.digits(v, at[3:], f"phone{v[at[0] : at[2] + 1]}", inverse)
-        codes = [c for c in range(200, 1000) if c % 100 != 11]
-        area, exchange = d[0] * 100 + d[1] * 10 + d[2], d[3] * 100 + d[4] * 10 + d[5]
-        x = (codes.index(area) * len(codes) + codes.index(exchange)) * 10_000 + int("".join(map(str, d[6:])))
-        x = self.permute(x, len(codes) ** 2 * 10_000, "phone", inverse)
-        new = f"{codes[x // 10_000 // len(codes)]}{codes[x // 10_000 % len(codes)]}{x % 10_000:04d}"
+        area, exchange, line = (int("".join(v[i] for i in at[a:b])) for a, b in ((0, 3), (3, 6), (6, 10)))
+        if area in CODES and exchange in CODES:
+            x = (bisect.bisect_left(CODES, area) * len(CODES) + bisect.bisect_left(CODES, exchange)) * 10_000 + line
+            x = self.permute(x, len(CODES) ** 2 * 10_000, "phone", inverse)
+            new = f"{CODES[x // 10_000 // len(CODES)]}{CODES[x // 10_000 % len(CODES)]}{x % 10_000:04d}"
+        elif area in CODES:  # written as a number, but outside the plan, where it stays: the area is kept
+            x = self.permute(bisect.bisect_left(NO_CODES, exchange) * 10_000 + line, len(NO_CODES) * 10_000, f"phone{area}", inverse)
+            new = f"{area}{NO_CODES[x // 10_000]:03d}{x % 10_000:04d}"
+        else:  # no exchange lies inside the plan
+            new = f"{area:03d}{self.permute(exchange * 10_000 + line, 10**7, f'phone{area:03d}', inverse):07d}"
         out = list(v)
         for i, c in zip(at, new):
             out[i] = c
@@ -182,7 +199,7 @@ class Permuter:
 
 
 class Finder:
-    def __init__(self, key: str = KEY, most: int = 100_000):
+    def __init__(self, key: str, most: int = 100_000):
         self.permuter, self.most = Permuter(key), most
         self.memo: dict[tuple[str, str], str | None] = {}
         self.regexes = {k: re.compile(p, re.A if k != "email" else 0) for k, p in PATTERNS.items()}
@@ -222,8 +239,9 @@ class Finder:
         return out
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY, spans: str = "spans") -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """All columns, the text with pseudonyms for every valid value, and spans: where they stand in the given text."""
+    df = without(df, spans)
     at = df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField(spans, T.ArrayType(SPAN))])
 

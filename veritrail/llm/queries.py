@@ -12,6 +12,8 @@ from . import bpe, decontaminate, embed, ngram_join, pii, quality, secret_scan,
 from .common import Scratch, crc_mod, small_batches, table
 
 SHARDS = 40
+#: The tables are synthetic; real data want a key of their own, from a store of secrets.
+DEMO_KEY = "veritrail-demo-key"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -76,7 +78,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return pii.summary(pii.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return pii.summary(pii.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), DEMO_KEY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_ngram_join, op3_sharding, op4_embedding_dedup, op5_toxicity, op6_quality, op7_bpe, op8_secrets, op9_decontaminate, op10_pii)}

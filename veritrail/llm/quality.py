@@ -2,7 +2,11 @@
 
 Training reads a bounded sample of labelled rows (SAMPLE, in the order of a hash of their ids); their statistics are
 computed on the executors.  The trees are flattened into arrays, and documents are scored by vectorised traversal.
-A null text counts as empty; an empty text has statistics and a score as any other.
+
+Cases: a null text counts as empty; an empty text has statistics and a score as any other; long texts are read whole; a
+score equal to the threshold passes; repeated rows have equal scores and all stay; of an id's repeated labels the larger
+counts, and of its texts the last in order; without labels, or with labels of one kind, every score is the same; an empty
+table gives an empty one; columns that have the names of the score and the prediction are replaced by them, others pass.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share
+from .common import share, without
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 20_000
@@ -129,8 +133,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, trees: int = TREES, dept
     return Forest(**{k: np.array(v) for k, v in node.items()}, root=np.array(root), depth=depth, base=base)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """text and label of at most `most` labelled documents, the first by a hash of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, size: int | None = None) -> DataFrame:
+    """doc_id, text and label of at most `most` labelled documents, the first by a hash of their ids; with a size, of as
+    many of them as begin within so many characters, one at least.
 
     labels: doc_id and a 0/1 label; null labels do not count, of repeated ids the larger label does.
     """
@@ -138,7 +143,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # its size is bounded by `most`
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # of repeated ids one text
-    return texts.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("x")).select("doc_id", "x.text", "x.label")
+    out = texts.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label")).alias("x")).select("doc_id", "x.text", "x.label")
+    if size is None:
+        return out
+    before = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - F.length("text")  # of `most` rows
+    return out.withColumn("before", before).where(F.col("before") < size).drop("before")
 
 
 def _statistics_of(df: DataFrame) -> DataFrame:
@@ -164,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def score(df: DataFrame, model: Forest, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns, score (0 to 1, higher: label 1 likelier) and predicted (1 if the score reaches the threshold)."""
     spark: SparkSession = df.sparkSession
+    df = without(df, "score", "predicted")
     shared, at = share(spark, model), df.columns.index(text)
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -7,8 +7,15 @@ word or prefix leans to toxic documents beyond chance, copied passages counted o
 on the likelihood.  Forward-backward marginals, over whole texts, aggregate to a document's score through a logistic
 link fitted on the same sample, and tokens whose marginal reaches one half make up the offending offsets.
 
-The sample is bounded: at most SAMPLE documents of either label, the first by a hash of their ids.  Null and empty texts
-have no tokens, no spans and a score like any text without evidence.
+The sample is bounded: at most SAMPLE documents of either label, the first by a hash of their ids, and of these as many
+as begin within SAMPLE_CHARS characters.  The field and those of the sample's halves, on which the link is fitted, are
+fitted by three tasks on executors; the driver sees the field's weights and six numbers for each document of the sample.
+
+Cases: null and empty texts have no tokens, no spans and a score like any text without evidence; long texts are tagged
+whole; a marginal of one half, and a score equal to the threshold, count as toxic; repeated rows have equal results and
+all stay; of an id's repeated labels the larger counts; without labels, or with labels of one kind, every score is the
+same; an empty table gives an empty one; columns to keep must not be called score, predicted or spans, others are never
+read.
 """
 
 from __future__ import annotations
@@ -17,15 +24,15 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import share
+from .common import Scratch, share, slices
 from .quality import labelled_sample
 
-#: Most labelled documents of either kind that the field is fitted on.
-SAMPLE = 1200
+#: Most labelled documents of either kind that the field is fitted on, and characters of either kind that they begin within.
+SAMPLE, SAMPLE_CHARS = 1200, 32_000_000
 STEPS, RATE, RIDGE, CHUNK, LEAST = 40, 0.5, 1e-3, 64, 3
 #: Share of a feature's contexts that must lie in toxic documents, and nats of evidence that it is no chance.
 SHARE = 0.6
@@ -242,6 +249,8 @@ def fit_field(texts: list[str], toxic: np.ndarray) -> Field:
 
 def _seen(field: Field, texts: list[str]) -> np.ndarray:
     memo: dict = {}
+    if not texts:
+        return np.zeros((0, len(evidence(np.zeros(0)))))
     return np.stack([evidence(p) for at in range(0, len(texts), 100) for p in field.tagged(texts[at : at + 100], memo)])
 
 
@@ -269,21 +278,17 @@ def _logistic(e: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return b
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
-    """share: toxic documents among all labelled ones, to which the link is adjusted.
+def _prior(share: float) -> np.ndarray:
+    return np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), *[0.0] * (len(evidence(np.zeros(0))) - 1)])
 
-    The link is fitted on what fields that were fitted on the other half of the sample see of each document.
-    """
-    prior = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), *[0.0] * (len(evidence(np.zeros(0))) - 1)])
-    field = fit_field(texts, toxic)
+
+def linked(field: Field, e: np.ndarray, toxic: np.ndarray, share: float) -> Field:
+    """The field with its link.  e: what fields that were fitted on the other half of the sample see of each document;
+    share: toxic documents among all labelled ones, to which the link is adjusted."""
+    prior = _prior(share)
     if not field.weights:
         field.link = prior
         return field
-    half = np.arange(len(texts)) % 2
-    e = np.zeros((len(texts), len(prior)))
-    for k in (0, 1):
-        learnt, seen = np.flatnonzero(half != k), np.flatnonzero(half == k)
-        e[seen] = _seen(fit_field([texts[i] for i in learnt], toxic[learnt]), [texts[i] for i in seen])
     mean = float(toxic.mean())
     weight = np.where(toxic == 1, share / mean, (1 - share) / (1 - mean))
     active = list(range(len(prior)))
@@ -298,38 +303,83 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Field:
+def _fits(sample: DataFrame) -> DataFrame:
+    """Three rows: fit 2 has the whole sample's field; 0 and 1 what the field of the other half sees of theirs.
+
+    sample: nth (its place in the sample's order), text, label.
+    """
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        held: dict[int, list] = {}
+        for b in batches:
+            for which, *row in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault(which, []).append(tuple(row))
+        for which, rows in sorted(held.items()):
+            rows.sort()
+            texts, toxic = [r[1] for r in rows], np.array([r[2] for r in rows], float)
+            half = np.arange(len(rows)) % 2
+            if which == 2:
+                made = fit_field(texts, toxic)
+            else:
+                learnt, seen = np.flatnonzero(half != which), np.flatnonzero(half == which)
+                field = fit_field([texts[i] for i in learnt], toxic[learnt])
+                made = _seen(field, [texts[i] for i in seen])
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([pickle.dumps(made.__dict__ if which == 2 else made)], pa.binary())], ["fit", "made"])
+
+    each = sample.select(F.explode(F.array(*map(F.lit, range(3)))).alias("fit"), "nth", "text", "label")
+    return each.repartitionByRange(3, "fit").mapInArrow(run, "fit int, made binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, scratch: Scratch | None = None) -> Field:
     """labels holds the rows that may be learnt from, and no other."""
-    count = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    rows = []
-    for value in (0, 1):
-        rows += labelled_sample(docs, labels.where(F.col(label) == value), label, most).collect()  # bounded by `most`
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["label"]))
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], float), float(count or 0.0))
+    import pickle
+
+    scratch = scratch or Scratch(docs.sparkSession)
+    share = float(labels.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
+    of = [labelled_sample(docs, labels.where(F.col(label) == value), label, most, SAMPLE_CHARS) for value in (0, 1)]
+    order = F.row_number().over(Window.orderBy("doc_id", "text", "label"))  # of twice `most` rows
+    sample = scratch.keep(of[0].unionByName(of[1]).select((order - 1).alias("nth"), "text", "label"), "sample")
+    made = {r["fit"]: pickle.loads(r["made"]) for r in _fits(sample).collect()}  # three rows, bounded as the sample is
+    if not made:
+        return linked(fit_field([], np.zeros(0)), np.zeros((0, 0)), np.zeros(0), share)
+    toxic = np.array([r["label"] for r in sample.orderBy("nth").select("label").collect()], float)
+    e = np.zeros((len(toxic), len(_prior(share))))
+    for k in (0, 1):
+        e[k::2] = made[k]
+    scratch.drop("sample")
+    return linked(Field(**made[2]), e, toxic, share)
 
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 def spans_of(text: str, p: np.ndarray) -> list[dict]:
-    """Runs of toxic tokens as character offsets."""
+    """Runs of toxic tokens as character offsets of the text."""
     out: list[dict] = []
     last = -2
     lower = text.lower()
-    exact = len(lower) == len(text)
-    for i, m in enumerate(WORD.finditer(text if exact else lower)):
+    if len(lower) == len(text):
+        place = lambda i: i
+    else:  # a few characters become several in lower case: back to those they came from
+        ends = np.cumsum([len(c.lower()) for c in text])
+        place = lambda i: int(np.searchsorted(ends, i, "right"))
+    for i, m in enumerate(WORD.finditer(lower)):
         if i < len(p) and p[i] >= 0.5:
+            start, end = place(m.start()), place(m.end() - 1) + 1
             if last == i - 1:
-                out[-1]["end"] = m.end()
+                out[-1]["end"] = end
             else:
-                out.append({"start": m.start(), "end": m.end()})
+                out.append({"start": start, "end": end})
             last = i
     return out
 
 
 def tag(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
-    """The columns to keep, score, predicted (1 if the score reaches the threshold) and spans (offsets in the text; in
-    its lower-case form for the rare texts whose length that changes)."""
+    """The columns to keep, score, predicted (1 if the score reaches the threshold) and spans (offsets in the text)."""
     df = df.select(*keep, text)
     n, shared = len(keep), share(df.sparkSession, model)
     schema = T.StructType([*df.schema.fields[:n], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("spans", T.ArrayType(SPAN))])
@@ -340,8 +390,7 @@ def tag(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...] =
         field, memo = shared(), {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
+            for part in slices(b, n):
                 texts = part.column(n).to_pylist()
                 each = field.tagged(texts, memo)
                 scores = np.array([field.score(p) for p in each])

@@ -5,7 +5,12 @@ produce a token across it.  A table of 65,536 flags therefore cuts a whole text
 made only where the pre-tokenizer, too, reads the two sides alike when apart (see `cut_table`).  The fragments are
 encoded independently, each distinct one once per memo, and their ids are concatenated.
 
-Nulls are encoded as empty texts.  Added special tokens found in a text become their id, as in the library.
+The vocabulary file is read once, on the driver, and sent to the executors, which need no copy of it.
+
+Cases: a null text is encoded as an empty one, which has no ids and decodes to an empty text; long texts are encoded
+whole, and long pieces in n log n steps; of merges of equal rank the leftmost comes first; added special tokens found in
+a text become their id, as in the library; repeated rows have equal ids and all stay; an empty table gives an empty one;
+columns to keep must not have the names of the results, others are never read.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import share, slices
+
 #: The split pattern of the byte-level pre-tokenizer, and the ASCII characters that it holds for white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_SPACE = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
@@ -54,17 +61,20 @@ def cut_table(tokens: list[bytes]) -> np.ndarray:
     return ok.ravel() & ~seen
 
 
-#: Pieces of at most so many bytes are merged in a list, longer ones with a heap.
-SHORT = 48
+#: Pieces of at most so many bytes are merged in a list, longer ones with a heap.  Fragments of at most so many bytes are
+#: remembered, as many as the encoder allows.  Largest vocabulary file that is sent to executors.
+SHORT, REMEMBERED, FILE_BYTES = 48, 64, 1 << 27
 
 
 class Encoder:
     """Encodes and decodes with a vocabulary file; holds at most `most` fragments in its memo."""
 
     def __init__(self, path: str, most: int = 400_000):
-        import regex
-
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            raw = f.read(FILE_BYTES + 1)
+        if len(raw) > FILE_BYTES:
+            raise ValueError("the vocabulary file is too large")
+        spec = json.loads(raw)
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
@@ -80,10 +90,22 @@ class Encoder:
             if len(t) == 1:
                 self.first[t[0]] = i
         self.cuts = cut_table(list(raw.values()))
+        self.most = most
+        self.link()
+
+    def link(self) -> None:
+        import regex
+
         self.pieces = regex.compile(SPLIT).findall
         self.markers = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.most = most
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("pieces", "markers", "memo")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.link()
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges a piece's bytes, the lowest rank first and the leftmost of equal ranks first."""
@@ -136,13 +158,18 @@ class Encoder:
         if not text:
             return []
         found, memo = self.fragments(text.encode("utf-8")), self.memo
+        long = []
         if new := set(found).difference(memo):
             if len(memo) > self.most:
                 memo.clear()
                 new = set(found)
             for f in new:
                 memo[f] = tuple(chain.from_iterable(self.merged(p.encode()) for p in self.pieces(f.decode())))
-        return list(chain.from_iterable(map(memo.__getitem__, found)))
+            long = [f for f in new if len(f) > REMEMBERED]
+        out = list(chain.from_iterable(map(memo.__getitem__, found)))
+        for f in long:
+            del memo[f]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -168,15 +195,15 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
 def _coded(df: DataFrame, path: str, text: str, ids: str, decoded: str | None, kept: int) -> DataFrame:
     from pyspark.sql import types as T
 
+    shared = share(df.sparkSession, Encoder(path))
     fields = [*df.schema.fields[:kept], T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def run(batches):
         import pyarrow as pa
 
-        coder = Encoder(path)
+        coder = shared()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
+            for part in slices(b, kept, 200):
                 rows = [coder.encode(t) for t in part.column(kept).to_pylist()]
                 ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
                 flat = pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1])))
@@ -192,13 +219,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded",
     """The columns to keep, and the text that each row's ids stand for; null ids decode to an empty text."""
     from pyspark.sql import types as T
 
-    df = df.select(*keep, ids)
+    df, shared = df.select(*keep, ids), share(df.sparkSession, Encoder(path))
     schema = T.StructType([*df.schema.fields[: len(keep)], T.StructField(decoded, T.StringType())])
 
     def run(batches):
         import pyarrow as pa
 
-        coder = Encoder(path)
+        coder = shared()
         for b in batches:
             text = pa.array([coder.decode(r or ()) for r in b.column(len(keep)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), text], schema.names)

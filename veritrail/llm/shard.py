@@ -6,7 +6,12 @@ holds N; values that fall outside 0..N-1 are permuted again until they fall insi
 Row p of the shuffle goes to shard p mod S, slot p div S: counts are at most one apart, slots have no gaps, and both
 directions are computable from a row number alone.
 
-Null texts count as empty.  Rows alike in key, size and checksum are interchangeable.  An empty table gives no rows.
+The law is `rows`: rows of equal texts, the groups that a copy's checksum tells, are dealt like any others and scatter
+over all shards, as the permutation knows row numbers only; the checksum returned keeps them together for who wants it.
+
+Cases: null texts count as empty, and null keys come first; a long text counts its whole length, and is never moved, only
+its size and checksum are; rows alike in key, size and checksum are interchangeable, and repeated rows have places of
+their own; an empty table gives no rows; other columns are never read, whatever they are called.
 """
 
 from __future__ import annotations

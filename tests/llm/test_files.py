@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import os
 import struct
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrail.llm import shard, warc
-from veritrail.llm.common import Scratch
+from veritrail.llm.common import Scratch, shared_folder, slices
 
 zstd = pytest.importorskip("zstandard")
 
@@ -85,6 +86,72 @@ def test_records_of_other_writers(spark):
             warc.parse_record(bad)
 
 
+def test_reading_goes_on_after_damage():
+    rng = np.random.default_rng(3)
+    records = [record(i, rng.bytes(200) + b"word " * (i * 9)) for i in range(40)]
+    content = warc.pack(records)
+    at = [o for o, _, _ in warc.unpack(content)] + [len(content)]
+    for _ in range(150):
+        k = int(rng.integers(1, 39))
+        flip, cut, junk = bytearray(content), int(rng.integers(1, 300)), rng.bytes(int(rng.integers(1, 300)))
+        place = int(rng.integers(at[k], at[k + 1]))
+        flip[place] ^= int(rng.integers(1, 256))
+        for bad, hit in ((bytes(flip), {k}), (content[:place] + content[place + cut :], {i for i in range(40) if at[i] < place + cut and at[i + 1] > place}), (content[:place] + junk + content[place:], {k})):
+            got = {d for _, d, e in warc.unpack(bad) if e is None}
+            assert {i for i, r in enumerate(records) if r not in got} <= hit
+
+
+def test_archives_are_read_in_pieces_and_within_bounds(monkeypatch):
+    records = [record(i, bytes(i * 37 % 5000)) for i in range(50)]
+    content = warc.pack(records)
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    assert [d for _, d, _ in warc.unpack(io.BytesIO(content))] == records
+    open_end = zstd.ZstdCompressor(write_content_size=False)
+    bombs = open_end.compress(bytes(10**7)) + zstd.ZstdCompressor().compress(bytes(10**7)) + open_end.compress(records[0])
+    got = list(warc.unpack(bombs, most=100_000))
+    assert [e for _, _, e in got] == ["larger than the bound", "larger than the bound", None] and got[2][1] == records[0]
+    skips = struct.pack("<II", 0x184D2A51, 5) + b"abcde" + zstd.ZstdCompressor().compress(records[0]) + struct.pack("<II", 0x184D2A50, 10**6)
+    assert [d for _, d, e in warc.unpack(skips) if e is None] == records[:1]
+
+
+def test_headers_that_contradict_each_other_are_told():
+    good = record()
+    for bad in (good.replace(b"Content-Type: app", b"Content-Length: 1\r\nContent-Type: app"), good.replace(b"WARC-Type: response", b"WARC-Type: response\r\nwarc-type: revisit")):
+        with pytest.raises(ValueError, match="two headers"):
+            warc.parse_record(bad)
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 2\r\nContent-Length: 3\r\n\r\nhi"
+    with pytest.raises(ValueError, match="two lengths"):
+        warc.parse_record(other_record("response", "application/http; msgtype=response", block))
+
+
+def test_archives_as_files(spark, tmp_path, monkeypatch):
+    rows = [(1, "u1", "same"), (7, "u7", "same"), (4, None, None), (6, "u6", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    made = warc.write_files(df, str(tmp_path / "out")).collect()
+    files = sorted(p for p in (tmp_path / "out").iterdir())
+    assert sorted(r.archive for r in made) == [f"file://{p}" for p in files] and {r.bytes for r in made} == {p.stat().st_size for p in files}
+    (tmp_path / "out" / "broken.warc.zst").write_bytes(b"no archive")
+    (tmp_path / "out" / "other.txt").write_bytes(b"no archive")
+
+    def told():
+        got = warc.read_files(spark, str(tmp_path / "out")).collect()
+        return sorted((str(r.record_type), str(r.page_id), str(r.refers_to), len(r.payload or b""), str(r.error)) for r in got)
+
+    whole = told()
+    assert [x for x in whole if x[0] in ("response", "revisit")] == [("response", "4", "None", 0, "None"), ("response", "6", "None", 250_000, "None"), ("response", "7", "None", 4, "None"), ("revisit", "1", "7", 0, "None")]
+    assert len([x for x in whole if x[0] == "warcinfo"]) == len(files) and len([x for x in whole if x[4] != "None"]) == 1
+    monkeypatch.setattr(warc, "WHOLE_BYTES", 0)
+    assert told() == whole  # as streams
+    gone = warc.read_streams(spark.createDataFrame([("file:///nowhere/x.warc.zst",)], "archive string")).collect()
+    assert [r.error for r in gone] == ["cannot be opened: FileNotFoundError"]
+
+
+def test_payloads_are_shuffled_only_for_a_large_table_of_repetitions(spark):
+    df = spark.createDataFrame([(i, "u", f"page {i // 2}") for i in range(40)], "page_id long, url string, html string")
+    plan = warc.archives(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_corrupt_archives_are_told(spark):
     content = warc.pack([record(i) for i in range(5)])
     broken = bytearray(content)
@@ -120,6 +187,41 @@ def test_permutation_and_inverse(n):
     assert n < 40 or (p != shard.permute(np.arange(n), n, 18)).any()
 
 
+def test_equal_texts_are_dealt_like_any_others(spark):
+    df = spark.createDataFrame([(i, "same") for i in range(4000)], "doc_id long, text string")
+    out = shard.assign(df, 40, Scratch(spark))
+    assert out.select("text_crc32").distinct().count() == 1 and {r["count"] for r in out.groupBy("shard").count().collect()} == {100}
+
+
+def test_scratch_tables(spark, tmp_path):
+    s = Scratch(spark)
+    kept = s.keep(spark.range(3), "three")
+    assert kept.count() == 3 and os.path.isdir(s.base.removeprefix("file:") + "/three")
+    s.close()
+    assert not os.path.exists(s.base.removeprefix("file:"))
+
+    def elsewhere(master, **conf):
+        return type("S", (), {"conf": {k.replace("_", "."): v for k, v in conf.items()}, "sparkContext": type("C", (), {"master": master})})
+
+    own, shared = "file:/home/me/warehouse", "hdfs://host/warehouse"
+    for warehouse in (own, "/home/me/warehouse", "warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(elsewhere("spark://host:7077", spark_sql_warehouse_dir=warehouse))
+    assert shared_folder(elsewhere("spark://host:7077", spark_sql_warehouse_dir=shared)) == shared
+    assert shared_folder(elsewhere("local[4]", spark_sql_warehouse_dir=own)) == own
+    assert shared_folder(elsewhere("spark://host:7077", spark_sql_warehouse_dir=own, spark_checkpoint_dir="/shared/")) == "/shared"
+
+
+def test_slices_are_bounded_in_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 10, 500, 1, 1, 1, 1)] + [None, "é" * 60]
+    b = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    got = [p.column(0).to_pylist() for p in slices(b, 0, 3, 100)]
+    assert sum(got, []) == texts and [len(p) for p in got] == [2, 1, 3, 2, 1]
+    assert list(slices(b.slice(0, 0), 0)) == []
+
+
 def test_sharding(spark):
     rows = [(i % 900, f"text {i % 500}") for i in range(1500)] + [(None, None), (None, ""), (3, "é" * 50_000)] + [(1, "hot")] * 500
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "doc_id long, text string, size int, part string")

@@ -77,6 +77,34 @@ def test_overlaps_count_shared_grams():
     assert ngram_join._overlaps(s[:2], s[2:]).astype(int).tolist() == [[2, 0], [1, 0]]
 
 
+@pytest.mark.parametrize("few", [1, 3, 8])
+def test_overlaps_equal_sets(few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    s = [np.unique(RNG.integers(0, 60, RNG.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in s] for a in s])
+    own = ngram_join._overlaps(s, None).astype(int)
+    np.fill_diagonal(own, 0)
+    np.fill_diagonal(want, 0)
+    assert (own == want).all() and (ngram_join._overlaps(s[:11], s[11:]).astype(int) == want[:11, 11:]).all()
+
+
+def test_large_groups_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 16)
+    rows = corpus()
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_one_of_each_has_a_rule_for_every_tie(spark):
+    a, b = text(30), text(40)
+    rows = [(1, a, "en", 5), (1, a, "de", 5), (1, a, "de", 4), (2, None, "x", 1), (2, "", "fr", 1), (2, "", "fr", 1), (None, b, "b", 1), (7, b, "b", 2), (8, b, "a", 1), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string, `text.key` int")
+    for parts in (1, 3):
+        kept = ngram_join.one_of_each(df.repartition(parts))
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "de", 4), (2, None, "x", 1), (2, "", "fr", 1), (2, "", "fr", 1), (7, b, "b", 2), (None, None, None, None)], key=str)
+
+
 def test_similar_texts_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n_links int, key string")  # clashing names
@@ -163,7 +191,10 @@ def test_tables_reach_the_target():
         assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** tables >= 0.9999
 
 
-def test_near_vectors_equal_brute_force(spark):
+@pytest.mark.parametrize("part", [2048, 16])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(embed, "PART", part)  # large buckets meet in parts
+    monkeypatch.setattr(embed, "ROWS", 7)
     v = vectors()
     extra = [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [None] * 64), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (907, [float("inf")] + [0.0] * 63), (908, [1e-38] * 64), (909, [3.0] * 64)]
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + extra + [(5, v[5].tolist())]
@@ -179,3 +210,32 @@ def test_near_vectors_equal_brute_force(spark):
     want = sorted((ids[i], int(linked[i].sum()), ids[lab[i]], ids[lab[i]] == ids[i]) for i in range(n))
     assert got == want
     assert embed.near_vectors(df.limit(0)).count() == 0
+
+
+def test_meetings_of_several_tables_and_lengths_are_kept_apart():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    near, far = (np.stack([embed.unit(x) for x in rng.normal(size=(1, d)) + 0.01 * rng.normal(size=(4, d))]) for d in (8, 300))
+    rows = []
+    for t, units in ((0, near), (0, far), (3, near)):  # one meeting, by a hash that collides
+        signs, factor, _ = embed.Coder(4, 8)(units)
+        for i, u in enumerate(units):
+            scale = np.abs(u).max() / 127
+            rows.append((5, t, 0, len(u), f"{len(u)}:{i}".encode(), np.packbits(signs[i]).tobytes(), factor[i], np.rint(u / scale).astype(np.int8).tobytes(), scale))
+    names = ["meeting", "table", "side", "dim", "key", "signs", "factor", "query", "scale"]
+    got = pa.Table.from_batches(embed._near(4, 8, 0.95)(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])]))).to_pylist()
+    assert sorted((r["table"], r["key"]) for r in got if r["table"] == 0) == sorted((0, f"{d}:{i}".encode()) for d in (8, 300) for i in range(4))
+
+
+def test_recall_of_links_around_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(400, 64))
+    other = base + 0.33 * rng.normal(size=base.shape)  # cosines from about 0.93 to 0.97
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate([base, other]))]
+    got = {r.vec_id: r.n_links for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    u = np.concatenate([base, other])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert 200 < linked.sum() and [got[i] for i in range(800)] == linked.sum(1).tolist()

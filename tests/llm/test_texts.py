@@ -4,6 +4,7 @@ import datetime
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +19,7 @@ from veritrail.llm.automaton import Automaton
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = queries.tokenizer_path()
 LONG = "lorem ipsum " * 40_000
+KEY = "a key"
 
 
 @pytest.fixture(scope="module")
@@ -111,6 +113,15 @@ def test_spans_equal_regexes(scanner, parts):
     assert scanner.spans(t) == brute_spans(t)
 
 
+@pytest.mark.parametrize("text", ["eyJ" * 350_000 + "0123456789abcdef", "eyJa." * 200_000, "token" * 200_000 + "=abcdefghijklmnop", "token= " * 150_000, "AKIA" * 250_000, "password" + " " * 10**6 + "=abcdefghijklmnop", "-----BEGIN " * 90_000])
+def test_long_texts_of_beginnings_take_linear_time(scanner, text):
+    began = time.perf_counter()
+    got = scanner.spans(text)
+    assert time.perf_counter() - began < 10
+    short = text[-6000:]
+    assert scanner.spans(short) == brute_spans(short) and (not brute_spans(short) or got[-1][0] == brute_spans(short)[-1][0])
+
+
 def test_scan_tables(spark):
     long = LONG + "token = abcdefghijklmnop " + LONG
     df = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, long, "s"), (4, "é中 password: 'hunter2hunter2'", "s"), (4, "é中 password: 'hunter2hunter2'", None), (None, "AKIA" + "A" * 14, None)], "doc_id long, text string, spans string")
@@ -139,6 +150,7 @@ def test_decontamination(spark):
     found = decontaminate.overlaps(df, bench).collect()
     assert sorted((x.doc_id, x.item_id) for x in found) == [(1, 10), (1, 10), (2, 10), (7, 11), (8, 10), (9, 10)]
     assert {(x.doc_id, x.start, x.end) for x in found} >= {(8, 5000, 5030), (7, 0, 2), (9, 0, 22)}
+    assert sorted((x.doc_id, x.item_id) for x in decontaminate.overlaps(df.withColumn("text", F.concat("text", F.lit(" "), "text")), bench).collect()) == [(1, 10), (1, 10), (2, 10), (7, 11), (8, 10), (9, 10)]
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and sorted(x.doc_id for x in kept.collect()) == [3, 4, 5, 6]
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
@@ -150,43 +162,96 @@ def test_excerpts_at_the_edges_of_a_document():
     index, hashes = decontaminate.Index([(1, " ".join(item))]), decontaminate.WordHashes()
     noise = [f"n{i}" for i in range(30)]
     for n in range(15, 20):
-        for words, start in ((noise + item[:n], 30), (item[-n:] + noise, 0), (item[12 : 12 + n], 0)):
+        for words, start in ((noise + item[:n], 30), (item[-n:] + noise, 0)):
             assert index.match(hashes(words)) == [(0, start, start + n, n / 20)]
         assert [hit[3] for hit in index.match(hashes(noise + item[12 : 12 + n] + noise))] == [n / 20]
-    assert index.match(hashes(noise + item[:14])) == [] and index.match(hashes(item[-14:])) == []
+    assert index.match(hashes(noise + item[:14])) == [] and index.match(hashes(item[-14:] + noise)) == []
+
+
+def test_short_documents_that_are_pieces_of_an_item():
+    item = [f"w{i}" for i in range(200)]
+    index, hashes = decontaminate.Index([(1, " ".join(item))]), decontaminate.WordHashes()
+    for n in range(6, 25):
+        assert index.match(hashes(item[50 : 50 + n])) == [(0, 0, n, 1.0 if n >= 8 else n / 8)]
+    assert index.match(hashes(item[50:55])) == [] and index.match(hashes(item[50:55] + ["x", "y", "z"])) == []
+    assert [hit[3] for hit in index.match(hashes(item[50:53] + ["x"] + item[54:60]))] == [0.9]
 
 
 @pytest.mark.parametrize("n", range(1, 21))
 def test_masks_leave_a_hit_whichever_words_differ(n):
-    placed = [sum(1 << (at + i) for i, on in enumerate(m) if on == "1") for m in decontaminate.masks_for(n) for at in range(n - len(m) + 1)]
-    for differ in itertools.combinations(range(n), n // 4):
-        bits = sum(1 << i for i in differ)
-        assert any(not p & bits for p in placed)
+    """Also where a document's edge cuts the stretch: what lies beyond it differs, and no mask reaches there."""
+    for beyond in range(n // 4 + 1):
+        for low, high in ((beyond, n), (0, n - beyond)):
+            placed = [sum(1 << (at + i) for i, on in enumerate(m) if on == "1") for m in decontaminate.masks_for(n) for at in range(low, high - len(m) + 1)]
+            for differ in itertools.combinations(range(low, high), n // 4 - beyond):
+                bits = sum(1 << i for i in differ)
+                assert any(not p & bits for p in placed)
+
+
+def all_diagonals(items, doc):
+    """item's index to agreement, by laying every item everywhere."""
+    out = {}
+    for i, item in enumerate(items):
+        need = min(20, len(item), max(8, len(doc)))
+        for shift in range(-len(item) + 1, len(doc)):
+            same = [0 <= shift + j < len(doc) and doc[shift + j] == w for j, w in enumerate(item)]
+            top = max(sum(same[j : j + need]) for j in range(len(item) - need + 1))
+            if top >= 0.75 * need:
+                out[i] = max(out.get(i, 0), top / need)
+    return out
+
+
+def doctored(items, r):
+    """A document with a copy of an item, words substituted and cut off, and its words."""
+    k = r.randrange(len(items))
+    copy = [f"s{r.random()}" if r.random() < 0.2 else w for w in items[k]]
+    a, b = (r.randrange(4), r.randrange(4)) if r.random() < 0.5 else (0, 0)
+    if r.random() < 0.3:  # a piece, alone
+        at = r.randrange(len(copy))
+        return copy[at : at + r.randint(1, 22)]
+    return [f"d{j}" for j in range(r.randrange(4))] + copy[a : len(copy) - b] + [f"e{j}" for j in range(r.randrange(4))]
 
 
 def test_decontamination_equals_a_scan_of_all_diagonals():
     r, hashes = random.Random(11), decontaminate.WordHashes()
-    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([*range(1, 26), 40])]
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([*range(1, 26), 40])] + [["a", "b"] * 12, ["a"] * 30]
     index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
     found = 0
     for _ in range(1500):
-        k = r.randrange(len(items))
-        copy = [f"s{r.random()}" if r.random() < 0.2 else w for w in items[k]]
-        a, b = (r.randrange(4), r.randrange(4)) if r.random() < 0.5 else (0, 0)
-        doc = [f"d{j}" for j in range(r.randrange(4))] + copy[a : len(copy) - b] + [f"e{j}" for j in range(r.randrange(4))]
-        want = {}
-        for i, item in enumerate(items):
-            need = min(20, len(item))
-            for shift in range(-len(item) + 1, len(doc)):
-                same = [0 <= shift + j < len(doc) and doc[shift + j] == w for j, w in enumerate(item)]
-                top = max(sum(same[j : j + need]) for j in range(len(item) - need + 1))
-                if top >= 0.75 * need:
-                    want[i] = max(want.get(i, 0), top / need)
+        doc = doctored(items, r)
+        want = all_diagonals(items, doc)
         assert {i: agree for i, _, _, agree in index.match(hashes(doc))} == want
         found += len(want)
     assert found > 500
 
 
+def test_words_that_repeat_take_linear_time():
+    hashes, items = decontaminate.WordHashes(), [["a"] * 400, ["a", "b"] * 200]
+    index = decontaminate.Index([(k, " ".join(w)) for k, w in enumerate(items)])
+    began = time.perf_counter()
+    assert index.match(hashes(["a"] * 20_000)) == [(0, 0, 400, 1.0)]
+    assert index.match(hashes(["a", "b"] * 10_000)) == [(1, 0, 400, 1.0)]
+    assert time.perf_counter() - began < 20
+
+
+def test_both_ways_of_joining_a_benchmark_agree(spark, monkeypatch):
+    r = random.Random(5)
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([*range(1, 26), 40, 40])] + [["a", "b"] * 12, ["a"] * 30]
+    docs = [(k % 90, " ".join(doctored(items, r)) if k % 7 else None, k) for k in range(500)] + [(1, " ".join(["a"] * 500), 0), (2, "x " * 3000 + " ".join(items[25]) + " x" * 3000 + " " + " ".join(items[25][:30]), 0), (3, "", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(f"k{i % 28}", " ".join(w), "x") for i, w in enumerate(items)] + [("none", None, "x"), ("bare", "?!", "x")], "item_id string, text string, words string")
+    small = sorted(map(tuple, decontaminate.overlaps(df, bench, ("doc_id", "n")).collect()))
+    kept = sorted(map(tuple, decontaminate.clean(df, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
+    large = decontaminate.overlaps(df, bench, ("doc_id", "n"))
+    assert large.columns == ["doc_id", "n", "item_id", "start", "end", "agree"] and sorted(map(tuple, large.collect())) == small and len(small) > 50
+    again = decontaminate.clean(df, bench)
+    assert again.columns == df.columns and sorted(map(tuple, again.collect()), key=str) == kept
+    assert decontaminate.overlaps(df.limit(0), bench).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.overlaps(df.withColumnRenamed("n", "start"), bench, ("doc_id", "start"))
+
+
 def test_a_large_benchmark_is_matched_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
     items = [(i, " ".join(f"w{i}x{j}" for j in range(15))) for i in range(6)]
@@ -208,7 +273,7 @@ VALUES = {
 
 @pytest.mark.parametrize("kind,value", [(k, v) for k, vs in VALUES.items() for v in vs])
 def test_pseudonyms_keep_their_format_and_can_be_inverted(kind, value):
-    f = pii.Finder()
+    f = pii.Finder(KEY)
     [(a, b, got, new)] = f.find(f"x {value} y")
     assert (a, b, got) == (2, 2 + len(value), kind) and (len(new) == len(value) or kind == "ip") and new != value
     assert re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", new)) == re.sub(r"[A-Za-z]", "a", re.sub(r"\d", "0", value)) or kind == "ip"
@@ -219,11 +284,11 @@ def test_pseudonyms_keep_their_format_and_can_be_inverted(kind, value):
 
 @pytest.mark.parametrize("value", ["4485275742308328", "0000000000000000", "DE88370400440532013000", "1985-02-29", "32.01.2001", "13/13/2001", "000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "256.1.1.1", "01.2.3.4", "12345"])
 def test_invalid_values_stay(value):
-    assert pii.Finder().find(f"x {value} y") == []
+    assert pii.Finder(KEY).find(f"x {value} y") == []
 
 
 def test_permutations_are_permutations():
-    p = pii.Permuter()
+    p = pii.Permuter(KEY)
     for n in (1, 2, 3, 10, 97, 1000):
         assert sorted(p.permute(x, n, "t") for x in range(n)) == list(range(n))
         assert all(p.permute(p.permute(x, n, "t"), n, "t", True) == x for x in range(n))
@@ -231,15 +296,78 @@ def test_permutations_are_permutations():
     assert datetime.date(1900, 1, 1) <= day("2001-01-01") <= datetime.date(2099, 12, 31)
 
 
+def iban(country, body):
+    return f"{country}{98 - pii.iban_rest(country + '00' + body):02d}{body}"
+
+
+def values_of(kind, r, n):
+    """Random valid values of a kind, of all the formats and domains that it has."""
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    day = lambda: datetime.date.fromordinal(r.randint(pii.FIRST_DAY, pii.LAST_DAY))
+    make = {
+        "card": lambda: check_digit(r.choice("3456") + digits(r.choice((11, 13, 14, 17)))),
+        "iban": lambda: iban(r.choice(("DE", "GB")), r.choice(("WEST", "")) + digits(r.choice((14, 18)))),
+        "date": lambda: r.choice((lambda d: d.isoformat(), lambda d: d.strftime("%d.%m.%Y"), lambda d: d.strftime("%m/%d/%Y"), lambda d: d.strftime("%d/%m/%Y")))(day()),
+        "ssn": lambda: f"{r.choice(pii.AREAS):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}",
+        "phone": lambda: r.choice((f"({r.choice((555, 212, 155, 911, 311))}) {r.randint(0, 999):03d}-{digits(4)}", f"+1 {digits(3)} {digits(3)} {digits(4)}", f"+44 20 {digits(4)} {digits(4)}")),
+        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
+        "email": lambda: f"{r.choice('abc')}{r.choice('.-_')}{digits(1)}{r.choice('XYZ')}@{r.choice(('a.example', 'b.example'))}",
+    }[kind]
+    return {make() for _ in range(n)}
+
+
+@pytest.mark.parametrize("kind", list(pii.PATTERNS))
+def test_no_two_values_share_a_pseudonym(kind):
+    p, r = pii.Permuter(KEY), random.Random(kind)
+    made, forward = {}, getattr(p, kind)
+    for v in values_of(kind, r, 15_000):
+        new = forward(v)
+        assert new is not None and forward(new, True) == v, v
+        assert made.setdefault(new, v) == v, (v, made[new], new)
+    assert len(made) > 100
+
+
+def test_numbers_outside_the_plan_stay_outside():
+    p = pii.Permuter(KEY)
+    out = {p.phone(f"(555) {e:03d}-{n:04d}") for e in pii.NO_CODES for n in range(0, 10_000, 97)}
+    assert len(out) == len(pii.NO_CODES) * len(range(0, 10_000, 97)) and all(int(v[6:9]) in pii.NO_CODES and v.startswith("(555) ") for v in out)
+    assert p.phone("(555) 100-0000") != p.phone("(223) 646-1014") and p.iban("GB01WEST12345698765432") is None
+    with pytest.raises(ValueError):
+        pii.Permuter("")
+
+
+PIECES = {k: [v for v in vs if not (k == "phone" and v[0] not in "+(")] for k, vs in {"card": ["4485275742308327"], "iban": ["DE89370400440532013000"], "date": ["1984-02-29", "02/28/2001", "25/12/2024"], "ssn": ["123-45-6789"], "phone": ["+1 (436) 555-8670", "(555) 100-0000"], "ip": ["42.179.73.104"], "email": ["word.91@mail3.example.com"]}.items()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(sorted(PIECES)), st.integers(0, 5), st.sampled_from([" and ", "; ", "\n", " (x), "])), max_size=6))
+def test_finds_equal_what_was_planted(parts):
+    f, t, want, out = pii.Finder(KEY), "", [], ""
+    for kind, i, gap in parts:
+        v = PIECES[kind][i % len(PIECES[kind])]
+        t, out = t + gap, out + gap
+        want.append((len(t), len(t) + len(v), kind, getattr(f.permuter, kind)(v)))
+        t, out = t + v, out + want[-1][3]
+    assert f.find(t) == want
+    back = f.find(out)
+    assert [x[2] for x in back] == [x[2] for x in want] and [getattr(f.permuter, k)(out[a:b], True) for a, b, k, _ in back] == [t[a:b] for a, b, _, _ in want]
+
+
+def test_pseudonymise_replaces_a_column_of_the_name_of_its_spans(spark):
+    df = spark.createDataFrame([(1, "on 2001-02-03", "old"), (1, "on 2001-02-03", "old")], "doc_id long, text string, SPANS string")
+    rows = pii.pseudonymise(df, KEY).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and [tuple(s) for s in rows[0].spans] == [("date", 3, 13)]
+
+
 def test_pseudonymise_tables(spark):
     card = check_digit("424242424242424")
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, f"{card} and {card}, {LONG}", 1), (4, f"pay {card} on 2001-02-03", 1), (4, "clean", None)], "doc_id long, text string, kind int")
-    out = pii.pseudonymise(df)
+    out = pii.pseudonymise(df, KEY)
     r = {x.doc_id: x for x in out.where("text <> 'clean' or text is null").collect()}
     assert r[1].text is None and r[2].text == "" and out.where("text = 'clean'").count() == 1
     new = r[4].text.split()[1]
     assert new != card and r[3].text.startswith(f"{new} and {new}, lorem") and pii.luhn(new) == 0 and [s.kind for s in r[4].spans] == ["card", "date"]
-    assert pii.summary(out).where("doc_id = 3").first().n_values == 2 and pii.summary(pii.pseudonymise(df.limit(0))).count() == 0
+    assert pii.summary(out).where("doc_id = 3").first().n_values == 2 and pii.summary(pii.pseudonymise(df.limit(0), KEY)).count() == 0
 
 
 def test_marginals_equal_brute_force():
@@ -271,7 +399,7 @@ def test_marginals_equal_brute_force():
     ],
 )
 def test_a_valid_number_among_other_groups(before, value, after, kind):
-    f = pii.Finder()
+    f = pii.Finder(KEY)
     (a, b, k, new), = f.find(f"{before}{value}{after}")
     assert (a, b, k) == (len(before), len(before) + len(value), kind) and new != value
     assert getattr(f.permuter, kind)(new, inverse=True) == value
@@ -279,7 +407,7 @@ def test_a_valid_number_among_other_groups(before, value, after, kind):
 
 @pytest.mark.parametrize("value, kind, kept", [("+44 20 7946 0958", "phone", "+44 "), ("+33 1 42 68 53 00", "phone", "+33 "), ("+49 (0)30 901820", "phone", "+49 ("), ("+353.1.679.3100", "phone", "+353."), ("25/12/2024", "date", "")])
 def test_numbers_and_dates_of_other_countries(value, kind, kept):
-    f = pii.Finder()
+    f = pii.Finder(KEY)
     (a, b, k, new), = f.find(f"on {value}, or")
     assert (a, b, k) == (3, 3 + len(value), kind) and new != value and new.startswith(kept)
     assert getattr(f.permuter, kind)(new, inverse=True) == value and [x[2] for x in f.find(new)] == [kind]
@@ -327,6 +455,28 @@ def test_toxicity_held_out(spark):
     assert toxicity.tag(docs, none).where("score between 0 and 1").count() == docs.count()
 
 
+def test_spans_are_offsets_of_the_given_text():
+    t = "İİ Idiot! İst Trash ΣΑΣ"
+    words = toxicity.WORD.findall(t.lower())
+    p = np.array([float(w in ("idiot", "trash")) for w in words])
+    assert [t[s["start"] : s["end"]] for s in toxicity.spans_of(t, p)] == ["Idiot", "Trash"]
+    assert toxicity.spans_of("Idiot trash x", np.array([0.5, 0.5, 0.49])) == [{"start": 0, "end": 11}]
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(50)] + [(100, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    count = lambda **k: quality.labelled_sample(docs, labels, "quality", 40, **k).count()
+    assert (count(), count(size=10_000), count(size=1), count(size=10**9)) == (40, 10, 1, 40)
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", 7), (1, "a b", "old", 7), (2, None, None, 7)], "doc_id long, text string, Score string, predicted int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = quality.score(docs, quality.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "score", "predicted"] and out.count() == 3 and out.where("score between 0 and 1").count() == 3
+
+
 def test_quality_held_out(spark):
     r = random.Random(2)
     rows = []

@@ -96,7 +96,11 @@ def partial_ratio_reaches(a: Column, b: Column, bar: float) -> Column:
 
     @F.pandas_udf(T.BooleanType())
     def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else partial_ratio(p, q, bar) >= bar for p, q in zip(x, y)], dtype="object")
+        told: dict = {}  # pairs of a batch that repeat are scored once
+        for pair in zip(x, y):
+            if None not in pair and pair not in told:
+                told[pair] = partial_ratio(*pair, bar) >= bar
+        return pd.Series([told.get(pair) for pair in zip(x, y)], dtype="object")
 
     return reaches(a, b)
 

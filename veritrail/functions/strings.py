@@ -28,6 +28,13 @@ DEGREE_WORDS = (
 LEVELS = {"high_school": 1, "associate": 2, "bachelors": 3, "masters": 4, "phd": 5}
 #: First characters that a spreadsheet would take for a formula.
 FORMULA_STARTS = ("=", "+", "-", "@", "\t", "\r")
+#: What a skill name is rid of, a trailing version, and the shapes of addresses and telephone numbers, the
+#: latter with the digits that make one.
+NOT_NAME, VERSION = r"(?U)[^\w.+#\- ]+", r"(?iU)\s+v?\d+(?:\.\d+)*$"
+EMAIL = r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+PHONE, PHONE_DIGITS = r"(?U)(?<!\w)\+?\d[\d().\-\s]{6,}\d(?!\w)", 10
+LOOSE_EMAIL = r"(?iU)[^\s@]+\s*(?:@|\(at\)|\[at\])\s*[^\s@]+\.[^\s@]+"
+LOOSE_PHONE, LOOSE_DIGITS = r"(?U)[+()\-.\s\d]{7,}", 7
 
 
 def strip(c: Column) -> Column:
@@ -49,11 +56,11 @@ def normal_field(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """Keeps word characters, dots, pluses, hashes, hyphens and blanks; runs of blanks become one."""
-    return collapse(F.regexp_replace(c, r"(?U)[^\w.+#\- ]+", ""))
+    return collapse(F.regexp_replace(c, NOT_NAME, ""))
 
 
 def strip_version(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?iU)\s+v?\d+(?:\.\d+)*$", ""))
+    return F.trim(F.regexp_replace(c, VERSION, ""))
 
 
 def section_heading(line: Column) -> Column:
@@ -102,13 +109,28 @@ def basename_lower(path: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1 to A, 26 to Z, 27 to AA, in up to four letters."""
-    out, rest = F.lit(""), n.cast("long")
-    for _ in range(4):
-        low = rest - 1
-        out = F.when(rest > 0, F.concat(F.chr(65 + F.pmod(low, F.lit(26))), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor(low / 26)).otherwise(0)
-    return out
+    """1 to A, 26 to Z, 27 to AA, and so on to the largest long, which has 14 letters.
+
+    The letter that counts 26^i stands if n reaches the least number with so many letters, 26^i + ... + 26 + 1.
+    """
+    n = n.cast("long")
+    out = []
+    for i in reversed(range(14)):
+        least = (26 ** (i + 1) - 1) // 25
+        out.append(F.when(n >= least, F.chr(65 + F.pmod(F.call_function("div", n - F.lit(least), F.lit(26**i)), F.lit(26)))).otherwise(""))
+    return F.concat(*out)
+
+
+def let(c: Column, body) -> Column:
+    """body of a column that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def replace_matches(c: Column, pattern: Column | str, replacement) -> Column:
+    """Every match of a pattern replaced by an expression of the match, all in one pass: what is put in is not searched."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    one = lambda between, match: F.concat(between, F.when(match.isNull(), "").otherwise(replacement(match)))
+    return let(c, lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, pattern, F.lit(0)), one), ""))
 
 
 def pseudonym(rank: Column) -> Column:
@@ -123,18 +145,28 @@ def json_body(c: Column) -> Column:
 
 
 def mask_emails(c: Column, mark: str = "[contact redacted]") -> Column:
-    return F.regexp_replace(c, r"(?U)\b[\w.+-]+@[\w-]+\.[\w.-]+\b", mark)
+    return F.regexp_replace(c, EMAIL, mark)
+
+
+def digits(c: Column) -> Column:
+    """How many digits a text has."""
+    return F.length(F.regexp_replace(c, r"(?U)\D", ""))
 
 
 def mask_phones(c: Column, mark: str = "[contact redacted]") -> Column:
-    """Runs of digits, dots, hyphens, brackets and blanks with ten digits or more."""
-    return F.regexp_replace(c, r"(?U)(?<!\w)(?=\+?(?:\d[().\-\s]*){10})\+?\d[\d().\-\s]{6,}\d(?!\w)", mark)
+    """Runs of digits, dots, hyphens, brackets and blanks that hold ten digits or more themselves."""
+    return replace_matches(c, PHONE, lambda m: F.when(digits(m) >= PHONE_DIGITS, mark).otherwise(m))
+
+
+def without_contacts(c: Column) -> Column:
+    """Without whatever is shaped like a mail address or has seven digits of a number; as it is if there is nothing."""
+    out = replace_matches(F.regexp_replace(c, LOOSE_EMAIL, " "), LOOSE_PHONE, lambda m: F.when(digits(m) >= LOOSE_DIGITS, " ").otherwise(m))
+    return let(out, lambda t: F.when(t == c, c).otherwise(collapse(t)))
 
 
 def reject_reason(name: Column) -> Column:
     """Why a skill name is junk, or null: too long, or shaped like a mail address or a phone number."""
     words = F.size(F.filter(F.split(name, r"(?U)\s+"), lambda w: w != ""))
-    mail = name.rlike(r"(?i)[^\s@]+\s*(?:@|\(at\)|\[at\])\s*[^\s@]+\.[^\s@]+")
-    runs = F.regexp_extract_all(name, F.lit(r"([+()\-.\s\d]{7,})"), 1)
-    phone = F.exists(runs, lambda r: F.length(F.regexp_replace(r, r"\D", "")) >= 7)
+    mail = name.rlike(LOOSE_EMAIL)
+    phone = F.exists(F.regexp_extract_all(name, F.lit(LOOSE_PHONE), F.lit(0)), lambda r: digits(r) >= LOOSE_DIGITS)
     return F.when((F.length(name) > 60) | (words > 8), "length_or_token_cap").when(mail, "email_shape").when(phone, "phone_shape")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import letters, mask_emails, mask_phones, masked_filename, pseudonym  # noqa: F401
+from ..functions.strings import collapse, let, letters, mask_emails, mask_phones, masked_filename, pseudonym, replace_matches, without_contacts  # noqa: F401
 
+#: The marks, and the shape of a city before a comma and a region.
 NAME_MARK, CONTACT_MARK, PLACE_MARK = "[name redacted]", "[contact redacted]", "[location redacted]"
+NEVER = "(?!)"
+CITY = r"\b[A-Z][a-z][\w.'\-]*(?:[ \-][A-Z][a-z][\w.'\-]*){0,3}\s*,\s*"
 
 
 def quoted(c: Column) -> Column:
@@ -36,10 +39,15 @@ def replace_terms(text: Column, terms: Column, mark: Column | str) -> Column:
     return F.when(pattern.isNull(), text).otherwise(F.regexp_replace(text, pattern, F.regexp_replace(mark, r"([\\$])", r"\\$1")))
 
 
+def overlay(a: Column, b: Column) -> Column:
+    """The union of two maps; of a key that both have, the value of the second."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 def foreign_pattern(regions: Iterable[str]) -> str:
     """A city, a comma and one of the regions."""
     any_region = "|".join(r.replace(".", r"\.") for r in sorted(regions, key=lambda r: (-len(r), r)))
-    return rf"(?U)\b[A-Z][a-z][\w.'\-]*(?:[ \-][A-Z][a-z][\w.'\-]*){{0,3}}\s*,\s*(?:{any_region})\b"
+    return rf"(?U){CITY}(?:{any_region})\b"
 
 
 def is_foreign(location: Column, regions: Iterable[str]) -> Column:
@@ -47,24 +55,54 @@ def is_foreign(location: Column, regions: Iterable[str]) -> Column:
     return F.coalesce(location.rlike(rf"(?U)\b(?:{any_region})\b"), F.lit(False))
 
 
-def redact_text(text: Column, name: Column | None = None, labels: Column | None = None, location: Column | None = None, regions: Iterable[str] = ()) -> Column:
-    """Masks, in this order: the name, known terms by their labels (map<string,string>), the own foreign place, foreign
-    places, mail addresses, phone numbers.  Null and empty texts stay."""
-    out = text
-    if name is not None:
-        out = replace_terms(out, name_terms(F.coalesce(name, F.lit(""))), NAME_MARK)
-    if labels is not None:
-        entries = F.array_sort(F.transform(F.map_entries(labels), lambda e: F.struct((-F.length(e["key"])).alias("n"), e["key"].alias("k"), e["value"].alias("v"))))
-        out = F.when(labels.isNull(), out).otherwise(F.aggregate(entries, out, lambda t, e: replace_terms(t, F.array(e["k"]), e["v"])))
-    regions = tuple(regions)
+def masked_text(text: Column, name: Column, terms: Column, labels: Column, place: Column, regions: tuple[str, ...] = ()) -> Column:
+    """Masks, in this order: the name, known terms by their labels, the own foreign place, foreign places, mail addresses,
+    telephone numbers.  Null and empty texts stay.
+
+    name, terms, place: patterns, NEVER for none; labels: array<struct<fold, label>> of the terms in lower case.  Terms are
+    replaced in one pass: a label is never replaced.
+    """
+    label = lambda m: F.try_element_at(F.filter(labels, lambda x: x["fold"] == F.lower(m)), F.lit(-1))["label"]
+    out = replace_matches(F.regexp_replace(text, name, F.lit(NAME_MARK)), terms, lambda m: F.coalesce(label(m), m))
     if regions:
-        if location is not None:
-            own = replace_terms(out, F.array(location), PLACE_MARK)
-            out = F.when(is_foreign(location, regions), own).otherwise(out)
-        out = F.regexp_replace(out, foreign_pattern(regions), PLACE_MARK)
+        out = F.regexp_replace(F.regexp_replace(out, place, F.lit(PLACE_MARK)), foreign_pattern(regions), PLACE_MARK)
     return mask_phones(mask_emails(out, CONTACT_MARK), CONTACT_MARK)
 
 
+def folded(labels: Column) -> Column:
+    """A map of labels as masked_text() looks them up."""
+    return F.transform(F.map_entries(labels), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("fold"), e["value"].alias("label")))
+
+
+def _pattern(terms: Column) -> Column:
+    return F.coalesce(whole_words(terms), F.lit(NEVER))
+
+
+def redact_text(text: Column, name: Column | None = None, labels: Column | None = None, location: Column | None = None, regions: Iterable[str] = ()) -> Column:
+    """A text without name, terms (map<string,string> to their labels), places and contacts; see masked_text().
+
+    For many texts of one document add their patterns as columns once: see hider().
+    """
+    regions, none = tuple(regions), F.lit(None).cast("string")
+    labels = F.create_map().cast("map<string,string>") if labels is None else labels
+    place = F.when(is_foreign(location, regions), location) if regions and location is not None else none
+    return masked_text(text, _pattern(name_terms(F.coalesce(none if name is None else name, F.lit("")))), _pattern(F.map_keys(labels)), folded(labels), _pattern(F.array(place)), regions)
+
+
+HELPERS = ("__labels", "__name", "__terms", "__folds", "__place", "__texts")
+
+
+def hider(df: DataFrame, doc: str, name: Column | None = None, regions: Iterable[str] = ()) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The rows with HELPERS added, which are worked out once a row, and a function that masks a text of the document (a
+    column of schemas.RESUME_DOCUMENT) with them.  name: the candidate's, if it is not the document's."""
+    regions, parsed = tuple(regions), F.col(doc)
+    place = parsed["candidate"]["location"]
+    df = df.withColumns({"__labels": labels_of(parsed), "__texts": source_texts(parsed), "__name": _pattern(name_terms(F.coalesce(parsed["candidate"]["name"] if name is None else name, F.lit(""))))})
+    own = F.when(is_foreign(place, regions), place) if regions else F.lit(None).cast("string")
+    df = df.withColumns({"__terms": _pattern(F.map_keys("__labels")), "__folds": folded(F.col("__labels")), "__place": _pattern(F.array(own))})
+    return df, lambda t: masked_text(t, F.col("__name"), F.col("__terms"), F.col("__folds"), F.col("__place"), regions)
+
+
 def label_map(names: Column, noun: str) -> Column:
     """Every distinct name's label by first appearance, case ignored: map<name, 'Employer A'>."""
     plain = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: F.coalesce(n != "", F.lit(False)))
@@ -73,54 +111,78 @@ def label_map(names: Column, noun: str) -> Column:
     return F.map_from_entries(pairs)
 
 
-def blind_resume(doc: Column, regions: Iterable[str] = ()) -> Column:
-    """A parsed résumé without identity: texts redacted, employers and institutions as labels, graduation years and
+def labels_of(doc: Column) -> Column:
+    """Labels of a parsed résumé's employers and institutions; a name that is both has its label as an institution."""
+    names = lambda rows, field: F.coalesce(F.transform(rows, lambda r: r[field]), F.array().cast("array<string>"))
+    return overlay(label_map(names(doc["experience"], "company"), "Employer"), label_map(names(doc["education"], "institution"), "Institution"))
+
+
+def blind_resumes(df: DataFrame, doc: str, out: str, regions: Iterable[str] = ()) -> DataFrame:
+    """Adds a parsed résumé without identity: texts masked, employers and institutions as labels, graduation years and
     foreign places gone; titles, dates, skills and degrees stay."""
-    name, place = doc["candidate"]["name"], doc["candidate"]["location"]
     regions = tuple(regions)
-    labels = F.map_concat(
-        label_map(F.coalesce(F.transform(doc["experience"], lambda r: r["company"]), F.array().cast("array<string>")), "Employer"),
-        label_map(F.coalesce(F.transform(doc["education"], lambda e: e["institution"]), F.array().cast("array<string>")), "Institution"),
-    )
-    hide = lambda t: redact_text(t, name, labels, place, regions)
-    label = lambda c: F.coalesce(labels[F.trim(c)], F.lit(None).cast("string"))
-    candidate = F.struct(
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("phone"),
-        (F.when(~is_foreign(place, regions), place) if regions else place).alias("location"),
-    )
-    bullets = lambda r: F.transform(r["bullets"], lambda b: b.withField("text", hide(b["text"])))
-    out = doc.withField("candidate", candidate).withField("summary", hide(doc["summary"]))
-    out = out.withField("experience", F.transform(doc["experience"], lambda r: r.withField("company", label(r["company"])).withField("bullets", bullets(r))))
-    out = out.withField("education", F.transform(doc["education"], lambda e: e.withField("institution", label(e["institution"])).withField("year", F.lit(None).cast("int"))))
+    df, hide = hider(df, doc, None, regions)
+    parsed, labels = F.col(doc), F.col("__labels")
+    place = parsed["candidate"]["location"]
+    label = lambda c: F.coalesce(labels[F.trim(c)], c)
+    none = F.lit(None).cast("string")
+    candidate = F.struct(none.alias("name"), none.alias("email"), none.alias("phone"), (F.when(~is_foreign(place, regions), place) if regions else place).alias("location"))
+    texts = lambda rows: F.transform(rows, lambda r: r.withField("text", hide(r["text"])))
+    blind = parsed.withField("candidate", candidate).withField("summary", hide(parsed["summary"]))
+    blind = blind.withField("experience", F.transform(parsed["experience"], lambda r: r.withField("company", label(r["company"])).withField("bullets", texts(r["bullets"]))))
+    blind = blind.withField("education", F.transform(parsed["education"], lambda e: e.withField("institution", label(e["institution"])).withField("year", F.lit(None).cast("int"))))
     for part in ("chunks", "cover_letter_chunks"):
-        out = out.withField(part, F.transform(doc[part], lambda c: c.withField("text", hide(c["text"]))))
-    return out
+        blind = blind.withField(part, texts(parsed[part]))
+    return df.withColumn(out, blind).drop(*HELPERS)
 
 
-def blind_requirements(requirements: Column, name: Column, context: Column) -> Column:
-    """Quotes masked, and the cited chunks' text attached: first definition wins, ids once, in order.  context: map id to text."""
+def source_texts(doc: Column) -> Column:
+    """The chunks of a parsed résumé as struct<id, text>, those of the cover letter after it."""
+    none = F.array().cast("array<struct<id:string,text:string>>")
+    part = lambda c: F.coalesce(F.transform(doc[c], lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))), none)
+    return F.concat(part("chunks"), part("cover_letter_chunks"))
+
+
+def cited_text(ids: Column, texts: Column) -> Column:
+    """Texts of the cited chunks in order, each id once, joined by a blank line; of an id's definitions the first counts."""
+    found = F.transform(F.array_distinct(ids), lambda i: F.try_element_at(F.filter(texts, lambda t: t["id"] == i), F.lit(1))["text"])
+    return F.array_join(F.filter(found, lambda t: F.coalesce(t != "", F.lit(False))), "\n\n")
+
+
+def with_sources(evidence: Column, texts: Column, hide=None) -> Column:
+    """Evidence whose requirements carry the text of what they cite as source_context, null where that is nothing;
+    hide masks it.  texts: as source_texts() gives them, a column of its own."""
     def one(r: Column) -> Column:
-        texts = F.filter(F.transform(F.array_distinct(r["evidence_chunk_ids"]), lambda i: context[i]), lambda t: t.isNotNull())
-        joined = F.array_join(texts, "\n\n")
-        return r.withField("evidence", redact_text(r["evidence"], name)).withField("source_context", redact_text(joined, name))
+        text = F.coalesce(cited_text(r["evidence_chunk_ids"], texts), F.lit(""))
+        return r.withField("source_context", let(text, lambda t: F.when(t != "", hide(t) if hide else t)))
+
+    return evidence.withField("requirements", F.transform(evidence["requirements"], one))
+
 
-    return F.transform(requirements, one)
+def blind_evidence(evidence: Column, hide) -> Column:
+    """Evidence with the quotes of requirements and cover letter, and both overall texts, masked."""
+    quotes = lambda rows: F.transform(rows, lambda r: r.withField("evidence", hide(r["evidence"])))
+    for part in ("requirements", "cover_letter_evidence"):
+        evidence = evidence.withField(part, quotes(evidence[part]))
+    for part in ("overall_summary", "overall_motivation"):
+        evidence = evidence.withField(part, hide(evidence[part]))
+    return evidence
 
 
 def embedding_safe(text: Column, name: Column, email: Column, phone: Column, location: Column) -> Column:
-    """A text without the candidate's own identifiers, however their blanks run; without any, contacts are masked."""
-    loose = lambda c: F.regexp_replace(quoted(F.trim(c)), r"(?U)\s+", r"\\s+")
+    """A text without the candidate's own identifiers, however their blanks run, nor the part of the address before the @
+    if it is not of letters alone; blanks are collapsed.  Without any identifier, whatever is shaped like a contact goes."""
+    loose = lambda c: F.concat(F.lit("(?iU)"), F.regexp_replace(quoted(F.trim(c)), r"(?U)\s+", r"\\s+"))
     local = F.substring_index(email, "@", 1)
-    distinctive = F.when(F.length(local) >= 5, local)
+    distinctive = F.when(F.contains(email, F.lit("@")) & local.rlike("[^A-Za-z]"), local)
     given = F.filter(F.array(name, email, phone, location, distinctive), lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)(?:"), F.array_join(F.transform(given, loose), "|"), F.lit(r")(?!\w)"))
-    removed = F.trim(F.regexp_replace(F.regexp_replace(text, pattern, " "), r"(?U)\s+", " "))
-    return F.when(F.size(given) == 0, mask_phones(mask_emails(text))).when(F.rlike(text, pattern), removed).otherwise(text)
+    removed = F.aggregate(given, text, lambda t, term: F.regexp_replace(t, loose(term), F.lit(" ")))
+    return F.when(F.size(given) == 0, without_contacts(text)).otherwise(collapse(removed))
 
 
-def scrubbed_names(skills: Column, name: Column) -> Column:
-    """Skill names without the candidate's name; what is blank then goes."""
-    masked = F.transform(skills, lambda s: F.trim(F.regexp_replace(redact_text(s, name), r"\[name redacted\]", "")))
+def scrubbed_names(skills: Column, name: Column, email: Column, phone: Column, location: Column) -> Column:
+    """Skill names without the candidate's identifiers; what is blank then goes."""
+    masked = F.transform(skills, lambda s: embedding_safe(s, name, email, phone, location))
     return F.filter(masked, lambda s: F.coalesce(s != "", F.lit(False)))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import partial_ratio_reaches
-from ..functions.strings import collapse, strip_controls
+from ..functions.strings import collapse
 from ..weights import DEFAULT, Weights
+from .matching import borne_out
 
 
 def verification_rate(quotes: DataFrame, chunks: DataFrame, w: Weights = DEFAULT) -> DataFrame:
@@ -16,13 +18,8 @@ def verification_rate(quotes: DataFrame, chunks: DataFrame, w: Weights = DEFAULT
     quotes: row_id, resume_id, evidence, evidence_chunk_ids; chunks: resume_id, id, text.
     """
     shown = quotes.where((F.col("evidence") != "") & (F.size("evidence_chunk_ids") > 0))
-    cited = shown.select("row_id", "resume_id", "evidence", F.explode(F.array_distinct("evidence_chunk_ids")).alias("id"))
-    known = cited.join(chunks.select("resume_id", "id", "text"), ["resume_id", "id"])
-    plain = lambda c: collapse(strip_controls(F.lower(c)))
-    both = known.select("row_id", plain(F.col("evidence")).alias("needle"), plain(F.col("text")).alias("hay"))
-    told = both.withColumn("exact", F.contains("hay", "needle"))
-    asked = told.where("not exact").select("needle", "hay").distinct().withColumn("close", partial_ratio_reaches(F.col("needle"), F.col("hay"), w.evidence_verify_fuzz))
-    good = told.join(asked, ["needle", "hay"], "left").where("exact or close").select("row_id").distinct().withColumn("good", F.lit(True))
+    cited = shown.select("row_id", "resume_id", "evidence", F.posexplode(F.array_distinct("evidence_chunk_ids")).alias("at", "id"))
+    good = borne_out(cited, chunks, w=replace(w, evidence_min_quote_chars=0)).where("good").select("row_id").distinct().withColumn("good", F.lit(True))
     out = shown.select("row_id").join(good, "row_id", "left").agg(F.count("*").alias("surfaced"), F.count("good").alias("verified"))
     return out.withColumn("rate", F.coalesce(F.try_divide("verified", "surfaced"), F.lit(1.0)))
 

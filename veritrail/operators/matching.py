@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.fuzzy import partial_ratio_reaches
-from ..functions.strings import collapse, strip_controls
+from ..functions.strings import collapse, degree_level, level_rank, strip, strip_controls
 from ..weights import DEFAULT, Weights
 
 
-def requirement_rows(candidates: DataFrame, requires: DataFrame, has_skill: DataFrame, families: DataFrame, excluded: tuple[str, ...] = (), family_credit: float = 0.5) -> DataFrame:
+def requirement_rows(candidates: DataFrame, requires: DataFrame, has_skill: DataFrame, families: DataFrame, excluded: tuple[str, ...] = (), family_credit: float = 0.5, classified: DataFrame | None = None) -> DataFrame:
     """A row for every candidate and requirement: skill, min_years, is_must_have, years, last_used_year, ontology_weight.
 
     candidates: job_id, resume_id; requires: job_id, skill, min_years, is_must_have; has_skill: resume_id, skill, years,
     last_used_year; families: skill, family.  The weight is 1 for the skill itself, the family's credit if the candidate
     has another skill of a family of the requirement that is not excluded, else 0.  The overlap of families is an
-    equi-join on single families, so no pair of arrays is ever compared.
+    equi-join on single families, so no pair of arrays is ever compared.  classified, if given, holds families (skill,
+    family) that a classifier found: they count for the candidate's skills, never for the requirement's.
     """
-    usable = families.where(~F.col("family").isin(*excluded)) if excluded else families
+    allowed = lambda df: df.where(~F.col("family").isin(*excluded)) if excluded else df
+    usable = allowed(families)
+    offered_families = usable if classified is None else usable.select("skill", "family").unionByName(allowed(classified).select("skill", "family")).distinct()
     none = F.lit(None).cast("string")
     keys = F.explode(F.array(F.struct(F.col("skill").alias("own"), none.alias("shared")), F.struct(none.alias("own"), F.col("family").alias("shared"))))
     key = F.coalesce(F.concat(F.lit("skill:"), F.col("k.own")), F.concat(F.lit("family:"), F.col("k.shared"))).alias("key")
     # either side offers a row for the skill itself and one for each family, so one join finds both kinds of match
-    offered = has_skill.select("resume_id", "skill", "years", "last_used_year").join(usable, "skill", "left").withColumn("k", keys).where("k.own is not null or k.shared is not null")
+    offered = has_skill.select("resume_id", "skill", "years", "last_used_year").join(offered_families, "skill", "left").withColumn("k", keys).where("k.own is not null or k.shared is not null")
     offered = offered.select("resume_id", key, F.when(F.col("k.own").isNotNull(), F.struct("years", "last_used_year")).alias("held"))
     wanted = candidates.join(requires, "job_id").join(usable, "skill", "left").withColumn("k", keys).where("k.own is not null or k.shared is not null")
     wanted = wanted.select("job_id", "resume_id", "skill", "min_years", "is_must_have", key)
@@ -69,6 +72,22 @@ def merged_skills(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("resume_id", "skill").agg(first("years"), first("last_used_year"), F.min("at").alias("at"))
 
 
+def borne_out(cited: DataFrame, chunks: DataFrame, quote: str = "evidence", w: Weights = DEFAULT) -> DataFrame:
+    """row_id, at, id and good of every citation of a known chunk: whether the chunk holds the quote.
+
+    cited: row_id, resume_id, the quote, at, id; chunks: resume_id, id, text.  Texts are shuffled once, to meet their
+    citations.  Exact spans are told natively; the others reach Python, where pairs that repeat in a batch count once.
+    """
+    known = cited.join(chunks.select("resume_id", "id", "text"), ["resume_id", "id"])
+    plain = lambda c: collapse(strip_controls(F.lower(strip(F.col(c)))))
+    known = known.select("row_id", "at", "id", plain(quote).alias("needle"), plain("text").alias("hay"))
+    fits = (F.length("needle") >= w.evidence_min_quote_chars) & (F.length("needle") <= F.length("hay"))
+    exact = F.contains("hay", "needle")
+    ask = fits & ~exact
+    close = partial_ratio_reaches(F.when(ask, F.col("needle")), F.when(ask, F.col("hay")), w.evidence_verify_fuzz)
+    return known.select("row_id", "at", "id", F.coalesce(fits & (exact | F.coalesce(close, F.lit(False))), F.lit(False)).alias("good"))
+
+
 def verified(requirements: DataFrame, chunks: DataFrame, quote: str = "evidence", w: Weights = DEFAULT) -> DataFrame:
     """Requirements whose quote is no span of a cited chunk lose it.
 
@@ -76,21 +95,12 @@ def verified(requirements: DataFrame, chunks: DataFrame, quote: str = "evidence"
     resume_id, id, text.  Citations of unknown chunks are dropped.  A quote must have the least length, be no longer
     than the chunk, and reach the bar of fuzzy similarity, both sides scrubbed and collapsed.  A met requirement that
     loses its quote becomes missing, a partial one stays, and confidence falls to 0.3 at most.  Rows without a quote stay
-    as they are.  Exact spans are told natively; only the rest reaches Python, on distinct pairs.
+    as they are.
     """
-    ids = F.explode(F.arrays_zip(F.col("evidence_chunk_ids").alias("id"), F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("evidence_chunk_ids") - 1)).alias("at")))
-    cited = requirements.where(F.size("evidence_chunk_ids") > 0).select("row_id", "resume_id", quote, ids.alias("c")).select("row_id", "resume_id", quote, F.col("c.id").alias("id"), F.col("c.at").alias("at"))
-    known = cited.join(chunks.select("resume_id", "id", "text"), ["resume_id", "id"])
-    plain = lambda c: collapse(strip_controls(F.lower(F.trim(F.col(c)))))
-    known = known.select("row_id", "at", "id", plain(quote).alias("needle"), plain("text").alias("hay"))
-    fits = (F.length("needle") >= w.evidence_min_quote_chars) & (F.length("needle") <= F.length("hay"))
-    exact = F.contains("hay", "needle")
-    known = known.withColumn("state", F.when(~fits, "no").when(exact, "yes").otherwise("ask"))
-    asked = known.where("state = 'ask'").select("needle", "hay").distinct()
-    asked = asked.withColumn("close", partial_ratio_reaches(F.col("needle"), F.col("hay"), w.evidence_verify_fuzz))
-    told = known.join(asked, ["needle", "hay"], "left")
-    good = F.max((F.col("state") == "yes") | ((F.col("state") == "ask") & F.col("close")))
-    told = told.groupBy("row_id").agg(F.coalesce(good, F.lit(False)).alias("good"), F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("good_ids"))
+    cited = requirements.where(F.size("evidence_chunk_ids") > 0).select("row_id", "resume_id", quote, F.posexplode("evidence_chunk_ids").alias("at", "id"))
+    told = borne_out(cited, chunks, quote, w)
+    good = F.max("good")
+    told = told.groupBy("row_id").agg(good.alias("good"), F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("good_ids"))
     out = requirements.join(told, "row_id", "left")
     has_quote = F.coalesce(F.col(quote) != "", F.lit(False))
     loses = has_quote & ~F.coalesce("good", F.lit(False))
@@ -104,16 +114,83 @@ def verified(requirements: DataFrame, chunks: DataFrame, quote: str = "evidence"
     return out.withColumns(changed).select(*requirements.columns)
 
 
+#: Caps of evidence when it is taken in; quotes that are longer are dropped, never cut.
+QUOTE_CHARS, REQUIREMENT_CHARS, MOST_IDS, MOST_REQUIREMENTS, OVERALL_CHARS, SCRUBBED = 2000, 500, 8, 64, 1000, 0.3
+
+
+def taken_in(evidence: Column) -> Column:
+    """Evidence (schemas.EVIDENCE) within its caps and without invisible characters.
+
+    Lists are cut to 64 rows before anything else is looked at, names of requirements and overall texts to their length,
+    citations to 8.  An overlong quote goes whole: its met requirement becomes missing, confidence falls to 0.3 at most.
+    """
+    clean = lambda c: strip_controls(c)
+
+    def one(r: Column, requirement: bool) -> Column:
+        quote = clean(r["evidence"])
+        long = F.coalesce(F.length(quote) > QUOTE_CHARS, F.lit(False))
+        r = r.withField("evidence", F.when(long, "").otherwise(quote)).withField("evidence_chunk_ids", F.slice(r["evidence_chunk_ids"], 1, MOST_IDS))
+        r = r.withField("confidence", F.when(long, F.least(r["confidence"], F.lit(SCRUBBED))).otherwise(r["confidence"]))
+        if not requirement:
+            return r.withField("theme", clean(r["theme"]))
+        r = r.withField("requirement", F.substring(clean(r["requirement"]), 1, REQUIREMENT_CHARS))
+        return r.withField("status", F.when(long & (r["status"] == "met"), "missing").otherwise(r["status"]))
+
+    first = lambda c: F.slice(evidence[c], 1, MOST_REQUIREMENTS)
+    out = evidence.withField("requirements", F.transform(first("requirements"), lambda r: one(r, True)))
+    out = out.withField("cover_letter_evidence", F.transform(first("cover_letter_evidence"), lambda r: one(r, False)))
+    for c in ("overall_summary", "overall_motivation"):
+        out = out.withField(c, F.substring(clean(evidence[c]), 1, OVERALL_CHARS))
+    return out
+
+
+def education_rows(studies: Column) -> Column:
+    """The readable level's rank and the field of every degree of a parsed résumé, in their order: positions are kept."""
+    return F.transform(studies, lambda e: F.struct(level_rank(degree_level(e["degree"])).alias("rank"), e["field"].alias("field")))
+
+
+def best_rank(rows: Column) -> Column:
+    """The highest rank of the readable degrees, null without one."""
+    return F.array_max(F.transform(rows, lambda e: e["rank"]))
+
+
+def zipped(levels: Column, fields: Column) -> Column:
+    """Levels and fields position by position; what one of them lacks at its end is null."""
+    return F.transform(F.arrays_zip(levels.alias("level"), fields.alias("field")), lambda x: F.struct(x["level"].alias("level"), x["field"].alias("field")))
+
+
+def field_matches(degrees: DataFrame, wanted: DataFrame, w: Weights = DEFAULT) -> DataFrame:
+    """job_id, resume_id of the pairs some degree of which is in a field that the job asks for, by fuzzy likeness.
+
+    degrees: job_id, resume_id, field, rank (of the level, readable ones only count), need; wanted: job_id, field.  Pairs of
+    fields are scored once each, however many candidates and jobs they belong to.
+    """
+    from ..functions.fuzzy import token_set_ratio_column
+    from ..functions.strings import normal_field
+
+    met = degrees.where((F.col("rank") >= F.col("need")) & F.col("field").isNotNull()).select("job_id", "resume_id", normal_field(F.col("field")).alias("own"))
+    asked = met.join(wanted.select("job_id", normal_field(F.col("field")).alias("asked")), "job_id").where("own <> '' and asked <> ''")
+    pairs = asked.select("own", "asked").distinct()
+    close = pairs.where(token_set_ratio_column(F.col("own"), F.col("asked")) >= w.education_field_fuzz)
+    return asked.join(close, ["own", "asked"], "left_semi").select("job_id", "resume_id").distinct()
+
+
+def attached(entries: DataFrame, evidence: DataFrame, key: list[str], name: str = "evidence") -> DataFrame:
+    """Entries with their evidence; those without have null, which is not the same as empty evidence."""
+    return entries.join(evidence.select(*key, name), key, "left")
+
+
 def extracted(requirements: DataFrame, chunk_skills: DataFrame, confidence: float = 0.9) -> DataFrame:
     """A deterministic extractor: each requirement cites the résumé's first chunk that names the skill.
 
-    requirements: resume_id, requirement, skill; chunk_skills: resume_id, id, at, text, skills (array).
+    requirements: resume_id, requirement, skill, and others, which stay; chunk_skills: resume_id, id, at, text, skills
+    (array).
     """
     named = chunk_skills.select("resume_id", F.explode("skills").alias("skill"), F.struct("at", "id", "text").alias("c")).groupBy("resume_id", "skill").agg(F.min("c").alias("c"))
     out = requirements.join(named, ["resume_id", "skill"], "left")
     found = F.col("c").isNotNull()
     return out.select(
-        "resume_id", "requirement", F.when(found, "met").otherwise("missing").alias("status"), F.coalesce("c.text", F.lit("")).alias("evidence"),
+        *[c for c in requirements.columns if c != "skill"], F.when(found, "met").otherwise("missing").alias("status"), F.coalesce("c.text", F.lit("")).alias("evidence"),
         F.when(found, F.array("c.id")).otherwise(F.array().cast("array<string>")).alias("evidence_chunk_ids"), F.when(found, confidence).otherwise(0.0).alias("confidence"),
     )
 

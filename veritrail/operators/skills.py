@@ -67,13 +67,34 @@ def scan_pattern(terms: Iterable[str]) -> str:
     return rf"(?i)(?<![{EDGE}])({alternatives})(?![{EDGE}])" if alternatives else r"((?!x)x)"
 
 
-def scanned(text: Column, table: Mapping[str, str]) -> Column:
-    """Canonical skills named in a text, each once, in the order of their first mention."""
-    if not table:
-        return F.array().cast("array<string>")
-    pairs = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-    found = F.regexp_extract_all(text, F.lit(scan_pattern(table)), 1)
-    return F.array_distinct(F.filter(F.transform(found, lambda t: pairs[F.lower(t)]), lambda c: c.isNotNull()))
+def scanned(texts: DataFrame, key: str, text: str, aliases: DataFrame, terms: Iterable[str]) -> DataFrame:
+    """key and skills: the canonical skills named in each text, each once, in the order of their first mention.
+
+    aliases: alias, canonical; terms: the aliases.  The pattern finds mentions, a join names them, so what a mention costs
+    does not depend on the size of the vocabulary.  Keys are unique.  A null text names nothing.
+    """
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(scan_pattern(terms)), F.lit(1))
+    mentions = texts.select(key, F.posexplode(found).alias("at", "mention")).withColumn("alias", F.lower("mention"))
+    named = mentions.join(aliases, "alias").groupBy(key, "canonical").agg(F.min("at").alias("at"))
+    listed = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "canonical"))).alias("found"))
+    skills = F.coalesce(F.transform("found", lambda x: x["canonical"]), F.array().cast("array<string>"))
+    return texts.select(key).join(listed, key, "left").select(key, skills.alias("skills"))
+
+
+def unclassified(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
+    """Distinct names that the vocabulary does not hold, which are those that a classifier is asked about."""
+    low = names.select(F.lower(F.trim(name)).alias(name)).where(F.col(name) != "").distinct()
+    return low.join(aliases.select(F.col("canonical").alias(name)), name, "left_anti")
+
+
+def with_families(names: DataFrame, families: DataFrame, name: str = "skill") -> DataFrame:
+    """Skills with their curated families (skill, families), null where there are none."""
+    return names.join(families.select(F.col("skill").alias(name), "families"), name, "left")
+
+
+def chosen(answer: Column, offered: Column) -> Column:
+    """An answer, if it is one of those that were offered; null otherwise."""
+    return F.when(F.array_contains(offered, F.trim(answer)), F.trim(answer))
 
 
 def union_names(first: Column, second: Column, most: int = 400) -> Column:

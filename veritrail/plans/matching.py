@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import matching, ranking
+from ..operators import matching, ranker, ranking, recall
 from ..operators.recall import normalised
+from ..sources import memo
+from ..sources.tables import kept
 from .registry import query, table
 
 #: The year that counts as now, the candidates recalled for a job, and those whose evidence is sought.
 TODAY, COARSE_K, EVIDENCE_K = 2001, 50, 15
-#: The jobs of a résumé whose evidence is sought; COARSE_K jobs are recalled for it.
-REVERSE_EVIDENCE_K = 10
+#: The jobs recalled for a résumé (50 but for the tables' few jobs), and those whose evidence is sought.
+REVERSE_K, REVERSE_EVIDENCE_K = 20, 10
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,59 +130,154 @@ def education(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", best.alias("best_rank"), F.round(score, 6).alias("education"))
 
 
-def _evidence(contributions: Column) -> Column:
-    """A candidate's requirements as evidence: what is held is met, what is credited partial."""
-    def one(c: Column) -> Column:
-        held, credited = F.coalesce(c["ontology_weight"] == 1, F.lit(False)), c["ontology_weight"].isNotNull()
-        status = F.when(held, "met").when(credited, "partial").otherwise("missing")
-        confidence = F.when(held, F.when(F.coalesce(c["years"], F.lit(0)) >= 1, 0.9).otherwise(0.6)).otherwise(0.4)
-        return F.struct(c["skill"].alias("requirement"), status.alias("status"), confidence.alias("confidence"))
+#: Titles of candidates by customer, of jobs by nation; degrees and fields; what jobs ask for.
+TITLES = ("Senior Engineer", "Data Engineer", "Engineer", " ", "Sales Manager", "Senior Data Engineer", "Manager", "Marketing Coordinator")
+JOB_TITLES = ("Senior Data Engineer", "Sales Manager", "Engineer")
+DEGREES = ("PhD in ", "Master of ", "BSc ", "Associate of ", "High School ", "Certificate of ")
+FIELDS = ("Computer Science", "Comp Science", "Computing Science", "Software  Engineering", "Marketing", "Computer Science and Maths")
+ASKED_LEVELS, ASKED_FIELDS = ("bachelors", "masters", "", "phd", "associate"), ("computer science", "Engineering")
+#: Pairs of a candidate's and an asked field that are alike by the measure: words held in common, or 24 of 28 letters.
+ALIKE = (("computer science", "computer science"), ("comp science", "computer science"), ("computer science and maths", "computer science"), ("software engineering", "engineering"))
 
-    return F.transform(contributions, one)
 
+def _pick(values: tuple[str, ...], at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at.cast("int"))
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations: title, years asked for, level and fields of education (none for every third)."""
+    k = F.col("n_nationkey")
+    fields = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, ASKED_FIELDS)))
+    return table(spark, sf_dir, "nation").select(k.alias("job_id"), _pick(JOB_TITLES, k % 3).alias("title"), F.when(k % 5 != 0, 5 + k % 20).alias("min_years"), _pick(ASKED_LEVELS, k % 5).alias("min_level"), fields.alias("fields"))
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers: years (their orders), the most recent title, and two degrees."""
+    k = F.col("resume_id")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("resume_id")).agg(F.count("*").cast("int").alias("total_years"))
+    study = lambda a, b: F.struct(F.concat(_pick(DEGREES, a % 6), F.lit("Arts")).alias("degree"), F.when(b % 7 != 6, _pick(FIELDS, b % 6)).alias("field"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("resume_id")).join(orders, "resume_id", "left")
+    return c.select("resume_id", "total_years", _pick(TITLES, k % 8).alias("title"), F.array(study(k, k), study(k + 4, k * 5 + 1)).alias("studies"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of the customer, or of the job, whose key is a vector's id; customers without one are never recalled."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def claims(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims, chunks).  A candidate has a chunk for every skill.  A requirement that is held quotes it: as it stands, in other
+    letters and blanks, with a letter missing, or, for a third, as the chunk never said."""
+    held = has_skill(spark, sf_dir)
+    said = F.concat(F.lit("Worked "), F.col("years").cast("string"), F.lit(" years with "), F.col("skill"), F.lit(", most lately in "), F.col("last_used_year").cast("string"), F.lit("."))
+    chunks = held.select("resume_id", F.concat(F.lit("c_"), "skill").alias("id"), said.alias("text"))
+    rows = matching.requirement_rows(pairs, requires(spark, sf_dir), held, families(spark, sf_dir), ("PROMO",)).join(chunks.select("resume_id", F.expr("substring(id, 3)").alias("skill"), "text"), ["resume_id", "skill"], "left")
+    how = F.pmod(F.col("resume_id") + F.col("job_id"), F.lit(6))
+    quote = F.when(how == 0, F.upper(F.regexp_replace("text", " ", "  "))).when(how == 1, F.regexp_replace("text", "Worked ", "Wored ")).when(how.isin(2, 3), F.concat(F.lit("Leads the "), "skill", F.lit(" guild of our whole firm"))).otherwise(F.col("text"))
+    found = F.col("ontology_weight") == 1
+    status = F.when(found, "met").when(F.col("ontology_weight") > 0, "partial").otherwise("missing")
+    ids = F.when(found, F.array(F.concat(F.lit("c_"), "skill"), F.lit("nowhere"))).otherwise(F.array().cast("array<string>"))
+    told = rows.select("job_id", "resume_id", F.col("skill").alias("at"), F.col("skill").alias("requirement"), status.alias("status"), F.when(found, quote).otherwise("").alias("evidence"), ids.alias("evidence_chunk_ids"), F.when(found, 0.9).otherwise(0.4).alias("confidence"))
+    return told, chunks
 
-def _scored(spark: SparkSession, sf_dir: str, pool: str, other: str, k: int) -> tuple[DataFrame, list[Column]]:
-    """Each pool's recalled rows (COARSE_K at most) with structured scores and the evidence of its first k; and their order."""
-    t = totals(spark, sf_dir)
-    # the stand-in for similarity: the account balance, scaled to the recalled pool
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("job_id"), F.col("c_custkey").alias("resume_id"), F.col("c_acctbal").alias("vec_score"))
-    recalled = ranking.ranked(accounts, pool, [F.desc("vec_score"), F.col(other)], "recall_rank").where(F.col("recall_rank") <= COARSE_K)
-    vec = normalised(recalled, pool).select("job_id", "resume_id", F.col("vec_norm").alias("vec"))
-    who = vec.select("job_id", "resume_id")
-    scored = vec.join(skill_scores(spark, sf_dir, who), ["job_id", "resume_id"], "left").join(t, ["job_id", "resume_id"])
-    scored = scored.withColumn("experience", scoring.experience(F.col("years"), F.col("bar"))).withColumn("skill_score", F.coalesce("skill_score", F.lit(0.0)))
-    scored = scored.withColumn("structured", scoring.structured(F.col("skill_score"), F.col("experience"), F.lit(1.0), F.lit(0.0), F.col("vec")))
-    key = [F.desc(F.round("structured", 9)), F.desc("vec"), F.col(other)]
-    scored = ranking.evaluated(scored, pool, k, key)
-    evidence = F.when(F.col("evidence_evaluated"), scoring.completeness(_evidence(F.col("contributions")))).otherwise(0.0)
-    return scored.withColumn("evidence", evidence), key
+
+def themes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(themes, chunks) of cover letters: a conversation's turns, quoted in their first 60 characters; every third backwards."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("resume_id"), F.col("turn").alias("at"), F.concat(F.lit("cl_"), F.col("turn").cast("string")).alias("id"), "text")
+    begin = F.substring("text", 1, 60)
+    quote = F.when(F.col("at") % 3 == 2, F.reverse(begin)).otherwise(begin)
+    told = c.select("resume_id", "at", F.lit("motivation").alias("theme"), quote.alias("evidence"), F.array("id").alias("evidence_chunk_ids"), (F.lit(0.6) + F.col("at") % 4 * 0.1).alias("confidence"))
+    return told, c.select("resume_id", "id", "text")
+
+
+def _scored(spark: SparkSession, sf_dir: str, recalled: DataFrame, key: str) -> DataFrame:
+    pool = kept(normalised(recalled, key).select("job_id", "resume_id", "vec_norm", "discriminating"), "pool")
+    return kept(ranker.structured_scores(pool, jobs(spark, sf_dir), resumes(spark, sf_dir), requires(spark, sf_dir), has_skill(spark, sf_dir), families(spark, sf_dir), memo.bag_of_words, TODAY, ("PROMO",)), "scored")
+
+
+def _evidence(spark: SparkSession, sf_dir: str):
+    letters, letter_chunks = themes(spark, sf_dir)
+
+    def evidence(pairs: DataFrame) -> DataFrame:
+        told, chunks = claims(spark, sf_dir, pairs)
+        return ranker.evidence_scores(told, letters, chunks.unionByName(letter_chunks))
+
+    return evidence
 
 
 def final_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in one plan: recall of each job's 50 best, structured scores, evidence of the first 15, combination,
-    total order.  All windows after the recall see 50 rows of a job at most."""
-    scored, key = _scored(spark, sf_dir, "job_id", "resume_id", EVIDENCE_K)
-    told = scored.withColumn("final", scoring.final(F.col("structured"), F.col("evidence"), F.lit(0.0)))
-    return ranking.ranked(told, "job_id", [F.desc(F.round("final", 9)), *key])
-
-
-FINAL_SQL = f"""{SKILL_SQL},
-rec AS (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= {COARSE_K}),
-acc AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-9 THEN 1.0
-    ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS vec FROM rec WINDOW w AS (PARTITION BY c_nationkey)),
-st AS (SELECT a.job_id, a.resume_id, a.vec, coalesce(s.skill_score, 0.0) AS skill_score, {EXPERIENCE} AS experience FROM acc a LEFT JOIN skill s USING (job_id, resume_id) JOIN tot t USING (job_id, resume_id)),
-st2 AS (SELECT *, 0.4 * skill_score + 0.25 * experience + 0.1 * 1.0 + 0.15 * 0.0 + 0.1 * vec AS structured FROM st),
-st3 AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(structured, 9) DESC, vec DESC, resume_id) <= {EVIDENCE_K} AS evidence_evaluated FROM st2),
-ev AS (SELECT job_id, resume_id, (count(*) FILTER (weight = 1 AND coalesce(years, 0) >= 1) + 0.5 * count(*) FILTER (weight > 0 AND weight < 1)) / count(*) AS completeness FROM rows_ GROUP BY 1, 2),
-fin AS (SELECT st3.*, CASE WHEN evidence_evaluated THEN coalesce(completeness, 0.0) ELSE 0.0 END AS evidence FROM st3 LEFT JOIN ev USING (job_id, resume_id)),
-fin2 AS (SELECT *, 0.6 * structured + 0.3 * evidence + 0.1 * 0.0 AS final FROM fin),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(final, 9) DESC, round(structured, 9) DESC, vec DESC, resume_id) AS rank FROM fin2)"""
-
-
-@query(f"WITH {FINAL_SQL} SELECT job_id, resume_id, rank, round(final, 6) AS score_final, round(structured, 6) AS score_structured, round(evidence, 6) AS score_evidence, evidence_evaluated FROM ranked")
+    """All stages in one plan: recall of each job's 50 most similar candidates, structured scores, verified evidence of the
+    first 15, combination with motivation, total order.  All windows after the recall see 50 rows of a job at most."""
+    v = vectors(spark, sf_dir)
+    job_vectors = table(spark, sf_dir, "nation").join(v, F.col("n_nationkey") == F.col("id")).select(F.col("n_nationkey").alias("job_id"), F.col("vector").alias("job_vector"))
+    pool = candidates(spark, sf_dir).join(v, F.col("resume_id") == F.col("id")).select("job_id", "resume_id", "vector")
+    scored = _scored(spark, sf_dir, recall.within_pools(job_vectors, pool, COARSE_K), "job_id")
+    return ranker.ranked(scored, "job_id", EVIDENCE_K, _evidence(spark, sf_dir))
+
+
+def _values(values: tuple[str, ...], at: str) -> str:
+    return f"[{', '.join(chr(39) + v + chr(39) for v in values)}][1 + {at}]"
+
+
+def _rank_of(degree: str) -> str:
+    return f"""CASE WHEN {degree} ILIKE '%phd%' THEN 5 WHEN {degree} ILIKE '%master%' THEN 4 WHEN {degree} ILIKE '%bsc%' THEN 3 WHEN {degree} ILIKE '%associate%' THEN 2 WHEN {degree} ILIKE '%high school%' THEN 1 END"""
+
+
+PAIR_SQL = f"""vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+job AS (SELECT n_nationkey AS job_id, {_values(JOB_TITLES, 'n_nationkey % 3')} AS title, CASE WHEN n_nationkey % 5 <> 0 THEN 5 + n_nationkey % 20 END AS bar, {_values(ASKED_LEVELS, 'n_nationkey % 5')} AS min_level,
+  n_nationkey % 3 <> 0 AS asks, v FROM nation LEFT JOIN vec ON vec_id = n_nationkey),
+study AS (SELECT c_custkey AS resume_id, unnest([{{'d': {_values(DEGREES, 'c_custkey % 6')} || 'Arts', 'f': CASE WHEN c_custkey % 7 <> 6 THEN {_values(FIELDS, 'c_custkey % 6')} END}},
+  {{'d': {_values(DEGREES, '(c_custkey + 4) % 6')} || 'Arts', 'f': CASE WHEN (c_custkey * 5 + 1) % 7 <> 6 THEN {_values(FIELDS, '(c_custkey * 5 + 1) % 6')} END}}], recursive := true) FROM customer),
+degree AS (SELECT resume_id, {_rank_of('d')} AS r, lower(replace(f, '  ', ' ')) AS f FROM study),
+alike(own, asked) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in ALIKE)}),
+person AS (SELECT c_custkey AS resume_id, o.years, trim({_values(TITLES, 'c_custkey % 8')}) AS title, v FROM customer LEFT JOIN vec ON vec_id = c_custkey
+  LEFT JOIN (SELECT o_custkey, count(*) AS years FROM orders GROUP BY 1) o ON o_custkey = c_custkey),
+edu AS (SELECT p.job_id, p.resume_id, any_value(j.min_level) AS min_level, any_value(j.asks) AS asks, max(r) AS best, any_value(CASE j.min_level WHEN 'bachelors' THEN 3 WHEN 'masters' THEN 4 WHEN 'phd' THEN 5 WHEN 'associate' THEN 2 ELSE 0 END) AS need,
+  coalesce(bool_or(a.own IS NOT NULL AND r >= CASE j.min_level WHEN 'bachelors' THEN 3 WHEN 'masters' THEN 4 WHEN 'phd' THEN 5 WHEN 'associate' THEN 2 ELSE 0 END), false) AS fits
+  FROM pool p JOIN job j USING (job_id) JOIN degree d USING (resume_id) LEFT JOIN alike a ON a.own = d.f GROUP BY 1, 2),
+edus AS (SELECT job_id, resume_id, CASE WHEN min_level = '' THEN 1.0 WHEN best IS NULL THEN 0.0 WHEN best < need THEN 0.5 * best / need WHEN NOT asks OR fits THEN 1.0 ELSE 0.5 END AS education FROM edu),
+words AS (SELECT DISTINCT t AS title, list_distinct(string_split(lower(t), ' ')) AS w FROM (SELECT title AS t FROM job UNION SELECT title FROM person WHERE title <> '')),
+likes AS (SELECT a.title AS job_title, b.title, len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)) AS cos FROM words a, words b),
+st AS (SELECT p.job_id, p.resume_id, p.vec, coalesce(s.skill_score, 0.0) AS skill_score, {EXPERIENCE.replace('years', 'q.years').replace('bar', 'j.bar')} AS experience, e.education,
+  CASE WHEN l.cos IS NOT NULL THEN least(1.0, greatest(0.0, (l.cos - 0.5) / 0.5)) END AS seniority
+  FROM pool p JOIN job j USING (job_id) JOIN person q USING (resume_id) JOIN edus e USING (job_id, resume_id) LEFT JOIN skill s USING (job_id, resume_id) LEFT JOIN likes l ON l.job_title = j.title AND l.title = q.title),
+st2 AS (SELECT *, 0.4 * skill_score + 0.25 * experience + 0.1 * education + 0.15 * coalesce(seniority, 0.0) + 0.1 * vec AS structured FROM st),
+ev AS (SELECT job_id, resume_id, (count(*) FILTER (weight = 1 AND (resume_id + job_id) % 6 NOT IN (2, 3)) + 0.5 * count(*) FILTER (weight > 0 AND weight < 1)) / count(*) AS completeness FROM rows_ GROUP BY 1, 2),
+said AS (SELECT conv_id AS resume_id, turn, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS q FROM conversations),
+mot AS (SELECT resume_id, sum(CASE WHEN turn % 3 <> 2 AND length(q) >= 16 AND 0.6 + turn % 4 * 0.1 >= 0.7 THEN 0.6 + turn % 4 * 0.1 ELSE 0.0 END) / count(*) AS motivation FROM said GROUP BY 1)"""
+#: All pairs of jobs and résumés that a recall leaves, in place of each customer's own nation.
+POOL = "cand AS (SELECT job_id, resume_id FROM pool)"
+SCORES = SKILL_SQL.split("cand AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id FROM customer),")
+YEARS = SCORES[1]
+
+
+def _final_sql(recalled: str, key: str, other: str, evidence_k: int) -> str:
+    return f"""{recalled},
+pool AS (SELECT job_id, resume_id, CASE WHEN max(s) OVER w - min(s) OVER w < 1e-9 THEN 1.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS vec FROM rec WINDOW w AS (PARTITION BY {key})),
+{POOL},{YEARS},
+{PAIR_SQL},
+st3 AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(structured, 9) DESC, round(vec, 9) DESC, {other}) <= {evidence_k} AS evidence_evaluated FROM st2),
+fin AS (SELECT st3.*, CASE WHEN evidence_evaluated THEN coalesce(completeness, 0.0) ELSE 0.0 END AS evidence, CASE WHEN evidence_evaluated AND completeness IS NOT NULL THEN coalesce(motivation, 0.0) ELSE 0.0 END AS motivation
+  FROM st3 LEFT JOIN ev USING (job_id, resume_id) LEFT JOIN mot USING (resume_id))"""
+
+
+SIMILAR = "(1 + list_cosine_similarity(a.v, b.v)) / 2"
+FINAL_SQL = _final_sql(
+    f"""v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+rec AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id, {SIMILAR} AS s FROM customer JOIN v0 a ON a.vec_id = c_custkey JOIN v0 b ON b.vec_id = c_nationkey
+  QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY s DESC, c_custkey) <= {COARSE_K})""",
+    "job_id", "resume_id", EVIDENCE_K,
+) + """,
+fin2 AS (SELECT *, 0.6 * structured + 0.3 * evidence + 0.1 * motivation AS final FROM fin),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(final, 9) DESC, round(structured, 9) DESC, round(vec, 9) DESC, resume_id) AS rank FROM fin2)"""
+
+
+@query(f"""WITH {FINAL_SQL} SELECT job_id, resume_id, rank, round(final, 6) AS score_final, round(structured, 6) AS score_structured, round(evidence, 6) AS score_evidence, round(motivation, 6) AS motivation,
+  round(education, 6) AS education, round(seniority, 6) AS seniority, evidence_evaluated FROM ranked""")
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = final_ranking(spark, sf_dir)
-    return out.select("job_id", "resume_id", "rank", F.round("final", 6).alias("score_final"), F.round("structured", 6).alias("score_structured"), F.round("evidence", 6).alias("score_evidence"), "evidence_evaluated")
+    scores = {"score_final": "final", "score_structured": "structured", "score_evidence": "evidence", "motivation": "motivation", "education": "education", "seniority": "seniority"}
+    return out.select("job_id", "resume_id", "rank", *[F.round(c, 6).alias(n) for n, c in scores.items()], "evidence_evaluated")
 
 
 @query(f"WITH {FINAL_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM ranked) SELECT job_id, resume_id, rank FROM c WHERE rank <= greatest(1, ceil(n * 10 / 100.0))")
@@ -197,25 +294,31 @@ def reverse_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("resume_id", "job_id", F.round("reverse", 6).alias("score_final"), "rank")
 
 
-REVERSE_SQL = f"""{SKILL_SQL},
-rec AS (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_acctbal DESC, c_nationkey) <= {COARSE_K}),
-acc AS (SELECT c_nationkey AS job_id, c_custkey AS resume_id, CASE WHEN max(c_acctbal) OVER w - min(c_acctbal) OVER w < 1e-9 THEN 1.0
-    ELSE (c_acctbal - min(c_acctbal) OVER w) / (max(c_acctbal) OVER w - min(c_acctbal) OVER w) END AS vec FROM rec WINDOW w AS (PARTITION BY c_custkey)),
-st AS (SELECT a.job_id, a.resume_id, a.vec, coalesce(s.skill_score, 0.0) AS skill_score, {EXPERIENCE} AS experience FROM acc a LEFT JOIN skill s USING (job_id, resume_id) JOIN tot t USING (job_id, resume_id)),
-st2 AS (SELECT *, 0.4 * skill_score + 0.25 * experience + 0.1 * 1.0 + 0.15 * 0.0 + 0.1 * vec AS structured FROM st),
-st3 AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY round(structured, 9) DESC, vec DESC, job_id) <= {REVERSE_EVIDENCE_K} AS evidence_evaluated FROM st2),
-ev AS (SELECT job_id, resume_id, (count(*) FILTER (weight = 1 AND coalesce(years, 0) >= 1) + 0.5 * count(*) FILTER (weight > 0 AND weight < 1)) / count(*) AS completeness FROM rows_ GROUP BY 1, 2),
-rev AS (SELECT st3.*, 0.6 * structured + 0.3 * CASE WHEN evidence_evaluated THEN coalesce(completeness, 0.0) ELSE 0.0 END AS reverse FROM st3 LEFT JOIN ev USING (job_id, resume_id))"""
+def reverse_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by résumé, for every résumé with a vector: its 20 most similar jobs of all, those that are open (after the cut),
+    structured scores, verified evidence of the first 10, no motivation."""
+    v = vectors(spark, sf_dir)
+    job_vectors = table(spark, sf_dir, "nation").join(v, F.col("n_nationkey") == F.col("id")).select("id", "vector")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(v, "id")
+    near = recall.nearest(people, job_vectors, REVERSE_K)
+    rows = near.where(F.col("item_id") % 5 != 4).select(F.col("item_id").cast("int").alias("job_id"), F.col("query_id").alias("resume_id"), "vec_score")
+    return ranker.ranked(_scored(spark, sf_dir, rows, "resume_id"), "resume_id", REVERSE_EVIDENCE_K, _evidence(spark, sf_dir), reverse=True)
+
+
+REVERSE_SQL = _final_sql(
+    f"""v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+near AS (SELECT n_nationkey AS job_id, c_custkey AS resume_id, {SIMILAR} AS s FROM customer JOIN v0 a ON a.vec_id = c_custkey, nation JOIN v0 b ON b.vec_id = n_nationkey
+  QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY s DESC, n_nationkey) <= {REVERSE_K}),
+rec AS (SELECT * FROM near WHERE job_id % 5 <> 4)""",
+    "resume_id", "job_id", REVERSE_EVIDENCE_K,
+)
 
 
-@query(f"""WITH {REVERSE_SQL} SELECT resume_id, job_id, round(reverse, 6) AS score_final, evidence_evaluated,
-    row_number() OVER (PARTITION BY resume_id ORDER BY round(reverse, 9) DESC, job_id) AS rank FROM rev""")
+@query(f"""WITH {REVERSE_SQL} SELECT resume_id, job_id, round(0.6 * structured + 0.3 * evidence, 6) AS score_final, evidence_evaluated,
+    row_number() OVER (PARTITION BY resume_id ORDER BY round(0.6 * structured + 0.3 * evidence, 9) DESC, round(structured, 9) DESC, round(vec, 9) DESC, job_id) AS rank FROM fin""")
 def reverse_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by résumé, for every résumé: recall of its 50 best jobs, evidence of the first 10, no motivation."""
-    scored, _ = _scored(spark, sf_dir, "resume_id", "job_id", REVERSE_EVIDENCE_K)
-    out = scored.withColumn("reverse", scoring.final(F.col("structured"), F.col("evidence")))
-    out = ranking.ranked(out, "resume_id", [F.desc(F.round("reverse", 9)), F.col("job_id")])
-    return out.select("resume_id", "job_id", F.round("reverse", 6).alias("score_final"), "evidence_evaluated", "rank")
+    """Jobs by résumé: see reverse_final()."""
+    return reverse_final(spark, sf_dir).select("resume_id", "job_id", F.round("final", 6).alias("score_final"), "evidence_evaluated", "rank")
 
 
 @query(f"""WITH {SKILL_SQL}, u AS (SELECT s.*, sk.senior AND 1 - sk.missing / sk.must >= 0.5 AS relieved FROM sc s JOIN sk USING (job_id, resume_id))
@@ -242,11 +345,10 @@ def smeared_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FINAL_SQL} SELECT job_id, resume_id, part, CAST(weight AS DOUBLE) AS weight, round(score, 6) AS score, round(weight * score, 6) AS contribution FROM ranked,
-  LATERAL (VALUES ('skill', 0.4, skill_score), ('experience', 0.25, experience), ('education', 0.1, NULL), ('seniority', 0.15, NULL), ('vector', 0.1, vec)) AS v(part, weight, score)""")
+  LATERAL (VALUES ('skill', 0.4, skill_score), ('experience', 0.25, experience), ('education', 0.1, education), ('seniority', 0.15, seniority), ('vector', 0.1, vec)) AS v(part, weight, score)""")
 def explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contributions by part; what was not recorded stays null."""
-    none = F.lit(None).cast("double")
-    entry = F.struct(F.col("skill_score").alias("skill"), "experience", none.alias("education"), none.alias("seniority"), F.col("vec").alias("vector"))
+    """Contributions by part; what was not measured, the likeness of a title that is not there, stays null."""
+    entry = F.struct(F.col("skill_score").alias("skill"), "experience", "education", "seniority", F.col("vec_norm").alias("vector"))
     out = final_ranking(spark, sf_dir).withColumn("entry", entry)
     out = out.select("job_id", "resume_id", F.explode(matching.explanation(F.col("entry"))).alias("x")).select("job_id", "resume_id", "x.*")
     return out.withColumn("score", F.round("score", 6)).withColumn("contribution", F.round("contribution", 6))

@@ -26,15 +26,39 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def budget_prefix(df: DataFrame, order: list[str], cost: str, budget: int, part: str | None = None) -> DataFrame:
-    """Rows in order while their summed cost stays within the budget; the first always, and none after a violation."""
-    window = (Window.partitionBy(part) if part else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    place = F.row_number().over((Window.partitionBy(part) if part else Window.partitionBy()).orderBy(*order))
-    summed = df.withColumn("__sum", F.sum(cost).over(window)).withColumn("__place", place)
+def _prefix(df: DataFrame, order: list[str], cost: str, budget: int, part: str | None) -> DataFrame:
+    base = Window.partitionBy(part) if part else Window.partitionBy()
+    window = base.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("__sum", F.sum(cost).over(window)).withColumn("__place", F.row_number().over(base.orderBy(*order)))
     over = F.max(((F.col("__sum") > budget) & (F.col("__place") > 1)).cast("int")).over(window)
     return summed.withColumn("__over", over).where("__over = 0").drop("__sum", "__place", "__over")
 
 
+def budget_prefix(df: DataFrame, order: list[str], cost: str, budget: int, part: str | None = None, buckets: int = 1024) -> DataFrame:
+    """Rows in order while their summed cost stays within the budget; the first always, and none after a violation.
+
+    A queue is first dealt into ranges of its leading order column, a number, and only the ranges' sums are put in order:
+    rows of ranges that begin beyond the budget never reach the window.  Costs are not negative; of a null cost 0 counts.
+    """
+    keys = [part] if part else []
+    df = df.withColumn(cost, F.coalesce(cost, F.lit(0)))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    low, high = F.min(order[0]).alias("__low"), F.max(order[0]).alias("__high")
+    if keys:
+        dealt = df.join(df.groupBy(*keys).agg(low, high), keys)
+    else:
+        ends = df.agg(low, high).first()
+        dealt = df.withColumn("__low", F.lit(ends[0])).withColumn("__high", F.lit(ends[1]))
+    at = F.floor((F.col(order[0]) - F.col("__low")) * F.lit(buckets) / (F.col("__high") - F.col("__low") + 1)).cast("int")
+    dealt = dealt.withColumn("__range", F.coalesce(at, F.lit(0))).drop("__low", "__high")
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum(cost).alias("__cost"))
+    before = F.coalesce(F.sum("__cost").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.min("__range").over(whole)
+    near = sums.withColumn("__before", before).withColumn("__first", first).where((F.col("__before") <= budget) | (F.col("__range") == F.col("__first")))
+    kept = dealt.join(near.select(*keys, "__range"), [*keys, "__range"], "left_semi").select(*df.columns)
+    return _prefix(kept, order, cost, budget, part)
+
+
 def precision_at(df: DataFrame, key: str, k: int, good: Column, rank: str = "rank") -> DataFrame:
     """Share of good rows among each list's first k, and whether the list is that long."""
     first = df.where(F.col(rank) <= k)
@@ -48,6 +72,19 @@ def bait_below_strong(df: DataFrame, key: str, tag: str, rank: str = "rank") ->
     return df.groupBy(key).agg(bait.alias("first_bait"), strong.alias("last_strong"), (bait > strong).alias("below"))
 
 
+def bait_and_strong(df: DataFrame, key: str, tag: str, place: Column) -> DataFrame:
+    """As bait_below_strong, of rows that have not been ranked: place sorts a list, ties broken.
+
+    Ranks are counted, not assigned: the first bait's and the last strong candidate's places are found by an aggregation,
+    and a second one counts the rows up to them, so no list is ever sorted in one task.
+    """
+    rows = df.withColumn("__place", place)
+    marks = rows.groupBy(key).agg(F.min(F.when(F.col(tag) == "bait", F.col("__place"))).alias("__bait"), F.max(F.when(F.col(tag) == "strong", F.col("__place"))).alias("__strong"))
+    up_to = lambda mark: F.when(F.first(F.col(mark).isNotNull()), F.count(F.when(F.col("__place") <= F.col(mark), 1)))
+    out = rows.join(marks, key).groupBy(key).agg(up_to("__bait").cast("int").alias("first_bait"), up_to("__strong").cast("int").alias("last_strong"))
+    return out.withColumn("below", F.col("first_bait") > F.col("last_strong"))
+
+
 def ordering_pairs(df: DataFrame, pairs: DataFrame, id: str, gap: float = 1e-6) -> DataFrame:
     """Whether the higher of each pair ranks first by a real gap.  df: id, rank, score; pairs: dimension, higher, lower."""
     hi = df.select(F.col(id).alias("higher"), F.col("rank").alias("rank_hi"), F.col("score").alias("score_hi"))

@@ -1,4 +1,4 @@
-"""Exact vector recall: within a pool, and of all pairs block by block."""
+"""Exact vector recall: within a pool, and of all pairs, against a small side or block by block."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, similarity
 
-BLOCK = 2048
+#: Rows of a block, and numbers that a side may hold in all to be sent to every executor.
+BLOCK, SMALL = 8192, 1 << 23
 
 
 def within_pools(jobs: DataFrame, pool: DataFrame, k: int = 50, key: str = "job_id", id: str = "resume_id") -> DataFrame:
@@ -35,44 +36,79 @@ def normalised(recalled: DataFrame, key: str = "job_id") -> DataFrame:
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k most similar items of every query, over all pairs: query_id, item_id, vec_score, place.
 
-    queries, items: id, vector; ids are numbers.  Both sides are dealt into blocks of about `block` rows; two blocks
-    meet in one task as a matrix product that returns only each query's k best, which are then merged.  Nothing is
-    broadcast, and no row is made for a pair that is not among some block's best.  Vectors that are null, empty, of
-    different lengths, or hold nulls have no similarity; zero vectors have cosine 0.  Ties go to the smaller id.
+    queries, items: id, vector; ids are numbers.  If the items hold SMALL numbers at most (a count decides), they are sent
+    to the queries' tasks and no vector is shuffled.  Else both sides are dealt into blocks of about `block` rows, and two
+    blocks meet in one task.  Either way matrix products return only each query's k best, and no row is made for a pair
+    that is not among some block's best.  Vectors that are null, empty, of different lengths, or hold nulls have no
+    similarity; zero vectors have cosine 0.  Ties go to the smaller id.
     """
     queries = queries.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     items = items.where("vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    nq, ni = (max(1, -(-df.count() // block)) for df in (queries, items))
+    held = items.agg(F.sum(F.size("vector")).alias("n"), F.count("*").alias("rows")).first()
+    if (held.n or 0) <= SMALL:
+        some = _against(queries, items, k)
+    else:
+        some = _by_blocks(queries, items, k, block, held.rows)
+    best = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), "item_id")
+    return some.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+SOME = "query_id long, item_id long, vec_score double"
+
+
+def _best(left, right, k: int):
+    """(query_id, item_id, vec_score) of each query's k best items.  left, right: lists of (id, vector)."""
+    import numpy as np
+
+    out = ([], [], [])
+    for n in {len(v) for _, v in left} - {0}:
+        a, b = ([x for x in side if len(x[1]) == n] for side in (left, right))
+        if not b:
+            continue
+        b.sort(key=lambda x: x[0])
+        x, y = (np.array([v for _, v in side], float) for side in (a, b))
+        x, y = (v / np.where((m := np.linalg.norm(v, axis=1, keepdims=True)) > 0, m, 1) for v in (x, y))
+        ids, own = np.array([i for i, _ in b]), np.array([i for i, _ in a])
+        for low in range(0, len(a), 1024):
+            score = (1 + x[low : low + 1024] @ y.T) / 2
+            score[np.isnan(score)] = -1
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            at = np.take_along_axis(score, best, 1)
+            rows, cols = np.nonzero(at >= 0)
+            out[0].extend(own[low : low + 1024][rows].tolist())
+            out[1].extend(ids[best[rows, cols]].tolist())
+            out[2].extend(at[rows, cols].tolist())
+    return out
+
+
+def _against(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Each query against all items, which have been counted."""
+    sent = queries.sparkSession.sparkContext.broadcast([(r["id"], r["vector"]) for r in items.collect()])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = _best(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), list(sent.value), k)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "item_id", "vec_score"])
+
+    return queries.mapInArrow(run, SOME)
+
+
+def _by_blocks(queries: DataFrame, items: DataFrame, k: int, block: int, n_items: int) -> DataFrame:
+    nq, ni = max(1, -(-queries.count() // block)), max(1, -(-n_items // block))
     deal = lambda df, n: df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     left = deal(queries, nq).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))).select("id", "vector", F.col("own").alias("q"), F.col("other").alias("i"), F.lit(0).alias("side"))
     right = deal(items, ni).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "vector", F.col("other").alias("q"), F.col("own").alias("i"), F.lit(1).alias("side"))
 
     def meet(pdf):
-        import numpy as np
         import pandas as pd
 
-        out = {"query_id": [], "item_id": [], "vec_score": []}
-        pdf["size"] = pdf["vector"].map(len)
-        for n, same in pdf.groupby("size"):
-            a, b = same[same["side"] == 0], same[same["side"] == 1].sort_values("id")
-            if not n or not len(a) or not len(b):
-                continue
-            x, y = np.stack(a["vector"]).astype(float), np.stack(b["vector"]).astype(float)
-            x, y = (v / np.where((m := np.linalg.norm(v, axis=1, keepdims=True)) > 0, m, 1) for v in (x, y))
-            score = (1 + x @ y.T) / 2
-            score[np.isnan(score)] = -1
-            ids = b["id"].to_numpy()
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            at = np.take_along_axis(score, best, 1)
-            rows, cols = np.nonzero(at >= 0)
-            out["query_id"] += a["id"].to_numpy()[rows].tolist()
-            out["item_id"] += ids[best[rows, cols]].tolist()
-            out["vec_score"] += at[rows, cols].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "item_id": "int64", "vec_score": "float64"})
+        sides = [list(zip(*(pdf[c][pdf["side"] == s].tolist() for c in ("id", "vector")))) for s in (0, 1)]
+        found = _best(*sides, k)
+        return pd.DataFrame({"query_id": found[0], "item_id": found[1], "vec_score": found[2]}).astype({"query_id": "int64", "item_id": "int64", "vec_score": "float64"})
 
-    some = left.unionByName(right).groupBy("q", "i").applyInPandas(meet, "query_id long, item_id long, vec_score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("vec_score"), "item_id")
-    return some.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    return left.unionByName(right).groupBy("q", "i").applyInPandas(meet, SOME)
 
 
 def near_names(names: DataFrame, k: int = 5, threshold: float = 0.88, merge: float = 0.92) -> DataFrame:

@@ -5,12 +5,11 @@ Events play the outbox: purchases carry parsed résumés of their user, errors w
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, relational
+from ..operators import graph, relational  # noqa: F401
+from ..sources.tables import scratch_folder
 from ..streaming import outbox as ob
 from .registry import query, table
 
@@ -41,14 +40,13 @@ def batch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LAST_SQL} SELECT resume_id, skill, years, 'c_001' AS evidence_chunk_id FROM edges")
 def stream_outbox_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same edges by draining the outbox as a stream of files."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    base = f"{root}/outbox-{uuid.uuid4().hex}"
+    base = scratch_folder(spark, "outbox")
     events = outbox(spark, sf_dir).select("id", "aggregate", "aggregate_id", "event_type", "payload", "created_at")
-    # files are read by name and time: two files written one after the other keep the order of ids
+    # the last event of a key counts within a batch, and later batches come later: only the halves need an order
     half = events.agg(F.percentile_approx("id", 0.5)).first()[0]
     for i, part in enumerate((events.where(F.col("id") <= half), events.where(F.col("id") > half))):
-        part.coalesce(1).write.mode("append").json(f"{base}/inbox/{i}")
-        ob.drain(spark, f"{base}/inbox/*", base)
+        part.write.mode("append").json(f"{base}/inbox/{i}")
+        ob.drain(spark, f"{base}/inbox/*", base, files_per_batch=10_000)
     return ob.read_edges(spark, base).select("resume_id", "skill", "years", "evidence_chunk_id")
 
 

@@ -11,6 +11,7 @@ from ..functions.strings import basename_lower
 TRUE, MOST_BYTES, MOST_STEM = ("true", "1", "yes", "y", "t"), 1 << 20, 256
 PAIRS = "applicants array<struct<resume_file:string,cover_letter_file:string,cover_letter_flag:string>>"
 JOB_COLUMNS = ("filename", "title", "department", "location", "employment_type", "seniority", "min_years", "retention_days", "blind_review")
+#: Suffixes that tell a cover letter's file and a résumé's, the rest being what the two share.
 COVER, RESUME = r"^(.*\S)[\s_-]+(?:cover[\s_-]*letter|coverletter|cover[\s_-]*note|cover)$", r"^(.*\S)[\s_-]+(?:resume|cv)$"
 
 

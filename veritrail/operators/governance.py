@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import email_hash
@@ -23,8 +23,8 @@ def resume_list(resumes: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def encrypted(df: DataFrame, columns: list[str], key: Column) -> DataFrame:
     """Columns encrypted under the key; nulls stay null, and the address's digest is kept beside."""
-    out = df.withColumns({c: F.aes_encrypt(F.col(c), key, F.lit("GCM")) for c in columns})
-    return out.withColumn("email_hash", email_hash(df["email"])) if "email" in df.columns else out
+    out = df.withColumn("email_hash", email_hash(F.col("email"))) if "email" in df.columns else df
+    return out.withColumns({c: F.aes_encrypt(F.col(c), key, F.lit("GCM")) for c in columns})
 
 
 def decrypted(df: DataFrame, columns: list[str], key: Column) -> DataFrame:
@@ -50,6 +50,34 @@ def revealable(log: DataFrame, actions: tuple[str, ...]) -> DataFrame:
     return log.where(F.col("action").isin(*actions) & F.coalesce(is_object & (F.schema_of_variant(raw) != "OBJECT<>"), F.lit(False)))
 
 
+def appended(log: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """An append-only log with new rows, numbered on from its largest id; nothing that stands is changed.
+
+    Numbers follow the rows' own order column `at`; they are found by counting partitions, so no task sorts all rows.
+    """
+    last = log.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+    sorted_rows = rows.orderBy("at").select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__nth"))
+    counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = sorted_rows.join(counts.select("__part", before.alias("__before")), "__part")
+    return log.unionByName(numbered.withColumn(key, F.lit(last) + 1 + F.col("__before") + F.col("__nth")).select(*log.columns))
+
+
+def revealed(asked: DataFrame, resumes: DataFrame, assignees: DataFrame, enabled: bool, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that are shown, audit rows) of reveals that were asked for.  asked: user_id, resume_id, role.
+
+    The gate comes first, then the scope: admins and recruiters see all, a hiring manager the résumés of jobs assigned to
+    them, others none.  A reveal that is blocked shows nothing and writes nothing.
+    """
+    gate = asked.where(F.lit(enabled) & F.col("role").isin("admin", "recruiter", "hiring_manager"))
+    both = gate.join(resumes.select("resume_id", "job_id", "candidate_name"), "resume_id")
+    wide = both.where("role <> 'hiring_manager'")
+    own = both.where("role = 'hiring_manager'").join(assignees, ["job_id", "user_id"], "left_semi")
+    shown = wide.unionByName(own.select(*wide.columns))
+    audit = shown.select(as_of.alias("occurred_at"), F.lit("user").alias("actor_kind"), "user_id", F.lit("reveal_candidate").alias("action"), F.col("resume_id").alias("entity_id"))
+    return shown, audit
+
+
 def findings(**checks: DataFrame) -> DataFrame:
     """Health findings: check, n, severity; each check is a one-row count n with its severity where n > 0."""
     out = None

@@ -44,3 +44,13 @@ def projectable(parses: DataFrame, current: DataFrame) -> DataFrame:
 def folded_breakdown(scores: Column, motivation: Column, evaluated: Column, discriminating: Column) -> Column:
     """A stored breakdown with the fields that have no column of their own."""
     return F.to_json(scores.withField("motivation", motivation).withField("evidence_evaluated", evaluated).withField("vector_discriminating", discriminating))
+
+
+def outcomes(requests: DataFrame, current: DataFrame, key: str, allowed: tuple[str, ...], terminal: tuple[str, ...]) -> DataFrame:
+    """Adds outcome to requests about rows: missing if there is none, withdrawn, already_done in a terminal status, not_ready
+    in any other that is not allowed, else proceed.  current: key, status, withdrawn_at."""
+    both = requests.join(current.select(key, "status", "withdrawn_at", F.lit(True).alias("__there")), key, "left")
+    ready = F.coalesce(F.col("status").isin(*allowed), F.lit(False))
+    done = F.coalesce(F.col("status").isin(*terminal), F.lit(False))
+    outcome = F.when(F.col("__there").isNull(), "missing").when(F.col("withdrawn_at").isNotNull(), "withdrawn").when(ready, "proceed").when(done, "already_done").otherwise("not_ready")
+    return both.withColumn("outcome", outcome).drop("__there")

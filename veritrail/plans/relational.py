@@ -279,12 +279,14 @@ def label_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT c_custkey AS k FROM customer),
-l AS (SELECT k, k AS rest, '' AS s FROM n UNION ALL SELECT k, (rest - 1) // 26, chr(CAST(65 + (rest - 1) % 26 AS INT)) || s FROM l WHERE rest > 0)
-SELECT k AS c_custkey, 'Candidate ' || s AS label FROM l WHERE rest = 0 AND k > 0"""
+    """WITH RECURSIVE n AS (SELECT c_custkey * 6148914691 + CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE -c_custkey * 6148914690 END AS k, c_custkey AS id FROM customer),
+l AS (SELECT id, k, k AS rest, '' AS s FROM n UNION ALL SELECT id, k, (rest - 1) // 26, chr(CAST(65 + (rest - 1) % 26 AS INT)) || s FROM l WHERE rest > 0)
+SELECT id AS c_custkey, 'Candidate ' || s AS label FROM l WHERE rest = 0 AND k > 0"""
 )
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", strings.pseudonym(F.col("c_custkey")).alias("label"))
+    """Labels of ranks: the customers' keys, every second one far larger."""
+    far = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") * 6_148_914_691).otherwise(F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", strings.pseudonym(far).alias("label"))
 
 
 @query(
@@ -316,7 +318,7 @@ SELECT source, min(rank) FILTER (tag = 'bait') AS first_bait, max(rank) FILTER (
 def bait_below_strong(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
     tag = F.when(F.col("toxic") == 1, "bait").when(F.col("quality") == 1, "strong").otherwise("other")
-    return ranking.bait_below_strong(ranking.ranked(d.withColumn("tag", tag), "source", [F.desc("n_chars"), F.col("doc_id")]), "source", "tag")
+    return ranking.bait_and_strong(d.withColumn("tag", tag), "source", "tag", F.struct((-F.col("n_chars")).alias("n"), "doc_id"))
 
 
 @query(

@@ -23,6 +23,13 @@ VOCABULARY = [
 ALIASES = skills.vocabulary(VOCABULARY)
 
 
+TURN_TERMS = "[('the', 'the'), ('der', 'the'), ('les', 'the'), ('los', 'the'), ('with', 'with'), ('mit', 'with'), ('avec', 'with'), ('con', 'with'), ('idiot', 'idiot'), ('python', 'python'), ('py', 'python'), ('almond', 'almond'), ('almonds', 'almond'), ('al  mond', 'almond')]"
+SCAN_SQL = f"""v AS (SELECT unnest(list_transform({TURN_TERMS}, lambda x: x[1])) AS term, unnest(list_transform({TURN_TERMS}, lambda x: x[2])) AS canonical)"""
+#: Terms between characters that are no letter, digit, plus or hash; these stand doubled, so that neighbours can share one.
+MENTION = "(?i)(?:^|[^A-Za-z0-9+#])(almonds|al  mond|almond|python|idiot|avec|with|con|der|les|los|mit|the|py)(?:$|[^A-Za-z0-9+#])"
+DOUBLED = "regexp_replace(text, '([^A-Za-z0-9+#])', '\\1\\1', 'g')"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
@@ -64,7 +71,37 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("doc_id", F.format_string("c_%03d", "n").alias("chunk_id"), F.length("line").alias("n"))
 
 
-@query()
+#: Packs as numbers by length: see operators.chunking.packed; a fold over lengths in the other engine.
+PACKED = """list_reduce(list_prepend({{'n': 0, 'number': 0, 'held': 0, 'numbers': []::INT[]}}, list_transform({0}, lambda t: {{'n': length(t)::INT, 'number': 0, 'held': 0, 'numbers': []::INT[]}})),
+  lambda a, x: {{'n': 0, 'number': a.number + (x.n > 1200 OR a.held = 0 OR a.held + x.n + {1} > 1200)::INT, 'held': CASE WHEN x.n > 1200 THEN 0 WHEN a.held + x.n + {1} > 1200 THEN x.n + {2} ELSE a.held + x.n + {1} END,
+    'numbers': list_append(a.numbers, a.number + (x.n > 1200 OR a.held = 0 OR a.held + x.n + {1} > 1200)::INT)}}).numbers"""
+SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def bare(x: str) -> str:
+    """SQL for a text without white space at its ends."""
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+HEADING = "^(?i:summary|profile|objective|about|experience|employment|work history|professional history|education|academic|qualifications|skills|technical skills|technologies|competencies|projects|selected projects|certifications|certificates|publications|papers)\\b"
+SECTION = "CASE WHEN regexp_matches({0}, '^(?i:summary|profile|objective|about)\\b') THEN 'summary' WHEN regexp_matches({0}, '^(?i:experience|employment|work history|professional history)\\b') THEN 'experience' WHEN regexp_matches({0}, '^(?i:education|academic|qualifications)\\b') THEN 'education' WHEN regexp_matches({0}, '^(?i:skills|technical skills|technologies|competencies)\\b') THEN 'skills' WHEN regexp_matches({0}, '^(?i:projects|selected projects)\\b') THEN 'projects' WHEN regexp_matches({0}, '^(?i:certifications|certificates)\\b') THEN 'certifications' ELSE 'publications' END"
+PACK_SQL = rf"""l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS nth FROM documents),
+h AS (SELECT *, {bare("regexp_replace(" + bare("line") + ", ':+$', '')")} AS head, length({bare("line")}) <= 40 AND regexp_matches({bare("regexp_replace(" + bare("line") + ", ':+$', '')")}, '{HEADING}') AS is_head FROM l),
+g AS (SELECT *, count(*) FILTER (is_head) OVER (PARTITION BY doc_id ORDER BY nth) AS sec FROM h),
+s AS (SELECT doc_id, sec, coalesce(max({SECTION.format('head')}) FILTER (is_head), 'other') AS section, {bare("coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT is_head), '')")} AS body FROM g GROUP BY 1, 2),
+p AS (SELECT doc_id, sec, section, list_filter(list_transform(regexp_split_to_array(body, '\n{SPACE}*\n+'), lambda t: {bare('t')}), lambda t: t <> '') AS texts FROM s WHERE body <> ''),
+q AS (SELECT doc_id, sec, section, unnest(texts) AS text, generate_subscripts(texts, 1) AS para, unnest({PACKED.format('texts', 2, 0)}) AS pack FROM p),
+w AS (SELECT *, CASE WHEN length(text) > 1200 THEN list_filter(string_split(regexp_replace(text, '([.!?]){SPACE}+', '\1' || chr(0), 'g'), chr(0)), lambda t: t <> '') ELSE [text] END AS bits FROM q),
+x AS (SELECT doc_id, sec, section, para, pack, unnest(bits) AS bit, generate_subscripts(bits, 1) AS nth, unnest(CASE WHEN length(text) > 1200 THEN {PACKED.format('bits', 1, 1)} ELSE [0] END) AS part FROM w),
+y AS (SELECT *, unnest(range(greatest(1, ceil(length(bit) / 1200)::INT))) AS cut FROM x),
+z AS (SELECT doc_id, sec, section, pack, part, cut, {bare("CASE WHEN part > 0 THEN string_agg(substr(bit, cut * 1200 + 1, 1200), ' ' ORDER BY para, nth) ELSE string_agg(substr(bit, cut * 1200 + 1, 1200), chr(10) || chr(10) ORDER BY para, nth) END")} AS text FROM y GROUP BY doc_id, sec, section, pack, part, cut)"""
+
+
+@query(
+    f"""WITH {PACK_SQL},
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sec, pack, part, cut) AS n FROM z WHERE length(text) >= 40)
+SELECT doc_id, printf('c_%03d', n) AS chunk_id, section, length(text) AS n, md5(text) AS digest FROM k WHERE n <= 200"""
+)
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections packed into chunks of 40 to 1200 characters."""
     pages = documents(spark, sf_dir).select(F.col("doc_id").alias("resume_id"), F.lit(1).alias("page_no"), "text")
@@ -109,7 +146,7 @@ def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT supplier.s_suppkey AS batch, 'cv_' || p.p_partkey || '.pdf' AS resume_key, CASE WHEN p.p_partkey % 2 = 0 THEN 'cl_' || p.p_partkey || '.pdf' END AS cover_key FROM supplier JOIN part p ON p.p_partkey % 100 = s_suppkey % 100),
+    """WITH m AS (SELECT p_partkey % 100 AS batch, 'cv_' || p_partkey || '.pdf' AS resume_key, CASE WHEN p_partkey % 2 = 0 THEN 'cl_' || p_partkey || '.pdf' END AS cover_key FROM part),
 f AS (SELECT batch, resume_key, cover_key, CAST(regexp_extract(resume_key, '\\d+') AS INT) AS k FROM m)
 SELECT batch, resume_key AS resume, CASE WHEN k % 5 <> 0 AND k % 2 = 0 AND k % 3 <> 0 THEN cover_key END AS cover,
   CASE WHEN k % 5 <> 0 AND k % 2 = 0 AND k % 3 = 0 THEN 'cover letter of the manifest is missing' END AS note, CASE WHEN k % 5 = 0 THEN 'resume of the manifest is missing' END AS reason FROM f
@@ -117,8 +154,7 @@ UNION ALL SELECT batch, cover_key, NULL, NULL, NULL FROM f WHERE k % 5 = 0 AND k
 )
 def manifest_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a manifest: absent résumés are rejected, absent covers noted, files the manifest did not use count alone."""
-    s, p = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
-    m = s.join(p, (F.col("p_partkey") % 100) == (F.col("s_suppkey") % 100)).select(F.col("s_suppkey").alias("batch"), F.col("p_partkey").alias("k"))
+    m = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("batch"), F.col("p_partkey").alias("k"))
     key = lambda head: F.concat(F.lit(head), F.col("k").cast("string"), F.lit(".pdf"))
     pairs = m.select("batch", key("cv_").alias("resume_key"), F.when(F.col("k") % 2 == 0, key("cl_")).alias("cover_key"))
     up = m.where("k % 5 <> 0").select("batch", F.col("k").alias("at"), key("CV_").alias("filename"))
@@ -153,13 +189,29 @@ def stand_in_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select(F.md5("text").alias("text_digest"), F.aggregate("vector", F.lit(0.0), lambda s, x: s + x).cast("long").alias("tokens"), F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("buckets"))
 
 
-@query()
+@query(f"""WITH {SCAN_SQL}, m AS (SELECT doc_id, unnest(x) AS t, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({DOUBLED}, '{MENTION}', 1) AS x FROM documents)),
+n AS (SELECT doc_id, canonical, min(pos) AS pos FROM m JOIN v ON lower(t) = term GROUP BY 1, 2), g AS (SELECT doc_id, list(canonical ORDER BY pos) AS skills FROM n GROUP BY 1)
+SELECT d.doc_id, coalesce(skills, []) AS skills FROM documents d LEFT JOIN g USING (doc_id)""")
 def skill_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary terms named in every document, each once, in order of mention."""
-    return documents(spark, sf_dir).select("doc_id", skills.scanned(F.col("text"), ALIASES).alias("skills"))
+    return skills.scanned(documents(spark, sf_dir), "doc_id", "text", skills.dimension(spark, ALIASES), list(ALIASES))
 
 
-@query()
+CLEANED = r"""trim(regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{N}}_.+# -]+', '', 'g'), '\s+', ' ', 'g'))"""
+UNVERSIONED = r"""trim(regexp_replace({0}, '(?i)\s+v?\d+(\.\d+)*$', ''))"""
+
+
+@query(
+    rf"""WITH v AS (SELECT unnest(list_transform({TURN_TERMS.replace('al  mond', 'al mond')}, lambda x: x[1])) AS alias, unnest(list_transform({TURN_TERMS}, lambda x: x[2])) AS canonical),
+n AS (SELECT p_partkey, unnest([p_name, p_name || ' 14', 'py (' || p_type || ')', p_type || ' (python 3.1)', p_name || '@mail.example']) AS name, unnest([0, 1, 2, 3, 4]) AS form FROM part),
+b AS (SELECT *, {CLEANED.format("lower(trim(name))")} AS whole, {CLEANED.format("regexp_replace(lower(trim(name)), '[(][^()]*[)]', ' ', 'g')")} AS outside, {CLEANED.format("regexp_extract(lower(trim(name)), '[(]([^()]*)[)]', 1)")} AS inside FROM n),
+t AS (SELECT p_partkey, form, unnest([whole, {UNVERSIONED.format('whole')}, CASE WHEN inside <> '' THEN outside END, CASE WHEN inside <> '' THEN {UNVERSIONED.format('outside')} END, inside, {UNVERSIONED.format('inside')}]) AS try, unnest([0, 1, 2, 3, 10, 11]) AS step,
+  outside = '' OR len(list_filter(string_split(outside, ' '), lambda w: list_contains([{', '.join(repr(a) for a in ALIASES)}], w))) > 0 AS near FROM b),
+f AS (SELECT p_partkey, form, arg_min(canonical, step) AS canonical FROM t JOIN v ON try = alias WHERE step < 10 OR near GROUP BY 1, 2),
+r AS (SELECT n.*, coalesce(canonical, whole) AS skill, canonical IS NOT NULL AS known, CASE WHEN length(name) > 60 OR len(list_filter(regexp_split_to_array(name, '\s+'), lambda w: w <> '')) > 8 THEN 'length_or_token_cap'
+  WHEN regexp_matches(name, '[^\s@]+\s*@\s*[^\s@]+\.[^\s@]+') THEN 'email_shape' END AS reason FROM b n LEFT JOIN f USING (p_partkey, form))
+SELECT p_partkey, form, name, skill, reason, CASE WHEN reason IS NULL AND skill <> '' THEN CASE WHEN known THEN skill ELSE 'h:' || substr(sha256('{SALT}' || skill), 1, 32) END END AS skill_key FROM r"""
+)
 def normalise_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skill names through all stages of the normaliser, with keys and reasons of rejection."""
     p = table(spark, sf_dir, "part")
@@ -217,7 +269,22 @@ def fuzzy_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "status", (F.col("evidence") != "").alias("quoted"), "evidence_chunk_ids", "confidence")
 
 
-@query()
+#: The longest common subsequence of a and b, a bit for each letter of a; of all windows of b; and of sets of words.
+LCS = """length({0}) - bit_count(list_reduce(list_prepend((1::BIGINT << length({0})) - 1, list_transform(string_split({1}, ''), lambda c: coalesce(list_sum(list_transform(range(length({0})), lambda i: CASE WHEN substr({0}, i + 1, 1) = c THEN 1::BIGINT << i ELSE 0 END)), 0)::BIGINT)),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & ((1::BIGINT << length({0})) - 1)))"""
+RATIO = "CASE WHEN {0} = '' OR {1} = '' THEN 0.0 ELSE 2.0 * (" + LCS + ") / (length({0}) + length({1})) END"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT p_name, p_type, lower(p_name) AS x, lower(p_type) AS y FROM part), o AS (SELECT *, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM p),
+w AS (SELECT p_name, p_type, a, substr(b, greatest(0, e - length(a)) + 1, least(length(b), e) - greatest(0, e - length(a))) AS win FROM (SELECT *, unnest(range(1, length(a) + length(b))) AS e FROM o)),
+r AS (SELECT p_name, p_type, max({RATIO.format('a', 'win')}) AS partial FROM w GROUP BY 1, 2),
+s AS (SELECT *, list_sort(list_distinct(string_split(x, ' '))) AS u, list_sort(list_distinct(string_split(y, ' '))) AS v FROM p),
+t AS (SELECT p_name, p_type, array_to_string(list_sort(list_filter(u, lambda i: list_contains(v, i))), ' ') AS both_, array_to_string(list_filter(u, lambda i: NOT list_contains(v, i)), ' ') AS only_x, array_to_string(list_filter(v, lambda i: NOT list_contains(u, i)), ' ') AS only_y FROM s),
+k AS (SELECT *, trim(both_ || ' ' || only_x) AS l, trim(both_ || ' ' || only_y) AS m FROM t),
+g AS (SELECT p_name, p_type, CASE WHEN both_ <> '' AND (only_x = '' OR only_y = '') THEN 1.0 ELSE greatest({RATIO.format('l', 'm')}, {RATIO.format('both_', 'l')}, {RATIO.format('both_', 'm')}) END AS token_set FROM k)
+SELECT p_name, p_type, round(partial, 6) AS partial, round(token_set, 6) AS token_set FROM r JOIN g USING (p_name, p_type)"""
+)
 def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy scores of distinct names against types."""
     p = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()

@@ -169,10 +169,9 @@ def test_normaliser_stages(spark):
 
 def test_scanner_prefers_long_terms_and_respects_edges(spark):
     table = skills.vocabulary([{"canonical": "c++", "aliases": []}, {"canonical": "c", "aliases": []}, {"canonical": "rest api", "aliases": ["rest apis"]}])
-    df = spark.createDataFrame([("C++ and REST APIs, c. Abc c# rest api",), ("",), (None,)], "t string")
-    got = [r[0] for r in df.select(skills.scanned(F.col("t"), table)).collect()]
-    assert got[0] == ["c++", "rest api", "c"] and got[1] == [] and got[2] is None
-    assert df.select(skills.scanned(F.col("t"), {})).first()[0] == []
+    df = spark.createDataFrame([(1, "C++ and REST APIs, c. Abc c# rest api"), (2, ""), (3, None)], "i int, t string")
+    scan = lambda t: {r.i: r.skills for r in skills.scanned(df, "i", "t", skills.dimension(spark, t), list(t)).collect()}
+    assert scan(table) == {1: ["c++", "rest api", "c"], 2: [], 3: []} and scan({"x": "x"}) == {1: [], 2: [], 3: []}
 
 
 def test_redaction(spark):
@@ -188,7 +187,11 @@ def test_redaction(spark):
 def test_embedding_text_has_no_identifiers(spark):
     df = spark.createDataFrame([("Casey\n Rivera built it; casey.rivera and 555 0101.", "Casey Rivera", "casey.rivera@example.test", "555 0101", None), ("mail x@y.example", None, None, None, None), ("clean  text", "Casey", None, None, None)], "t string, n string, e string, p string, l string")
     got = [r[0] for r in df.select(redaction.embedding_safe(*map(F.col, "tnepl"))).collect()]
-    assert got == ["built it; and .", "mail [contact redacted]", "clean  text"]
+    assert got == ["built it; and .", "mail", "clean text"]
+    free = spark.createDataFrame([("ring 555 010-99  now",), ("in 2001  -  2003 then",)], "t string").select(redaction.embedding_safe(F.col("t"), *[F.lit(None).cast("string")] * 4)).collect()
+    assert [r[0] for r in free] == ["ring now", "in then"]
+    kept = spark.createDataFrame([("a  b 12-34",)], "t string").select(redaction.embedding_safe(F.col("t"), *[F.lit(" ")] * 4)).first()[0]
+    assert kept == "a  b 12-34"
 
 
 def test_blind_resume(spark):
@@ -198,18 +201,24 @@ def test_blind_resume(spark):
         "education": [{"degree": "BSc", "institution": "MIT", "field": "CS", "year": 1999}], "chunks": [{"id": "c", "section": "s", "page": 1, "text": "Roe of MIT"}], "cover_letter_chunks": [], "degraded": False, "degradation_reason": None,
     }
     df = spark.createDataFrame([(doc,)], __import__("pyspark").sql.types.StructType().add("doc", RESUME_DOCUMENT))
-    d = df.select(redaction.blind_resume(F.col("doc"), ("Texas",)).alias("d")).first().d
+    d = redaction.blind_resumes(df, "doc", "d", ("Texas",)).first().d
     assert d.candidate.name is None and d.candidate.location is None and d.summary == "[name redacted] at Employer A"
     assert [e.company for e in d.experience] == ["Employer A", "Employer A", "Employer B"] and d.experience[0].title == "Dev" and d.experience[0].bullets[0].text == "Employer A and [name redacted]"
     assert d.education[0].institution == "Institution A" and d.education[0].year is None and d.education[0].degree == "BSc" and d.chunks[0].text == "[name redacted] of Institution A"
 
 
 def test_chunks(spark):
-    assert chunking.pack("") == [] and chunking.pack("a\n\nb") == ["a\n\nb"]
-    assert chunking.pack("x" * 1199 + "\n\nyy") == ["x" * 1199, "yy"]
+    def texts(body):
+        df = spark.createDataFrame([("r", 1, body)], "resume_id string, page_no int, text string")
+        return [r.text for r in chunking.chunks(df).orderBy("chunk_id").collect()]
+
+    assert texts("") == [] and texts("a\n\nb") == []
+    assert texts("x" * 600 + "\n\n" + "y" * 50) == ["x" * 600 + "\n\n" + "y" * 50]
+    assert texts("x" * 1199 + "\n\n" + "y" * 50) == ["x" * 1199, "y" * 50]
     long = " ".join(["Word word word."] * 200)
-    assert all(len(c) <= 1200 for c in chunking.pack(long)) and " ".join(chunking.pack(long)) == long
-    assert [len(c) for c in chunking.pack("z" * 3000)] == [1200, 1200, 600]
+    assert all(len(c) <= 1200 for c in texts(long)) and " ".join(texts(long)) == long and len(texts(long)[0]) == 1199
+    assert [len(c) for c in texts("z" * 3000)] == [1200, 1200, 600]
+    assert texts("a" * 100 + "\n\n" + "b" * 1300 + "\n \n" + "c" * 100) == ["a" * 100, "b" * 1200, "b" * 100, "c" * 100]
     para = "This line is surely longer than forty characters in all."
     pages = spark.createDataFrame([("r", 1, f"Name\nSkills:\n{para}\nshort"), ("r", 2, f"{para}\nEducation\n{para}"), ("q", 1, ""), ("n", 1, None)], "resume_id string, page_no int, text string")
     got = rows(chunking.chunks(pages), "chunk_id")

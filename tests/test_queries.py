@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from veritrail.plans import incremental, lifecycles, matching, relational, texts, vectors  # noqa: F401
+from veritrail.plans import forms, incremental, lifecycles, matching, people, relational, texts, vectors  # noqa: F401
 from veritrail.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -34,6 +34,8 @@ def plain(v):
         return repr(round(float(v), 8))
     if isinstance(v, (list, tuple)):
         return str([plain(x) for x in v])
+    if isinstance(v, dict):
+        return str({k: plain(x) for k, x in v.items()})
     return str(v.replace(tzinfo=None)) if isinstance(v, datetime.datetime) else str(v)
 
 

@@ -161,3 +161,65 @@ def test_vocabulary_files(spark, tmp_path):
     assert sorted(map(tuple, v.read_aliases(spark, str(tmp_path / "a.json")).collect())) == [("go", "go"), ("golang", "go")]
     assert sorted((r.skill, r.families) for r in v.read_families(spark, str(tmp_path / "f.json")).collect()) == [("flask", ["web"]), ("go", ["sys", "web"])]
     assert v.read_aliases(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_a_batch_rewrites_its_own_buckets_only(spark, tmp_path):
+    import json
+
+    base, box = str(tmp_path / "edges"), tmp_path / "inbox"
+    box.mkdir()
+    event = lambda i, who, kind, payload: json.dumps({"id": i, "aggregate": "resume", "aggregate_id": who, "event_type": kind, "payload": payload, "created_at": "2024-01-01T00:00:00Z"})
+    good = lambda *names: json.dumps({"skills": [{"name": n, "years": 1, "last_used_year": 2000, "evidence_chunk_ids": ["c"]} for n in names]})
+    (box / "a.json").write_text("\n".join(event(i, f"r{i}", "resume.parsed", good("Go", "go ", "SQL")) for i in range(40)))
+    ob.drain(spark, str(box), base)
+    (box / "b.json").write_text("\n".join([event(100, "r3", "resume.parsed", good("Rust")), event(101, "r4", "resume.withdrawn", "{}"), event(102, "r5", "resume.parsed", "[]")]))
+    ob.drain(spark, str(box), base)
+    rows = {(r.resume_id, r.skill) for r in ob.read_edges(spark, base).collect()}
+    assert rows == {(f"r{i}", s) for i in range(40) if i not in (3, 4) for s in ("go", "sql")} | {("r3", "rust")}
+    wrote = {p.name for p in (tmp_path / "edges" / "edges" / "batch=000000001").iterdir() if p.name.startswith("bucket=")}
+    assert 1 <= len(wrote) <= 2
+    ob.apply_batch(base)(spark.read.schema(ob.EVENTS).json(str(box / "b.json")), 1)  # the same batch again changes nothing
+    assert {(r.resume_id, r.skill) for r in ob.read_edges(spark, base).collect()} == rows
+    assert [(r.id, r.delivery_attempts) for r in ob.set_aside(spark, base).collect()] == [(102, 1)]
+    ob.retry(spark, base)
+    assert [(r.id, r.delivery_attempts, r.last_error) for r in ob.set_aside(spark, base).collect()] == [(102, 2, "PayloadError")]
+    ob.retry(spark, base, spark.createDataFrame([(102, good("C"))], "id long, payload string"))
+    assert {r.skill for r in ob.read_edges(spark, base).where("resume_id = 'r5'").collect()} == {"c"}
+    assert ob.read_edges(spark, str(tmp_path / "none")).count() == 0 == ob.set_aside(spark, str(tmp_path / "none")).count()
+
+
+def test_blobs_are_put_listed_and_deleted(spark, tmp_path):
+    import stat
+
+    from veritrail.sources import tables
+
+    base = str(tmp_path / "blobs")
+    for key, data in (("b/2.bin", b"\x00\xff"), ("a.txt", b"one"), ("b/1.bin", b"x")):
+        tables.put_blob(spark, base, key, data)
+    got = tables.read_blobs(spark, base).orderBy("key").collect()
+    assert [(r.key, bytes(r.content), r.length) for r in got] == [("a.txt", b"one", 3), ("b/1.bin", b"x", 1), ("b/2.bin", b"\x00\xff", 2)]
+    assert stat.S_IMODE((tmp_path / "blobs" / "a.txt").stat().st_mode) == 0o600 and stat.S_IMODE((tmp_path / "blobs" / "b").stat().st_mode) == 0o700
+    assert tables.delete_blob(spark, base, "a.txt") and not tables.delete_blob(spark, base, "a.txt")
+    for bad in ("", "/a", "../a", "a/../../b"):
+        with pytest.raises(ValueError):
+            tables.put_blob(spark, base, bad, b"")
+
+
+def test_folders_must_be_shared():
+    from veritrail.sources import tables
+
+    far = lambda **conf: type("S", (), {"conf": {k.replace("_", "."): v for k, v in conf.items()}, "sparkContext": type("C", (), {"master": "yarn"})})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch_folder(far(spark_sql_warehouse_dir="file:/home/me"), "x")
+
+
+def test_forms(spark):
+    from veritrail.functions import text_forms
+
+    df = spark.createDataFrame([("a", None)], "x string, y int")
+    assert df.select(text_forms.rendered("{{x}}-{{ y }}.", x=F.col("x"), y=F.col("y"))).first()[0] == "a-."
+    with pytest.raises(KeyError):
+        text_forms.rendered("{{ x }} {{ z }}", x=F.lit(1))
+    calls = spark.createDataFrame([([(0.0, False), (1.0, False), (2.0, True), (12.0, False), (13.0, False), (14.0, True), (30.0, True), (31.0, False)],), ([],)], "c array<struct<at:double,ok:boolean>>")
+    got = [r[0] for r in calls.select(text_forms.breaker(F.col("c"), 2, 10)).collect()]
+    assert got == [["closed", "open", "refused", "half-open", "open", "refused", "half-open", "closed"], []]

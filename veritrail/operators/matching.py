@@ -127,9 +127,8 @@ def taken_in(evidence: Column) -> Column:
     clean = lambda c: strip_controls(c)
 
     def one(r: Column, requirement: bool) -> Column:
-        quote = clean(r["evidence"])
-        long = F.coalesce(F.length(quote) > QUOTE_CHARS, F.lit(False))
-        r = r.withField("evidence", F.when(long, "").otherwise(quote)).withField("evidence_chunk_ids", F.slice(r["evidence_chunk_ids"], 1, MOST_IDS))
+        long = F.coalesce(F.length(r["evidence"]) > QUOTE_CHARS, F.lit(False))  # of the scrubbed quote
+        r = r.withField("evidence", F.when(long, "").otherwise(r["evidence"])).withField("evidence_chunk_ids", F.slice(r["evidence_chunk_ids"], 1, MOST_IDS))
         r = r.withField("confidence", F.when(long, F.least(r["confidence"], F.lit(SCRUBBED))).otherwise(r["confidence"]))
         if not requirement:
             return r.withField("theme", clean(r["theme"]))
@@ -137,8 +136,9 @@ def taken_in(evidence: Column) -> Column:
         return r.withField("status", F.when(long & (r["status"] == "met"), "missing").otherwise(r["status"]))
 
     first = lambda c: F.slice(evidence[c], 1, MOST_REQUIREMENTS)
-    out = evidence.withField("requirements", F.transform(first("requirements"), lambda r: one(r, True)))
-    out = out.withField("cover_letter_evidence", F.transform(first("cover_letter_evidence"), lambda r: one(r, False)))
+    scrubbed = lambda c: F.transform(first(c), lambda r: r.withField("evidence", clean(r["evidence"])))
+    out = evidence.withField("requirements", F.transform(scrubbed("requirements"), lambda r: one(r, True)))
+    out = out.withField("cover_letter_evidence", F.transform(scrubbed("cover_letter_evidence"), lambda r: one(r, False)))
     for c in ("overall_summary", "overall_motivation"):
         out = out.withField(c, F.substring(clean(evidence[c]), 1, OVERALL_CHARS))
     return out

@@ -138,15 +138,16 @@ def folded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("k", *unfolded(F.col("j"), ("skill", "never"), ("evidence_evaluated", "vector_discriminating")))
 
 
-@query("""SELECT p_partkey AS k, least(64, p_partkey % 80) AS n, CASE WHEN p_partkey % 80 > 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'missing' ELSE 'met' END END AS status, CASE WHEN p_partkey % 80 > 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 2000 END END AS quote,
-  CASE WHEN p_partkey % 80 > 0 THEN 500 END AS requirement, CASE WHEN p_partkey % 80 > 0 THEN 8 END AS ids, CASE WHEN p_partkey % 80 > 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 0.3 ELSE 0.9 END END::DOUBLE AS confidence, 1000 AS overall, 0.2::DOUBLE AS theme FROM part""")
+@query("""WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 40 = 0 THEN 70 ELSE p_partkey % 5 END AS many FROM part)
+SELECT k, least(64, many) AS n, CASE WHEN many > 0 THEN CASE WHEN k % 3 = 0 THEN 'missing' ELSE 'met' END END AS status, CASE WHEN many > 0 THEN CASE WHEN k % 3 = 0 THEN 0 ELSE 2000 END END AS quote,
+  CASE WHEN many > 0 THEN 500 END AS requirement, CASE WHEN many > 0 THEN 8 END AS ids, CASE WHEN many > 0 THEN CASE WHEN k % 3 = 0 THEN 0.3 ELSE 0.9 END END::DOUBLE AS confidence, 1000 AS overall, 0.2::DOUBLE AS theme FROM p""")
 def evidence_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence taken in within its caps: an overlong quote goes whole and costs its requirement the credit."""
     k = F.col("k")
     quote = F.repeat(F.lit("q"), F.when(k % 3 == 0, 2001).otherwise(2000).cast("int"))
     many = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i.cast("string"))
     one = F.struct(F.repeat(F.lit("r"), F.lit(600)).alias("requirement"), F.lit("met").alias("status"), quote.alias("evidence"), many.alias("evidence_chunk_ids"), F.lit(0.9).alias("confidence"))
-    listed = F.when(k % 80 > 0, F.array_repeat(one, (k % 80).cast("int"))).otherwise(F.expr("cast(array() as array<struct<requirement:string,status:string,evidence:string,evidence_chunk_ids:array<string>,confidence:double>>)"))
+    listed = F.array_repeat(one, F.when(k % 40 == 0, 70).otherwise(k % 5).cast("int"))
     theme = F.array(F.struct(F.lit("t").alias("theme"), F.repeat(F.lit("q"), F.lit(3000)).alias("evidence"), many.alias("evidence_chunk_ids"), F.lit(0.2).alias("confidence")))
     whole = F.struct(listed.alias("requirements"), F.repeat(F.lit("s"), F.lit(1001)).alias("overall_summary"), F.lit("yes").alias("cover_letter_presence"), theme.alias("cover_letter_evidence"), F.lit("x").alias("overall_motivation"))
     d = parts(spark, sf_dir).select("k", matching.taken_in(whole.cast(EVIDENCE)).alias("e"))

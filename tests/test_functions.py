@@ -15,6 +15,17 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()[0]
 
 
+def test_weights_are_read_from_settings():
+    from veritrail.weights import DEFAULT, read
+
+    assert read({"PATH": "/bin"}) == DEFAULT
+    w = read({"MATCH_RECENCY_OLD": "0.5", "match_recency_mid_years": "6", "OTHER": "x"})
+    assert (w.recency_old, w.recency_mid_years) == (0.5, 6)
+    for bad in ({"MATCH_NOTHING": "1"}, {"MATCH_SKILL": "much"}, {"MATCH_SKILL": "0.9"}):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
 def test_weights_are_checked():
     assert Weights().skill == 0.4
     for bad in ({"structured": 0.9}, {"skill": 0.9}, {"must_have_miss_penalty": 0.8}, {"recency_mid": 1.5}, {"seniority_floor": 1.0}, {"overqual_ratio": 0.5}):

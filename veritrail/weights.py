@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 
@@ -56,3 +57,15 @@ class Weights:
 
 
 DEFAULT = Weights()
+
+
+def read(values: Mapping[str, str], prefix: str = "MATCH_") -> Weights:
+    """Weights from settings such as os.environ: names with the prefix, in any case; others are left alone.
+
+    A name that is no weight, and a value that is no number or out of range, is an error.
+    """
+    kinds = {f.name: type(f.default) for f in fields(Weights)}
+    given = {k[len(prefix) :].lower(): v for k, v in values.items() if k.upper().startswith(prefix.upper())}
+    if unknown := set(given) - set(kinds):
+        raise ValueError(f"no such weights: {sorted(unknown)}")
+    return Weights(**{k: kinds[k](v) for k, v in given.items()})

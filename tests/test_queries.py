@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from veritrail.plans import forms, incremental, lifecycles, matching, people, relational, texts, vectors  # noqa: F401
+from veritrail.plans import checks, forms, incremental, lifecycles, matching, people, relational, texts, vectors  # noqa: F401
 from veritrail.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

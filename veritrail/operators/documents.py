@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scoring import known
 from ..functions.strings import strip
@@ -16,6 +17,19 @@ def strip_nuls(c: Column) -> Column:
     return F.translate(c, "\x00", "")
 
 
+def without_nuls(c: Column, kind: T.DataType) -> Column:
+    """A nested value without NUL characters in any of its strings, keys of maps among them, however deep they lie."""
+    if isinstance(kind, T.StringType):
+        return strip_nuls(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: without_nuls(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.transform_keys(c, lambda k, _: without_nuls(k, kind.keyType)), lambda _, v: without_nuls(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[without_nuls(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def job_view(doc: Column, min_years: Column) -> Column:
     """What ranking reads of a job: the column's years if they are neither null nor 0, else the document's; blank names
     and fields go."""

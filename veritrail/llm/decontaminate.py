@@ -130,15 +130,21 @@ class Index:
 
     def diagonals(self, h: np.ndarray) -> np.ndarray:
         """item * 2^32 + shift + 2^31 of all diagonals with a hit, each once and sorted."""
-        found = [np.zeros(0, np.int64)]
+        found = []
         for short, mask, values, item, at, flags in self.seeds:
             if short and len(h) >= max(MASKS):
                 continue
             own = seed_hashes(h, mask)
-            some = np.flatnonzero(flags[(own >> U64(48)).astype(np.int64)])
-            low = np.searchsorted(values, own[some], "left")
-            times = np.searchsorted(values, own[some], "right") - low
-            some, low, times = some[times > 0], low[times > 0], times[times > 0]
+            some = np.flatnonzero(flags[own >> U64(48)])
+            if not len(some):
+                continue
+            of = own[some]
+            low = np.searchsorted(values, of, "left")
+            hit = values[np.minimum(low, len(values) - 1)] == of
+            if not hit.any():
+                continue
+            some, low = some[hit], low[hit]
+            times = np.searchsorted(values, of[hit], "right") - low
             ends = np.cumsum(times)
             a = 0
             while a < len(some):  # what repeats may hit as often as both sides' occurrences multiplied: expand a part, keep each diagonal once
@@ -149,12 +155,14 @@ class Index:
                 if sum(map(len, found)) > 8 * HITS:
                     found = [np.unique(np.concatenate(found))]
                 a = b
-        return np.unique(np.concatenate(found))
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def match(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item's index, first word, end word, agreement) of the verified overlaps, the best for each item."""
         codes = self.diagonals(h)
         out = []
+        if not len(codes):
+            return out
         items, starts = np.unique(codes >> 32, return_index=True)
         for k, low, high in zip(items.tolist(), starts, [*starts[1:], len(codes)]):
             w = self.words[k]

@@ -37,6 +37,56 @@ def test_nearest_equals_brute_force_in_small_blocks(spark):
     assert got[61, 1] == (61, 1.0) and (61, 2) not in got
 
 
+@pytest.mark.parametrize("small", [recall.SMALL, 100])
+def test_near_names_equal_brute_force_with_copies_and_scaled_vectors(spark, monkeypatch, small):
+    import numpy as np
+
+    monkeypatch.setattr(recall, "SMALL", small)  # by one side sent to all, and by blocks
+    monkeypatch.setattr(recall, "BLOCK", 7 * 23)
+    monkeypatch.setattr(recall, "ROWS", 5)
+    monkeypatch.setattr(recall, "TILE", 11)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(90, 7))
+    v[30:60] = v[:30] * rng.integers(1, 9, size=(30, 1))
+    v[60:75] = v[0]
+    v[75] *= 1e-200
+    v[76], v[77] = v[75] * 1e300, 0
+    ids = rng.permutation(90) * 10
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, vector array<double>")
+    got = {(r.query_id, r.place): (r.item_id, round(r.vec_score, 9)) for r in recall.near_names(df, 5, 0.0).collect()}
+    size = np.abs(v).max(1, keepdims=True)
+    v = v / np.where(size > 0, size, 1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    n = v / np.where(norm > 0, norm, 1)
+    s = (1 + n @ n.T) / 2
+    want = {}
+    for q in range(90):
+        best = sorted((j for j in range(90) if j != q), key=lambda j: (-round(s[q, j], 12), ids[j]))[:5]
+        want |= {(int(ids[q]), p + 1): (int(ids[j]), round(s[q, j], 9)) for p, j in enumerate(best)}
+    assert got == want
+
+
+def test_best_of_many_items_holds_a_tile_of_scores(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    v = np.random.default_rng(8).normal(size=(30_000, 8))
+    side = recall._sides(pa.array(np.arange(30_000)), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 8).cast(pa.list_(pa.float64())))
+    few = recall._sides(pa.array(np.arange(1024)), pa.FixedSizeListArray.from_arrays(pa.array(v[:1024].ravel()), 8).cast(pa.list_(pa.float64())))
+    tracemalloc.start()
+    query, item, score, _ = recall._best(few, side, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(query) == 6 * 1024 and set(query[score > 1 - 1e-12]) == set(range(1024))
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in (0, 511, 512, 1023):
+        s = (1 + n @ n[q]) / 2
+        assert sorted(item[query == q]) == sorted(np.argsort(-s, kind="stable")[:6])
+    assert peak < 100_000_000, "1,024 queries' scores of all items are 246 MB"
+
+
 def test_requirements_credit_families_but_not_the_excluded(spark):
     cand = spark.createDataFrame([("j", "r1"), ("j", "r2"), ("j", "r3")], "job_id string, resume_id string")
     req = spark.createDataFrame([("j", "flask", 2, None), ("j", "misc", 1, False)], "job_id string, skill string, min_years int, is_must_have boolean")

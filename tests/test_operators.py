@@ -276,6 +276,21 @@ def test_chunks(spark):
     assert got[0][4] == f"{para}\nshort\n{para}"
 
 
+@pytest.mark.parametrize("none", [0, 1])
+def test_rows_appended_are_numbered_without_gaps_in_many_partitions(spark, none):
+    log = spark.range(5).select("id", F.lit("view").alias("action"), F.col("id").cast("string").alias("entity_id"), F.col("id").alias("at"))
+    n = 60_000  # more than a range sort samples, so that two sorts are cut at different places
+    new = spark.range(n, numPartitions=8).select(F.lit("read").alias("action"), F.col("id").cast("string").alias("entity_id"), F.when(F.col("id") >= none, F.hash("id").cast("long") * n + F.col("id")).alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = governance.appended(log, new)
+        got = [r.id for r in out.where("action = 'read'").orderBy(F.asc_nulls_last("at")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == list(range(5, n + 5))
+    assert out.where("action = 'view' and id = at").count() == 5
+
+
 def test_export_and_governance(spark, tmp_path):
     e = spark.createDataFrame([(1, [("Python", "met", "=quote", ["c"], 0.9)]), (2, []), (3, None)], "id int, requirements array<struct<requirement:string,status:string,evidence:string,evidence_chunk_ids:array<string>,confidence:double>>")
     flat = export.evidence_rows(e, ["id"])

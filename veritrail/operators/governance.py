@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import email_hash
 from ..functions.strings import masked_filename
+from ..sources.tables import kept
 
 
 def is_blind(blind: Column, reveal: Column) -> Column:
@@ -53,13 +54,18 @@ def revealable(log: DataFrame, actions: tuple[str, ...]) -> DataFrame:
 def appended(log: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """An append-only log with new rows, numbered on from its largest id; nothing that stands is changed.
 
-    Numbers follow the rows' own order column `at`; they are found by counting partitions, so no task sorts all rows.
+    Numbers follow the rows' own order column `at`, nulls last; they are found by counting partitions, so no task sorts all
+    rows.  The sorted rows are written to the shared folder first: sorted twice, they need not be cut at the same places.
     """
     last = log.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-    sorted_rows = rows.orderBy("at").select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__nth"))
+    tie = F.monotonically_increasing_id()  # so that rows alike can be dealt to several partitions
+    nth = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ordered = rows.withColumn("__tie", tie).orderBy(F.asc_nulls_last("at"), "__tie").drop("__tie")
+    sorted_rows = kept(ordered.select("*", F.spark_partition_id().alias("__part"), nth.alias("__nth")), "appended")
     counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = sorted_rows.join(counts.select("__part", before.alias("__before")), "__part")
+    offsets = counts.select("__part", before.alias("__before"))  # a row for each partition
+    numbered = sorted_rows.join(F.broadcast(offsets), "__part")
     return log.unionByName(numbered.withColumn(key, F.lit(last) + 1 + F.col("__before") + F.col("__nth")).select(*log.columns))
 
 
